@@ -25,6 +25,7 @@ from tallyspark.llm.shared import written
 
 #: Documents rounded together, and sources whose totals are broadcast (about 50 bytes each).
 GROUP, SOURCES_BROADCAST = 128, 100_000
+TRIES, NEAR = 32, 0.001
 EPS = 1e-9
 
 
@@ -48,32 +49,53 @@ def _draw(*what) -> float:
     return int.from_bytes(hashlib.blake2b(repr(what).encode(), digest_size=8).digest(), "big") / 2.0**64
 
 
+def _pivot(ids: list, size: list, p: list, level: int, seed: int, tries: int = 0) -> int | None:
+    """Rounds p in place, pair by pair; the index of the one that keeps a fraction, if any."""
+    i = None
+    for j in range(len(p)):
+        if p[j] <= EPS or p[j] >= 1 - EPS:
+            p[j] = float(round(p[j]))
+            continue
+        if i is None:
+            i = j
+            continue
+        a, b, u = size[i], size[j], _draw(seed, level, tries, ids[i], ids[j], i, j)
+        up = min((1 - p[i]) * a, p[j] * b)  # words that can go from j to i
+        down = min(p[i] * a, (1 - p[j]) * b)
+        move = up if u * (up + down) < down else -down
+        p[i], p[j] = p[i] + move / a, p[j] - move / b
+        for k in (i, j):
+            if p[k] <= EPS or p[k] >= 1 - EPS:
+                p[k] = float(round(p[k]))
+        i = next((k for k in (i, j) if 0 < p[k] < 1), None)
+    return i
+
+
 def _round_group(level: int, last: bool, seed: int):
-    """Rounds one group of documents (columns doc_id, size, p); at most one row keeps a fraction."""
+    """Rounds one group of documents (columns doc_id, size, p); at most one row keeps a fraction.
+
+    At the last level a draw rounds that row too. Of up to TRIES roundings, the first whose words miss the
+    target by less than NEAR of it is kept, else the nearest.
+    """
 
     def go(group: pa.Table) -> pa.Table:
-        order = pa.compute.sort_indices(group, [("size", "descending"), ("doc_id", "ascending")])
-        group = group.take(order)
+        group = group.take(pa.compute.sort_indices(group, [("size", "descending"), ("doc_id", "ascending")]))
         ids, p, size = (group[c].to_pylist() for c in ("doc_id", "p", "size"))
-        i = None
-        for j in range(len(p)):
-            if p[j] <= EPS or p[j] >= 1 - EPS:
-                p[j] = float(round(p[j]))
-                continue
-            if i is None:
-                i = j
-                continue
-            a, b, u = size[i], size[j], _draw(seed, level, ids[i], ids[j], i, j)
-            up = min((1 - p[i]) * a, p[j] * b)  # words that can go from j to i
-            down = min(p[i] * a, (1 - p[j]) * b)
-            move = up if u * (up + down) < down else -down
-            p[i], p[j] = p[i] + move / a, p[j] - move / b
-            for k in (i, j):
-                if p[k] <= EPS or p[k] >= 1 - EPS:
-                    p[k] = float(round(p[k]))
-            i = next((k for k in (i, j) if 0 < p[k] < 1), None)
-        if last and i is not None:
-            p[i] = float(_draw(seed, level, ids[i], "last") < p[i])
+        if last:
+            best = (math.inf, p)
+            for tries in range(TRIES):
+                q = list(p)
+                i = _pivot(ids, size, q, level, seed, tries)
+                miss = 0.0
+                if i is not None:
+                    whole = float(_draw(seed, level, tries, ids[i], "last") < q[i])
+                    miss, q[i] = abs(whole - q[i]) * size[i], whole
+                best = min(best, (miss, q), key=lambda x: x[0])
+                if best[0] <= NEAR * group["target"][0].as_py():
+                    break
+            p = best[1]
+        else:
+            _pivot(ids, size, p, level, seed)
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return go
