@@ -1,12 +1,26 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import media, mixing
+from tallyspark.llm import bpe, media, mixing, token_counts
 from tallyspark.llm.shared import table
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token that crosses a line's end goes to the line of its first character."""
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, "first")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
@@ -17,6 +31,8 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_mix_sources": op8_mix_sources,
     "op10_gif_media": op10_gif_media,
 }
