@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, media, mixing, substring_dedup, token_counts
+from tallyspark.llm import bpe, jaccard_join, media, mixing, substring_dedup, token_counts
 from tallyspark.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
@@ -37,6 +41,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_mix_sources": op8_mix_sources,
     "op10_gif_media": op10_gif_media,
@@ -57,4 +62,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS xs FROM w),
+        n AS (SELECT doc_id, len(xs) AS n FROM s),
+        x AS (SELECT doc_id, md5(unnest(xs)) AS h FROM s),
+        shared AS (SELECT h FROM x GROUP BY h HAVING count(*) > 1),
+        y AS (SELECT * FROM x SEMI JOIN shared USING (h)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM y a JOIN y b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        linked AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+        both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+        reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id
+        FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
+    """,
 }
