@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, jaccard_join, media, mixing, substring_dedup, token_counts
+from tallyspark.llm import bpe, jaccard_join, kd_search, media, mixing, substring_dedup, token_counts
 from tallyspark.llm.shared import table
 
 
@@ -24,6 +24,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = kd_search.quantised(table(spark, sf_dir, "embeddings"))
+    return kd_search.top_k(points.where("vec_id % 100 = 0"), points)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
@@ -42,6 +47,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_kd_search": op5_kd_search,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_mix_sources": op8_mix_sources,
     "op10_gif_media": op10_gif_media,
@@ -79,4 +85,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(min(reach.b), n.doc_id)) AS component_id
         FROM n LEFT JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
     """,
+    "op5_kd_search": r"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
 }
