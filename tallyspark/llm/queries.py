@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, jaccard_join, kd_search, media, mixing, substring_dedup, token_counts
+from tallyspark.llm import bpe, jaccard_join, kd_search, media, mixing, quality, substring_dedup, token_counts
 from tallyspark.llm.shared import table
 
 
@@ -39,6 +39,11 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
@@ -50,6 +55,7 @@ QUERIES = {
     "op5_kd_search": op5_kd_search,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality": op9_quality,
     "op10_gif_media": op10_gif_media,
 }
 
