@@ -2,11 +2,11 @@
 
 1. Lexicon. Terms are whole words or stems (a stem matches every word that begins with it). Common insults are given;
    more are learned from the bounded sample of labels.training(): words and beginnings of words that
-   occur in many toxic documents and in next to no clean one.
+   occur in many toxic documents and in next to no clean one (of near copies in the sample, few count).
 2. Matching. A word within one edit (insertion, deletion, substitution, neighbours swapped) of a whole-word
    term of EDIT_FROM letters or more is a misspelling. The word's automaton walks the trie, so that a branch is
-   left as soon as no term below can be near. Misspellings that the sample's clean documents use are words of their own and
-   don't count.
+   left as soon as no term below can be near. Near words that the sample's clean documents use are words of their own and
+   don't count; a term with several of those has no misspellings at all.
 3. Windows. Each hit weighs by its exactness and by its context of a few words: a hit inside quotation marks or
    after a word of reporting is quotation and weighs little; a hit that is aimed at someone (you, your, ...) or stands near
    another weighs full. A document's evidence is its heaviest window and its total.
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.labels import TRAIN_ROWS, held_out, training
+from tallyspark.llm.shared import written
+from tallyspark.llm.words import runs, slices
 
 # Insults known without any labels, words of reporting, words that aim at someone.
 INSULTS = """
@@ -35,7 +37,8 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 EDIT_FROM, WINDOW = 5, 8
-LEAST_DOCS, LEAST_ODDS, MOST_TERMS = 8, 3.2, 2000
+LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN, MOST_TERMS = 6, 0.02, 3.2, 0.1, 2000
+OWN_WORDS = 3
 STEMS = range(4, 9)
 MEMO = 400_000
 
@@ -91,24 +94,29 @@ class Levenshtein:
 
 
 class Lexicon:
-    def __init__(self, words: list[str], stems: list[str], clean: set[str] = frozenset(), edits: int = 1):
-        self.words, self.stems, self.clean, self.edits = list(words), list(stems), set(clean), edits
+    """Words, stems, near words that don't count, and words that have no misspellings. Only one edit is looked for."""
+
+    def __init__(self, words: list[str], stems: list[str], clean: set[str] = frozenset(), strict: set[str] = frozenset()):
+        self.words, self.stems, self.clean = list(words), list(stems), set(clean)
         self.trie = Trie(self.words, self.stems)
-        long = [w for w in self.words if len(w) >= EDIT_FROM]
-        self.heads = {w[:2] for w in long}
-        self.tails = {w[-2:] for w in long}
-        self.spans = {n + d for n in map(len, long) for d in range(-edits, edits + 1)}
-        self.memo: dict[str, tuple | None] = {}
+        loose = [w for w in self.words if len(w) >= EDIT_FROM and w not in strict]
+        self.loose = Trie(loose, [])
+        # one edit leaves a term's first letters or its last letters as they are
+        self.heads = {w[: (len(w) - 1) // 2] for w in loose}
+        self.tails = {w[(len(w) + 1) // 2 :] for w in loose}
+        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        self.spans = {n + d for n in map(len, loose) for d in (-1, 0, 1)}
+        self.known: set[str] = set()  # words that are no hits
 
     def near(self, word: str) -> str | None:
-        """A term of EDIT_FROM letters or more within `edits` of a word, by walking trie and automaton together."""
-        automaton = Levenshtein(word, self.edits)
-        stack = [(self.trie.root, automaton.start())]
+        """A loose term within one edit of a word, by walking trie and automaton together."""
+        automaton = Levenshtein(word, 1)
+        stack = [(self.loose.root, automaton.start())]
         while stack:
             node, state = stack.pop()
             for c, child in node[0].items():
                 after = automaton.step(state, c)
-                if child[1] and len(child[1]) >= EDIT_FROM and automaton.accepts(after):
+                if child[1] and automaton.accepts(after):
                     return child[1]
                 if automaton.alive(after):
                     stack.append((child, after))
@@ -116,21 +124,26 @@ class Lexicon:
 
     def look(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of a lower-case word, or None."""
-        try:
-            return self.memo[word]
-        except KeyError:
-            pass
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        term, found = self.trie.exact(word), None
+        term = self.trie.exact(word)
         if term:
-            found = (term, 0)
-        elif len(word) in self.spans and word not in self.clean and (self.edits > 1 or word[:2] in self.heads or word[-2:] in self.tails):
-            # one edit leaves the first two letters or the last two as they are
+            return term, 0
+        if len(word) in self.spans and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)) and word not in self.clean:
             term = self.near(word)
-            found = (term, 1) if term else None
-        self.memo[word] = found
-        return found
+            return (term, 1) if term else None
+        return None
+
+    def hits(self, words: set[str]) -> dict[str, tuple[str, int]]:
+        """Those of some words that are terms or near them."""
+        out = {}
+        if len(self.known) > MEMO:
+            self.known.clear()
+        for w in words - self.known:
+            found = self.look(w)
+            if found:
+                out[w] = found
+            else:
+                self.known.add(w)
+        return out
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
@@ -139,11 +152,10 @@ def quoted(text: str) -> list[tuple[int, int]]:
 
 
 def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, list[str]]:
-    """(heaviest window, total weight, misspelt words) of a text."""
+    """(heaviest window, total weight, misspelt words with their terms) of a text."""
     lower = text.lower()
     words = TOKEN.findall(lower)
-    look = lexicon.look
-    hits = {w: f for w in set(words) if (f := look(w))}
+    hits = lexicon.hits(set(words))
     if not hits:
         return 0.0, 0.0, []
     spans = quoted(text) if any(a in text for a in QUOTES) and len(lower) == len(text) else []
@@ -167,7 +179,7 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, list[str]]:
             window -= found[first][1]
             first += 1
         heaviest, total = max(heaviest, window), total + weight
-    return heaviest, total, [w for w, f in hits.items() if f[1]]
+    return heaviest, total, [f"{w} {f[0]}" for w, f in hits.items() if f[1]]
 
 
 def inputs(heaviest: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -214,7 +226,7 @@ def _counts(toxic: Counter, clean: Counter) -> pa.RecordBatch:
 def pick_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
     """(words, stems) of counted terms. Of a stem and its longer forms the longest that keeps nearly all of its documents stays."""
     odds = lambda a, b: np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
-    strong = {t: a for t, a, b in counts if a >= LEAST_DOCS and odds(a, b) >= LEAST_ODDS and b <= 0.01 * a}
+    strong = {t: a for t, a, b in counts if a >= max(LEAST_DOCS, LEAST_PART * n_toxic) and odds(a, b) >= LEAST_ODDS and b <= MOST_CLEAN * a}
     words, stems = set(), set()
     for term in sorted(strong, key=len):
         if not term.endswith("*"):
@@ -256,38 +268,46 @@ def _evidence(lexicon, with_label: bool):
     return go
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each text's smallest hash of five words, which near copies mostly share."""
+    for batch in batches:
+        for a, b, words in slices(batch.column(1)):
+            h = runs(words.hashes(), 5)
+            least = [int(h[i : max(i + 1, j - 4)].min()) if i < min(j, len(h)) else i for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(np.array(least, np.uint64).view(np.int64))], ["doc_id", "text", "y", "sign"])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> tuple[tuple, np.ndarray]:
     """(lexicon's parts, weights of the curve). Without labelled rows: the given insults and the prior curve.
 
     What comes to the driver is bounded: MOST_TERMS terms, and numbers and misspellings of the sample's documents.
     """
-    sample = training(docs, labels, label, most)
+    sample = written(training(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(_signed, "doc_id long, text string, y int, sign long").dropDuplicates(["sign", "y"]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.select("text", "y").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    strong = counts.where((F.col("a") >= LEAST_DOCS) & (F.col("b") <= 0.01 * F.col("a"))).orderBy(F.desc("a"), "term").limit(MOST_TERMS)
-    words, stems = pick_terms([(r["term"], r["a"], r["b"]) for r in strong.collect()], n_toxic, n_clean)
-    given = [w for w in INSULTS if not any(w.startswith(s) for s in stems)]
-    if n_clean:
-        used = {r["term"] for r in counts.where(F.col("term").isin(given) & (F.col("b") > F.greatest(F.col("a"), F.lit(1)))).collect()}
-        given = [w for w in given if w not in used]
-    parts = (sorted({*words, *given}), stems, set())
+    given = F.col("term").isin(INSULTS) & (F.col("b") > 0)
+    strong = (F.col("a") >= max(LEAST_DOCS, LEAST_PART * n_toxic)) & (F.col("b") <= MOST_CLEAN * F.col("a"))
+    found = [(r["term"], r["a"], r["b"]) for r in counts.where(strong | given).orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()]
+    words, stems = pick_terms(found, n_toxic, n_clean)
+    used = {t for t, a, b in found if b > max(a, 1)}
+    parts = (sorted({*words, *(w for w in INSULTS if w not in used and not any(w.startswith(s) for s in stems))}), stems, set(), set())
     spark = docs.sparkSession
     schema = "doc_id long, y int, heaviest double, total double, misspelt array<string>"
-    rows = sample.select("doc_id", "text", "y").mapInArrow(_evidence(spark.sparkContext.broadcast(parts), True), schema).where("total > 0").collect()
+
+    def hits(parts: tuple) -> list:
+        return sample.select("doc_id", "text", "y").mapInArrow(_evidence(spark.sparkContext.broadcast(parts), True), schema).where("total > 0").collect()
+
     seen = {1: Counter(), 0: Counter()}
-    for r in rows:
+    for r in hits(parts):
         seen[r["y"]].update(r["misspelt"])
-    clean = {w for w, n in seen[0].items() if (n + 1) / (n_clean + 1) > 0.1 * (seen[1][w] + 1) / (n_toxic + 1)} if n_toxic and n_clean else set()
-    parts = (parts[0], parts[1], clean)
-    again = sample.select("doc_id", "text", "y").mapInArrow(_evidence(spark.sparkContext.broadcast(parts), True), schema).where("total > 0").select("y", "heaviest", "total").collect()
-    y = np.array([r["y"] for r in again] + [1.0, 0.0], float)
-    h, t = (np.array([r[c] for r in again] + [0.0, 0.0]) for c in ("heaviest", "total"))
-    weight = {1: n_toxic - int(y[:-2].sum()), 0: n_clean - int((1 - y[:-2]).sum())}
-    x = inputs(h, t)
-    many = np.ones(len(y))
-    many[-2], many[-1] = weight[1], weight[0]
-    return parts, _fit(np.repeat(x, many.astype(int), 0), np.repeat(y, many.astype(int)))
+    own = {x for x, n in seen[0].items() if n / max(n_clean, 1) > 0.1 * seen[1][x] / max(n_toxic, 1)}
+    terms = Counter(x.split(" ")[1] for x in own)
+    parts = (*parts[:2], {x.split(" ")[0] for x in own}, {t for t, n in terms.items() if n >= OWN_WORDS})
+    again = hits(parts)
+    y = np.array([r["y"] for r in again] + [1] * (n_toxic - sum(r["y"] for r in again)) + [0] * (n_clean - sum(1 - r["y"] for r in again)), float)
+    h, t = (np.array([r[c] for r in again] + [0.0] * (len(y) - len(again))) for c in ("heaviest", "total"))
+    return parts, _fit(inputs(h, t), y)
 
 
 def score(docs: DataFrame, model: tuple[tuple, np.ndarray]) -> DataFrame:
