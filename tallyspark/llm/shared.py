@@ -3,7 +3,10 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,25 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            packed = pa.array([None if t is None else pack(t.encode()) for t in part.column(at).to_pylist()], pa.binary())
+            yield part.set_column(at, "text", packed)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """The same rows with the column text compressed, for shuffles of whole texts; unpack() gives the texts back."""
+    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(_packed, schema)
+
+
+def unpack(column: pa.Array) -> pa.Array:
+    """Texts of a column made by packed(), as UTF-8 strings; null stays null."""
+    back = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else back(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())

@@ -1,14 +1,15 @@
 """Removal of word passages that repeat an earlier document: Rabin-Karp hashes of every window of 50 words.
 
-1. Each document's windows are grouped by their minimizer, the smallest hash among the window's runs of
-   PROBE words. Equal windows have equal minimizers, so a window whose minimizer occurs in no other
-   document repeats nothing. That leaves out most windows without sending them anywhere, and loses none.
-2. For documents with shared minimizers the rolling hashes (two of 64 bits) of the windows under those minimizers are
-   counted in Spark: the smallest document id of each window, partial sums first.
-3. A window that also starts in a document with a smaller id is a removal; its document's removals merge
-   into maximal intervals of words, which are cut from the whole text.
-
-Windows are judged on the input. Rows are told apart by (doc_id, hashes of the text), so repeated ids and rows are fine.
+1. Every window gets a rolling hash. Neighbouring windows are told by their minimizer, the smallest hash among
+   a window's runs of PROBE words: windows in a row with one minimizer make a group. Equal windows have equal minimizers, so
+   groups whose minimizer occurs in one document only repeat nothing, and are dropped at once.
+2. Groups with equal words (minimizer and hash of the whole span) repeat as one: all windows of a group
+   that an earlier document has too are removals. Of groups with equal words the earliest stands for all.
+3. Where a minimizer's groups differ in words, the windows of those that stand for others are counted one by one in Spark,
+   by two 64-bit hashes: the smallest document id of each window, partial results first.
+4. A document's removals merge into maximal intervals of words, which are cut from the whole text.
+
+Windows are judged on the input. Rows are told apart by (doc_id, hash of the text), so repeated ids and rows are fine.
 """
 
 from collections.abc import Iterator
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
-from tallyspark.llm.words import WORD_BASES, Words, buffers, run_starts, runs, slices
+from tallyspark.llm.shared import packed, unpack, written
+from tallyspark.llm.words import WORD_BASES, Words, buffers, mix, powers, run_starts, runs, slices
 
 WINDOW, PROBE = 50, 8
-KEY = ("doc_id", "t1", "t2")
+KEY = ("doc_id", "t")
 
 
 def window_minimizers(probes: np.ndarray, span: int) -> np.ndarray:
@@ -45,107 +46,114 @@ def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return at, low, words.doc()[at]
 
 
-def _minimizers(window: int):
-    """Rows (doc_id, t1, t2, m): the distinct minimizers of each text's windows."""
+def _groups(window: int):
+    """Rows (doc_id, t, m, s, at, n): windows in a row with one minimizer, the hash of the words they span, first word, number."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, words in slices(batch.column(3)):
-                _, low, doc = _windows(words, window)
+            for a, _, words in slices(batch.column(2)):
+                at, low, doc = _windows(words, window)
                 if not len(low):
                     continue
                 new = np.ones(len(low), bool)
                 new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                low, doc = low[new], doc[new]
-                order = np.lexsort((low, doc))
-                low, doc = low[order], doc[order]
-                new = np.ones(len(low), bool)
-                new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                rows = pa.array(doc[new] + a)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), pa.array(low[new].view(np.int64))], [*KEY, "m"])
+                first = np.flatnonzero(new)
+                n = np.diff([*first, len(low)])
+                starts, ends, doc, low = at[first], at[first] + n + window - 1, doc[first], low[first]
+                h = words.hashes()
+                up, down = powers(WORD_BASES[1], len(h) + 1)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+                span = mix((total[ends] - total[starts]) * down[starts] + n.astype(np.uint64))
+                rows = pa.array(doc + a)
+                local = (starts - words.first[doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(low.view(np.int64)), pa.array(span.view(np.int64)), pa.array(local), pa.array(n.astype(np.int32))], [*KEY, "m", "s", "at", "n"])
 
     return go
 
 
 def _candidates(window: int):
-    """Rows (doc_id, t1, t2, at, h1, h2): windows under the shared minimizers of their text (column `shared`)."""
+    """Rows (doc_id, t, at, h1, h2): the windows of a text's listed groups."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            for a, b, words in slices(batch.column(3)):
-                at, low, doc = _windows(words, window)
-                if not len(at):
-                    continue
-                part = lists.slice(a, b - a)
-                keep = np.zeros(len(at), bool)
-                edges = np.searchsorted(doc, np.arange(b - a + 1))
-                for d in range(b - a):
-                    known = np.asarray(part[d].values).view(np.uint64)
-                    keep[edges[d] : edges[d + 1]] = np.isin(low[edges[d] : edges[d + 1]], known)
+            texts = unpack(batch.column(2))
+            for a, b, words in slices(texts):
                 h = words.hashes()
-                w = at[keep]
-                one, two = (runs(h, window, base)[w] for base in WORD_BASES)
-                rows = pa.array(doc[keep] + a)
-                local = (w - words.first[doc[keep]]).astype(np.int32)
+                hashes = [runs(h, window, base) for base in WORD_BASES]
+                part = batch.slice(a, b - a)
+                wanted, owner = [], []
+                for d, groups in enumerate(part.column(3).to_pylist()):
+                    for g in groups:
+                        wanted.append(np.arange(g["at"], g["at"] + g["n"]) + words.first[d])
+                        owner.append(np.full(g["n"], d))
+                w, doc = np.concatenate(wanted), np.concatenate(owner)
+                local = (w - words.first[doc]).astype(np.int32)
+                one, two = (x[w].view(np.int64) for x in hashes)
                 for i in range(0, len(w), 1 << 16):
                     j = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows[j]) for c in range(3)), pa.array(local[j]), pa.array(one[j].view(np.int64)), pa.array(two[j].view(np.int64))], [*KEY, "at", "h1", "h2"])
+                    rows = pa.array(doc[j])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(local[j]), pa.array(one[j]), pa.array(two[j])], [*KEY, "at", "h1", "h2"])
 
     return go
 
 
-def merge(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal intervals [from, to) covered by windows at the given starts (any order)."""
-    starts = np.unique(starts)
-    if not len(starts):
-        return starts, starts
-    gap = np.flatnonzero(np.diff(starts) > window)
-    return starts[np.r_[0, gap + 1]], starts[np.r_[gap, len(starts) - 1]] + window
+def merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal intervals [from, to) of the union of intervals (any order)."""
+    out: list[tuple[int, int]] = []
+    for i in np.argsort(lo, kind="stable"):
+        if out and lo[i] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], int(hi[i])))
+        else:
+            out.append((int(lo[i]), int(hi[i])))
+    return out
 
 
 def _kept(window: int):
-    """Applies removals: rows (doc_id, n_words, n_removed, kept) of texts with the starts of their repeated windows."""
+    """Applies removals: rows (doc_id, n_words, n_removed, kept, ...) of texts with their groups of repeated windows."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 n_words, n_removed, kept = [], [], []
-                data, offsets = buffers(part.column(1))
-                for d in range(part.num_rows):
+                data, offsets = buffers(unpack(part.column(1)))
+                for d, groups in enumerate(part.column(2).to_pylist()):
                     words = data[offsets[d] : offsets[d + 1]].tobytes().split()
                     n_words.append(len(words))
-                    starts = part.column(2)[d]
                     cut = 0
-                    if starts.is_valid and len(starts):
-                        left = []
-                        at = 0
-                        for lo, hi in zip(*merge(np.asarray(starts.values), window), strict=True):
-                            left += words[at:lo]
-                            cut += hi - lo
-                            at = hi
+                    if groups:
+                        lo, n = np.array([(g["at"], g["n"]) for g in groups], np.int64).T
+                        left, at = [], 0
+                        for a, b in merge(lo, lo + n + window - 1):
+                            left += words[at:a]
+                            cut += b - a
+                            at = b
                         words = left + words[at:]
-                    n_removed.append(int(cut))
+                    n_removed.append(cut)
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *part.columns[3:]], ["doc_id", "n_words", "n_removed", "kept", *part.schema.names[3:]])
 
     return go
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, t1, t2, starts): first words of the windows that also start in a document with a smaller id.
+def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, t, groups): groups (at, n) of n windows from word `at` on that also start in a document with a smaller id.
 
-    docs(doc_id, t1, t2, text) with t1, t2 hashes of the text.
+    docs(doc_id, t, text) with t a hash of the text; texts: the same rows, packed().
     """
-    found = docs.mapInArrow(_minimizers(window), "doc_id long, t1 long, t2 long, m long")
-    shared = found.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
-    lists = found.join(shared, "m").groupBy(*KEY).agg(F.collect_list("m").alias("shared"))
-    again = docs.join(lists, list(KEY)).select(*KEY, "text", "shared")
-    hashed = written(again.mapInArrow(_candidates(window), "doc_id long, t1 long, t2 long, at int, h1 long, h2 long"))
+    every = docs.mapInArrow(_groups(window), "doc_id long, t int, m long, s long, at int, n int")
+    shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
+    groups = written(every.join(shared, "m"))
+    spans = written(groups.groupBy("m", "s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+    whole = groups.join(spans.where("lo < hi").select("m", "s", "lo"), ["m", "s"]).where("lo < doc_id").select(*KEY, "at", "n")
+    several = spans.groupBy("m").agg(F.count("*").alias("spans"), F.min("lo").alias("a"), F.max("hi").alias("z")).where("spans > 1 AND a < z").select("m")
+    first = groups.join(spans.select("m", "s", F.col("lo").alias("doc_id")).join(several, "m", "left_semi"), ["m", "s", "doc_id"], "left_semi")
+    lists = first.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
+    again = texts.join(lists, list(KEY)).select(*KEY, "text", "groups")
+    hashed = written(again.mapInArrow(_candidates(window), "doc_id long, t int, at int, h1 long, h2 long"))
     least = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    hits = hashed.join(least, ["h1", "h2"]).where("lo < doc_id")
-    return hits.groupBy(*KEY).agg(F.array_distinct(F.collect_list("at")).alias("starts"))
+    single = hashed.join(least, ["h1", "h2"]).where("lo < doc_id").select(*KEY, "at", F.lit(1).alias("n"))
+    return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -155,12 +163,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     neither smaller nor larger than another: such rows lose nothing and take nothing from others. Copies of one
     id are one document: they don't repeat each other. Other columns pass through, but for names that clash with the new ones.
     """
-    new = {"doc_id", "text", "n_words", "n_removed", "kept", "t1", "t2", "starts", "shared"}
+    new = {"doc_id", "text", "n_words", "n_removed", "kept", "t", "groups"}
     others = [c for c in docs.columns if c not in new]
     docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text", *others)
-    starts = repeated_windows(keyed.where("doc_id IS NOT NULL").select(*KEY, "text"), window)
-    joined = keyed.join(starts, list(KEY), "left").select("doc_id", "text", "starts", *others)
+    keyed = docs.select("doc_id", F.hash("text").alias("t"), "text", *others)
+    known = keyed.where("doc_id IS NOT NULL").select(*KEY, "text")
+    found = repeated_windows(known, packed(known), window)
+    joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", *others)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in others)
     return joined.mapInArrow(_kept(window), schema)
