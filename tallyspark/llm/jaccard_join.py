@@ -6,16 +6,18 @@ reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b)
 
 1. Documents with equal sets are one node (a 64-bit digest of the set), so copies never meet as pairs.
 2. Sets that alike share one of their n / 4 smallest shingle hashes (the prefix bound), so documents are
-   brought together by those; hashes of one node only are dropped.
+   brought together by those; hashes of one node only are dropped. A hash carries its set's class of
+   size, and linked sets are of one class or of neighbouring ones.
 3. Star: each node of a hash is compared with the hash's smallest node. Points bound the overlap, the pairs that survive
    are verified on whole sets. Linked nodes are contracted to components.
-4. Rest: where a hash still holds several components, its points are indexed in R-trees, by classes of
-   set size; a dual descent keeps pairs of different components whose bound on boxes, then on points, allows a link, and
-   those are verified. So no pair within a component is looked at again, and no link between components is lost.
+4. Rest: where a hash still holds several components, pairs of different components are candidates: straight away if few
+   nodes share the hash, else through R-trees over the nodes' points, whose dual descent keeps pairs that the bound
+   on boxes, then on points, allows. All candidates pass the bound on points and are verified. So no
+   pair within a component is looked at again, and no link between components is lost.
 5. Components of all links; their smallest doc_id goes to every row.
 
 Hashes that very many nodes share are split: nodes are dealt into parts and every two parts meet in a
-task of their own, so that no task holds more than 2 * PART points of a hash.
+task of their own, so that no tree holds more than about 2 * PART points.
 """
 
 from collections.abc import Iterator
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.graph import components
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, mix, powers, runs, slices
 
 SHINGLE = 5
-PART = 2048
+FEW, PART = 8, 2048
 LEAF, FAN = 32, 8
 CLASS_BASE = 1.34  # sizes of linked sets differ by at most 4/3, so by at most one class
 
@@ -71,8 +73,12 @@ def digest(hashes: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def size_class(n: int) -> int:
+    return int(np.log(n) / np.log(CLASS_BASE))
+
+
 def _prefixes(size: int):
-    """Rows (h, node) of the prefixes of documents' sets."""
+    """Rows (h, node) of the prefixes of documents' sets; the last 7 bits of h are replaced by the set's class of size."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +87,7 @@ def _prefixes(size: int):
                 for s in shingle_sets(words, size):
                     if len(s):
                         nodes.append(digest(s))
-                        parts.append(s[: prefix_size(len(s))])
+                        parts.append((s[: prefix_size(len(s))] & ~np.uint64(127)) | np.uint64(size_class(len(s))))
                 if parts:
                     node = np.repeat(np.array(nodes, np.int64), [len(p) for p in parts])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], ["h", "node"])
@@ -103,37 +109,64 @@ def _points(size: int):
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, node), those whose h has two nodes at least, once each, with the smallest node as `lo`."""
-    last = None  # (h, lo, last node, told) of the run that is open
+    """Of rows (h, node) sorted by (h without its class, node), those whose h has two nodes at least, once each.
+
+    Rows (h, k, node, lo): k the class, lo the h's smallest node where it is of a class that node can be linked with and
+    another node, else null. A run of one h may be longer than a batch; only its first row is kept.
+    """
+    last = None  # (h, lo, class of lo, last node, told) of the run that is open
     for batch in batches:
-        h, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(h):
-            continue
+        raw, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        h, k = raw >> 7, raw & 127
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        if last and h[0] == last[0] and node[0] == last[2]:
+        if last and len(h) and h[0] == last[0] and node[0] == last[3]:
             new[0] = False
-        h, node = h[new], node[new]
+        h, k, node = h[new], k[new], node[new]
         if not len(h):
             continue
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         joined = bool(last) and h[0] == last[0]
         starts = np.flatnonzero(first)
-        lo = node[starts][np.cumsum(first) - 1]
+        run = np.cumsum(first) - 1
+        lo, lo_k = node[starts][run], k[starts][run]
         count = np.diff([*starts, len(h)])
         if joined:
-            lo[: count[0]] = last[1]
-        many = np.repeat(count > 1, count)
-        out_h, out_node, out_lo = [h[many]], [node[many]], [lo[many]]
+            lo[: count[0]], lo_k[: count[0]] = last[1], last[2]
+        shown = np.repeat(count > 1, count)
+        told = bool(count[-1] > 1)
+        out = []
         if joined:
-            if count[0] == 1:
-                out_h.append(h[:1]), out_node.append(node[:1]), out_lo.append(lo[:1])
-            if not last[3]:
-                out_h.append(h[:1]), out_node.append(np.array([last[1]])), out_lo.append(lo[:1])
-        told = count[-1] > 1 or (joined and len(count) == 1)
-        last = (h[-1], lo[-1], node[-1], told)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_h, out_node, out_lo)], ["h", "node", "lo"])
+            shown[: count[0]] = True
+            if not last[4]:
+                out.append((h[:1], np.array([last[2]]), np.array([last[1]]), np.array([last[1]]), np.array([last[2]])))
+            told = told or len(count) == 1
+        out.append((h[shown], k[shown], node[shown], lo[shown], lo_k[shown]))
+        last = (h[-1], lo[-1], lo_k[-1], node[-1], told)
+        h, k, node, lo, lo_k = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int32)), pa.array(node), pa.array(lo, mask=(lo == node) | (abs(lo_k - k) > 1))], ["h", "k", "node", "lo"])
+
+
+def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components and near classes of rows (h, k, node, comp) sorted by h, FEW a hash at most."""
+    left = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if left is not None:
+            rows = [np.concatenate([x, y]) for x, y in zip(left, rows, strict=True)]
+        left = [x[-FEW:] for x in rows]
+        h, k, node, comp = rows
+        a, b = [], []
+        for step in range(1, min(FEW, len(h))):
+            x, y = slice(0, -step), slice(step, None)
+            keep = (h[x] == h[y]) & (comp[x] != comp[y]) & (abs(k[x].astype(np.int64) - k[y]) <= 1)
+            a.append(node[x][keep])
+            b.append(node[y][keep])
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _fold(vec: bytes, groups: int) -> np.ndarray:
@@ -246,7 +279,7 @@ def _sets(size: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in slices(batch.column(0), lower=True):
+            for _, _, words in slices(unpack(batch.column(0)), lower=True):
                 found = [s for s in shingle_sets(words, size) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
 
@@ -284,7 +317,7 @@ def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, size: int) ->
     centres = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
     sends = members.unionByName(centres)
     need = points.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("doc_id").distinct()
-    sets = docs.join(need, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"])
+    sets = packed(docs).join(need, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"])
     rows = sets.join(sends, "node").select("a", "part", "b", "set")
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
 
@@ -298,18 +331,18 @@ def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, points: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs between components, found in R-trees over each hash's points."""
-    at = members.select("h", "node").join(comps, "node", "left").select("h", "node", F.coalesce("root", "node").alias("comp"))
+    """Candidate pairs between components of the nodes that share a hash."""
+    at = members.select("h", "k", "node").join(comps, "node", "left").select("h", "k", "node", F.coalesce("root", "node").alias("comp"))
     several = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).where("c0 < c1")
-    rows = at.join(several.select("h", "rows"), "h").join(points.select("node", "n", "vec"), "node")
-    k = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(CLASS_BASE)))).cast("int")
-    parts = F.ceil(F.col("rows") / PART).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("k", k).withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("k") - F.col("role"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("h", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "role", "part", "node", "n", "comp", "vec")
-    cells = rows.repartition("h", "k", "i", "j").sortWithinPartitions("h", "k", "i", "j")
-    return cells.mapInArrow(_cell_pairs, "a long, b long").distinct()
+    rows = written(at.join(several.select("h", "rows"), "h"))
+    few = rows.where(F.col("rows") <= FEW).select("h", "k", "node", "comp").repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
+    many = rows.where(F.col("rows") > FEW).join(points.select("node", "n", "vec"), "node")
+    many = many.withColumn("parts", F.ceil(F.col("rows") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    many = many.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("k") - F.col("role"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = many.select("h", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "role", "part", "node", "n", "comp", "vec")
+    cells = many.repartition("h", "k", "i", "j").sortWithinPartitions("h", "k", "i", "j")
+    return few.unionByName(cells.mapInArrow(_cell_pairs, "a long, b long")).distinct()
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -323,12 +356,13 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     docs = docs.where("doc_id IS NOT NULL")
     known = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     points = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")))
-    prefixes = docs.select("text").mapInArrow(_prefixes(size), "h long, node long")
-    members = written(prefixes.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_shared_runs, "h long, node long, lo long"))
-    star = _bound(members.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), points)
-    first = written(verified(docs, points, star, size))
-    rest = written(_rest(members, points, components(first)))
-    second = written(verified(docs, points, rest, size))
+    prefixes = docs.select("text").mapInArrow(_prefixes(size), "h long, node long").withColumn("g", F.shiftright("h", 7))
+    members = prefixes.repartition("g").sortWithinPartitions("g", "node").select("h", "node")
+    members = written(members.mapInArrow(_shared_runs, "h long, k int, node long, lo long"))
+    star = written(members.where("lo IS NOT NULL").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
+    first = written(verified(docs, points, _bound(star, points), size))
+    rest = _rest(members, points, components(first)).join(star, ["a", "b"], "left_anti")
+    second = written(verified(docs, points, _bound(rest, points), size))
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     return rows.select("doc_id", "node", "n"), first.unionByName(second).unionByName(same)
