@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, jaccard_join, kd_search, media, mixing, quality, substring_dedup, token_counts, toxicity
+from tallyspark.llm import bpe, html_text, jaccard_join, kd_search, media, mixing, quality, substring_dedup, token_counts, toxicity
 from tallyspark.llm.shared import table
 
 
@@ -39,6 +39,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_kd_search": op5_kd_search,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_text": op7_html_text,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality": op9_quality,
     "op10_gif_media": op10_gif_media,
