@@ -212,14 +212,15 @@ def _digest(ranks_path: str, pattern: str):
                     ids = values[a:b].tolist()
                     rows.append((len(ids), hashlib.sha256(vocab.line(ids)).hexdigest(), hashlib.sha256(vocab.decode(ids)).hexdigest()))
                 n, one, two = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two), part.column(1)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return go
 
 
 def digests(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded rows: digests of the ids and of the bytes they decode to."""
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_digest(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of encoded rows: digests of the ids and of the bytes they decode to."""
+    rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return rows.mapInArrow(_digest(ranks_path, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def token_bytes(ranks_path: str, pattern: str) -> np.ndarray:

@@ -41,7 +41,7 @@ subscribe subscription signup login toolbar widget skip tags
 """.split())
 WHITE = re.compile(r"\s+")
 REMARKS = set("comment comments reply replies related".split())
-COPY_PART = 0.5
+COPY_PART = 0.8
 
 
 def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:

@@ -379,3 +379,16 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """The document of each component with the smallest id, with all columns.
+
+    Of rows that share that id the first by their columns' values stays. Rows with a null id all stay.
+    """
+    ids = classes(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = docs.join(ids, "doc_id")
+    single = kept.where("_n = 1").select(*docs.columns)
+    several = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_r"))
+    several = several.select(*(F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns))
+    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))

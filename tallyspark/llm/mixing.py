@@ -18,7 +18,7 @@ import math
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import written
@@ -137,7 +137,26 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple = (5, 2, 1), most: f
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"), *keep)
 
 
+def words() -> Column:
+    """Runs of other than ASCII white space in the column text; null text: 0."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+
+
 def mixed_documents(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0) -> DataFrame:
-    """Document sizes in words, then mix(): `size` counts runs of other than ASCII white space; null text: 0."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    return mix(docs.select("doc_id", "source", size.alias("size")), "size", weights, most)
+    """mix() of documents, sized in words."""
+    return mix(docs.select("doc_id", "source", words().alias("size")), "size", weights, most)
+
+
+def repeated_documents(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with all its columns.
+
+    Rows alike in id, text and source count together: the first of them by its columns stands for all.
+    """
+    key = F.xxhash64("text", "source")
+    taken = mix(docs.select("doc_id", "source", words().alias("size"), key.alias("_t")), "size", weights, most, keep=("_t",))
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), "_t").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
+    rows = docs.withColumn("_k", key)
+    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_t"))).where("_copies > 0")
+    single = met.where("_n = 1").select(*docs.columns, "_copies")
+    several = met.where("_n > 1").groupBy("_id", "_t").agg(F.min(F.struct(*docs.columns)).alias("_r"), F.first("_copies").alias("_copies")).select("_r.*", "_copies")
+    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

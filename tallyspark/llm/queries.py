@@ -36,7 +36,7 @@ def op5_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where).drop("ids")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

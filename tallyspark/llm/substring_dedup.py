@@ -108,7 +108,17 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _kept(window: int):
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without the words in spans; what stands around the others stays as it is."""
+    words = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    out, at = [], 0
+    for a, b in spans:
+        out.append(text[at : words.starts[a]])
+        at = int(words.starts[b]) if b < len(words.starts) else len(text)
+    return b"".join([*out, text[at:]])
+
+
+def _kept(window: int, as_is: bool):
     """Applies removals: rows (doc_id, n_words, n_removed, kept, ...) of texts with their groups of repeated windows."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +128,21 @@ def _kept(window: int):
                 n_words, n_removed, kept = [], [], []
                 data, offsets = buffers(unpack(part.column(1)))
                 for d, groups in enumerate(part.column(2).to_pylist()):
-                    words = data[offsets[d] : offsets[d + 1]].tobytes().split()
+                    raw = data[offsets[d] : offsets[d + 1]].tobytes()
+                    words = raw.split()
                     n_words.append(len(words))
-                    cut = 0
+                    cut, spans = 0, []
                     if groups:
                         lo, n = np.array([(g["at"], g["n"]) for g in groups], np.int64).T
                         left, at = [], 0
-                        for a, b in merge(lo, lo + n + window - 1):
+                        spans = merge(lo, lo + n + window - 1)
+                        for a, b in spans:
                             left += words[at:a]
                             cut += b - a
                             at = b
                         words = left + words[at:]
                     n_removed.append(cut)
-                    kept.append(b" ".join(words).decode())
+                    kept.append((_cut(raw, spans) if as_is else b" ".join(words)).decode())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *part.columns[3:]], ["doc_id", "n_words", "n_removed", "kept", *part.schema.names[3:]])
 
     return go
@@ -156,10 +168,11 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW) ->
     return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, *other columns): each text without its repeated passages, words joined by one space.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, as_is: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, *other columns): each text without its repeated passages.
 
-    A text with nothing to remove is normalised alike. Null: no words. Texts of under `window` words keep all. A null id is
+    The kept words are joined by one space, in texts with nothing to remove too; with as_is, white space around kept
+    words stays as it was. Null: no words. Texts of under `window` words keep all. A null id is
     neither smaller nor larger than another: such rows lose nothing and take nothing from others. Copies of one
     id are one document: they don't repeat each other. Other columns pass through, but for names that clash with the new ones.
     """
@@ -172,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", *others)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in others)
-    return joined.mapInArrow(_kept(window), schema)
+    return joined.mapInArrow(_kept(window, as_is), schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

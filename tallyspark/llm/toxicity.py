@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.labels import TRAIN_ROWS, held_out, training
@@ -310,6 +310,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return parts, _fit(inputs(h, t), y)
 
 
+def _probability(w: np.ndarray, heaviest: str, total: str) -> Column:
+    total, heaviest = F.col(total), F.col(heaviest)
+    dot = F.lit(float(w[0])) + F.lit(float(w[1])) * F.least(total, F.lit(1.0)) + F.lit(float(w[2])) * F.log1p(total) + F.lit(float(w[3])) * F.log1p(heaviest)
+    return 1 / (1 + F.exp(-dot))
+
+
 def score(docs: DataFrame, model: tuple[tuple, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, score, predicted, heaviest, total) of every row, from its whole text alone.
 
@@ -318,7 +324,24 @@ def score(docs: DataFrame, model: tuple[tuple, np.ndarray]) -> DataFrame:
     parts, w = model
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     found = rows.mapInArrow(_evidence(docs.sparkSession.sparkContext.broadcast(parts), False), "doc_id long, held_out boolean, heaviest double, total double")
-    total, heaviest = F.col("total"), F.col("heaviest")
-    dot = F.lit(float(w[0])) + F.lit(float(w[1])) * F.least(total, F.lit(1.0)) + F.lit(float(w[2])) * F.log1p(total) + F.lit(float(w[3])) * F.log1p(heaviest)
-    out = found.withColumn("score", 1 / (1 + F.exp(-dot)))
+    out = found.withColumn("score", _probability(w, "heaviest", "total"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "heaviest", "total")
+
+
+def _with_evidence(lexicon, at: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(*lexicon.value)
+        for batch in batches:
+            found = [evidence(t, known)[:2] if t else (0.0, 0.0) for t in batch.column(at).to_pylist()]
+            cols = [pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "toxic_heaviest", "toxic_total"])
+
+    return go
+
+
+def reject(docs: DataFrame, model: tuple[tuple, np.ndarray], cut: float = 0.5) -> DataFrame:
+    """The rows whose score is below `cut`, with all their columns."""
+    parts, w = model
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_heaviest double, toxic_total double"
+    found = docs.mapInArrow(_with_evidence(docs.sparkSession.sparkContext.broadcast(parts), docs.columns.index("text")), schema)
+    return found.where(_probability(w, "toxic_heaviest", "toxic_total") < cut).drop("toxic_heaviest", "toxic_total")
