@@ -1,0 +1 @@
+"""Zone-level demand analytics as DataFrame operators on Spark."""
