@@ -8,8 +8,9 @@ reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b)
 2. Sets that alike share one of their n / 4 smallest shingle hashes (the prefix bound), so documents are
    brought together by those; hashes of one node only are dropped. A hash carries its set's class of
    size, and linked sets are of one class or of neighbouring ones.
-3. Star: each node of a hash is compared with the hash's smallest node. Points bound the overlap, the pairs that survive
-   are verified on whole sets. Linked nodes are contracted to components.
+3. Star: where more than FEW nodes share a hash, each is compared with the one of its class of size, or a class next
+   to it, that shares most hashes with most others (in a family of copies the one nearest to all). Points bound the
+   overlap, the pairs that survive are verified on whole sets. Linked nodes are contracted to components.
 4. Rest: where a hash still holds several components, pairs of different components are candidates: straight away if few
    nodes share the hash, else through R-trees over the nodes' points, whose dual descent keeps pairs that the bound
    on boxes, then on points, allows. All candidates pass the bound on points and are verified. So no
@@ -32,7 +33,7 @@ from tallyspark.llm.shared import packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, mix, powers, runs, slices
 
 SHINGLE = 5
-FEW, PART = 8, 2048
+FEW, PART = 8, 8192
 LEAF, FAN = 32, 8
 CLASS_BASE = 1.34  # sizes of linked sets differ by at most 4/3, so by at most one class
 
@@ -65,6 +66,12 @@ def point(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
+def packed_point(hashes: np.ndarray) -> bytes:
+    """A set's point in the narrowest unsigned integers that hold its counts."""
+    counts = point(hashes, group_bits(len(hashes)))
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
 def digest(hashes: np.ndarray) -> int:
     """A signed 64-bit number of a set (sorted hashes)."""
     up, _ = powers(WORD_BASES[1], len(hashes) + 1)
@@ -96,12 +103,12 @@ def _prefixes(size: int):
 
 
 def _points(size: int):
-    """Rows (doc_id, node, n, vec): node is null for empty sets; vec holds unsigned 32-bit counts."""
+    """Rows (doc_id, node, n, vec): node is null for empty sets; vec holds the counts of the set's point."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, words in slices(batch.column(1), lower=True):
-                rows = [(digest(s), len(s), point(s, group_bits(len(s))).astype("<u4").tobytes()) if len(s) else (None, 0, None) for s in shingle_sets(words, size)]
+                rows = [(digest(s), len(s), packed_point(s)) if len(s) else (None, 0, None) for s in shingle_sets(words, size)]
                 node, n, vec = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(vec, pa.binary())], ["doc_id", "node", "n", "vec"])
 
@@ -111,41 +118,29 @@ def _points(size: int):
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (h, node) sorted by (h without its class, node), those whose h has two nodes at least, once each.
 
-    Rows (h, k, node, lo): k the class, lo the h's smallest node where it is of a class that node can be linked with and
-    another node, else null. A run of one h may be longer than a batch; only its first row is kept.
+    Rows (h, k, node), k the class. A run of one h may be longer than a batch; only its last row is kept.
     """
-    last = None  # (h, lo, class of lo, last node, told) of the run that is open
+    last = None  # (h, class, node, told) of the row before
     for batch in batches:
         raw, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         h, k = raw >> 7, raw & 127
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        if last and len(h) and h[0] == last[0] and node[0] == last[3]:
+        if last and len(h) and h[0] == last[0] and node[0] == last[2]:
             new[0] = False
         h, k, node = h[new], k[new], node[new]
         if not len(h):
             continue
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        joined = bool(last) and h[0] == last[0]
-        starts = np.flatnonzero(first)
-        run = np.cumsum(first) - 1
-        lo, lo_k = node[starts][run], k[starts][run]
-        count = np.diff([*starts, len(h)])
-        if joined:
-            lo[: count[0]], lo_k[: count[0]] = last[1], last[2]
-        shown = np.repeat(count > 1, count)
-        told = bool(count[-1] > 1)
-        out = []
-        if joined:
-            shown[: count[0]] = True
-            if not last[4]:
-                out.append((h[:1], np.array([last[2]]), np.array([last[1]]), np.array([last[1]]), np.array([last[2]])))
-            told = told or len(count) == 1
-        out.append((h[shown], k[shown], node[shown], lo[shown], lo_k[shown]))
-        last = (h[-1], lo[-1], lo_k[-1], node[-1], told)
-        h, k, node, lo, lo_k = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int32)), pa.array(node), pa.array(lo, mask=(lo == node) | (abs(lo_k - k) > 1))], ["h", "k", "node", "lo"])
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[1:] == h[:-1]
+        same[0] = bool(last) and h[0] == last[0]
+        shown = same[:-1] | same[1:]
+        out = [(h[shown], k[shown], node[shown])]
+        if same[0] and not last[3]:
+            out.append(tuple(np.array([x]) for x in last[:3]))
+        last = (h[-1], k[-1], node[-1], shown[-1])
+        h, k, node = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int32)), pa.array(node)], ["h", "k", "node"])
 
 
 def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +164,10 @@ def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _fold(vec: bytes, groups: int) -> np.ndarray:
-    v = np.frombuffer(vec, "<u4").astype(np.int64)
-    return v.reshape(groups, -1).sum(1)
+def _fold(vec: bytes, n: int, groups: int) -> np.ndarray:
+    """The point of a set of n shingles over fewer groups: neighbouring groups are summed."""
+    v = np.frombuffer(vec, f"<u{len(vec) >> group_bits(n)}")
+    return v.reshape(groups, -1).sum(1, dtype=np.int64)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +176,8 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
         keep = []
         for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            groups = min(len(x), len(y)) // 4
-            keep.append(7 * np.minimum(_fold(x, groups), _fold(y, groups)).sum() >= 3 * (na[i] + nb[i]))
+            groups = 1 << group_bits(int(min(na[i], nb[i])))
+            keep.append(7 * np.minimum(_fold(x, int(na[i]), groups), _fold(y, int(nb[i]), groups)).sum() >= 3 * (na[i] + nb[i]))
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -240,8 +236,8 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         role, part, node, n, comp = (np.array([r[c] for r in rows], np.int64) for c in range(5))
-        groups = min(len(r[5]) for r in rows) // 4
-        points = np.stack([_fold(r[5], groups) for r in rows])
+        groups = 1 << group_bits(min(r[3] for r in rows))
+        points = np.stack([_fold(r[5], r[3], groups) for r in rows])
         a, b = [], []
         for x, y in RTree(points, n, comp).pairs():
             keep = (role[x] + role[y] < 2) & ((part[x] != part[y]) | same)
@@ -254,7 +250,7 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
-        a, b = (np.concatenate([d[c] for d in done]) for c in (0, 1))
+        a, b = np.unique(np.concatenate([np.stack(d) for d in done], axis=1), axis=1)
         done.clear()
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -330,13 +326,22 @@ def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "na", "va", "nb", "vb").mapInArrow(_bounded, "a long, b long")
 
 
+def _star(many: DataFrame) -> DataFrame:
+    """Pairs of the nodes that share a hash with the centre of their class and of the classes next to it."""
+    share = F.sum("rows") / F.pow(F.lit(CLASS_BASE), F.first("k"))
+    best = many.join(many.groupBy("node").agg(share.alias("share")), "node").groupBy("h", "k").agg(F.max(F.struct("share", "node"))["node"].alias("a"))
+    near = best.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
+    pairs = many.join(near, ["h", "k"]).where("node <> a")
+    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def _rest(members: DataFrame, points: DataFrame, comps: DataFrame) -> DataFrame:
     """Candidate pairs between components of the nodes that share a hash."""
-    at = members.select("h", "k", "node").join(comps, "node", "left").select("h", "k", "node", F.coalesce("root", "node").alias("comp"))
-    several = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).where("c0 < c1")
-    rows = written(at.join(several.select("h", "rows"), "h"))
-    few = rows.where(F.col("rows") <= FEW).select("h", "k", "node", "comp").repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
-    many = rows.where(F.col("rows") > FEW).join(points.select("node", "n", "vec"), "node")
+    at = members.join(comps, "node", "left").select("h", "k", "node", "rows", F.coalesce("root", "node").alias("comp"))
+    few = at.where(F.col("rows") <= FEW).select("h", "k", "node", "comp").repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
+    many = at.where(F.col("rows") > FEW)
+    several = many.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("h")
+    many = many.join(several, "h").join(points.select("node", "n", "vec"), "node")
     many = many.withColumn("parts", F.ceil(F.col("rows") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     many = many.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("k") - F.col("role"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -356,10 +361,12 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     docs = docs.where("doc_id IS NOT NULL")
     known = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
     points = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")))
-    prefixes = docs.select("text").mapInArrow(_prefixes(size), "h long, node long").withColumn("g", F.shiftright("h", 7))
-    members = prefixes.repartition("g").sortWithinPartitions("g", "node").select("h", "node")
-    members = written(members.mapInArrow(_shared_runs, "h long, k int, node long, lo long"))
-    star = written(members.where("lo IS NOT NULL").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct())
+    prefixes = docs.select("text").mapInArrow(_prefixes(size), "h long, node long")
+    key = F.shiftright("h", 7)
+    shared = prefixes.repartition(key).sortWithinPartitions(key, "node")
+    shared = written(shared.mapInArrow(_shared_runs, "h long, k int, node long"))
+    members = written(shared.join(shared.groupBy("h").agg(F.count("*").alias("rows")), "h"))
+    star = written(_star(members.where(F.col("rows") > FEW)))
     first = written(verified(docs, points, _bound(star, points), size))
     rest = _rest(members, points, components(first)).join(star, ["a", "b"], "left_anti")
     second = written(verified(docs, points, _bound(rest, points), size))
