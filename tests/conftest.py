@@ -16,7 +16,7 @@ def spark():
 
     top = tempfile.mkdtemp(prefix="spark-")
     s = (
-        SparkSession.builder.master("local[4]").appName("tests")
+        SparkSession.builder.master("local[2]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{top}/shared").config("spark.sql.warehouse.dir", f"{top}/warehouse")
         .getOrCreate()
