@@ -40,7 +40,7 @@ EDIT_FROM, WINDOW = 5, 8
 LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN, MOST_TERMS = 6, 0.02, 3.2, 0.1, 2000
 OWN_WORDS = 3
 STEMS = range(4, 9)
-MEMO = 400_000
+MEMO = 200_000
 
 
 class Trie:
@@ -332,9 +332,11 @@ def _with_evidence(lexicon, at: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(*lexicon.value)
         for batch in batches:
-            found = [evidence(t, known)[:2] if t else (0.0, 0.0) for t in batch.column(at).to_pylist()]
-            cols = [pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "toxic_heaviest", "toxic_total"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [evidence(t, known)[:2] if t else (0.0, 0.0) for t in part.column(at).to_pylist()]
+                cols = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "toxic_heaviest", "toxic_total"])
 
     return go
 

@@ -6,12 +6,11 @@ inverse), finished by a bijective mixer. They depend on the words alone, never o
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -21,20 +20,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below size."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        x = np.full(size, b, np.uint64)
-        x[0] = 1
-        out.append(np.cumprod(x, dtype=np.uint64))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(12, (size - 1).bit_length()))
+    """base**i and base**-i modulo 2**64 for i below size at least; tables grow as needed, one of each base stays."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(1 << max(12, (size - 1).bit_length()), b, np.uint64)
+            x[0] = 1
+            out.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[base] = (out[0], out[1])
+    return _POWERS[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
