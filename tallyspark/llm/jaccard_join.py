@@ -11,13 +11,14 @@ reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b)
 3. Star: where more than FEW nodes share a hash, each is compared with the one of its class of size, or a class next
    to it, that shares most hashes with most others (in a family of copies the one nearest to all). Points bound the
    overlap, the pairs that survive are verified on whole sets. Linked nodes are contracted to components.
-4. Rest: where a hash still holds several components, pairs of different components are candidates: straight away if few
-   nodes share the hash, else through R-trees over the nodes' points, whose dual descent keeps pairs that the bound
-   on boxes, then on points, allows. All candidates pass the bound on points and are verified. So no
-   pair within a component is looked at again, and no link between components is lost.
+4. Rest: pairs of different components that share a hash are candidates, straight away if few nodes share it. Otherwise
+   both were compared with the same centre, so the nodes of each centre are indexed in R-trees by their points,
+   class by class of size; a dual descent keeps pairs that the bound on boxes, then on points, allows. All
+   candidates pass the bound on fine points and are verified. No pair within a component is looked at again, and no link
+   between components is lost.
 5. Components of all links; their smallest doc_id goes to every row.
 
-Hashes that very many nodes share are split: nodes are dealt into parts and every two parts meet in a
+Centres of very many nodes are split: nodes are dealt into parts and every two parts meet in a
 task of their own, so that no tree holds more than about 2 * PART points.
 """
 
@@ -57,8 +58,8 @@ def prefix_size(n: int) -> int:
 
 
 def group_bits(n: int) -> int:
-    """About six shingles a group, 16 to 1024 groups."""
-    return int(min(10, max(4, np.ceil(np.log2(max(n, 1) / 6)))))
+    """About two groups a shingle, 16 to 4096 groups."""
+    return int(min(12, max(4, np.ceil(np.log2(max(n, 1) * 1.5)))))
 
 
 def point(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -228,27 +229,38 @@ class RTree:
                     yield self.order[x[keep]], self.order[y[keep]]
 
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each cell; rows (h, k, i, j, role, part, node, n, comp, vec) come sorted by cell.
+def cell_pairs(part: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, vecs: list[bytes], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among some nodes; with `same` false only pairs of different parts."""
+    k = np.array([size_class(x) for x in n])
+    out = []
+    for c in np.unique(k):
+        at = np.flatnonzero((k == c) | (k == c + 1))
+        if len(at) < 2 or not (k[at] == c).any() or (comp[at] == comp[at[0]]).all():
+            continue
+        bits = group_bits(int(n[at].min()))
+        fine = np.stack([_fold(vecs[i], int(n[i]), 1 << bits) for i in at]).astype(np.int32)
+        coarse = fine.reshape(len(at), -1, 1 << max(0, bits - 5)).sum(2)
+        for x, y in RTree(coarse, n[at], comp[at]).pairs():
+            keep = ((k[at[x]] == c) | (k[at[y]] == c)) & ((part[at[x]] != part[at[y]]) | same)
+            x, y = x[keep], y[keep]
+            for i in range(0, len(x), 4096):
+                p, q = x[i : i + 4096], y[i : i + 4096]
+                close = 7 * np.minimum(fine[p], fine[q]).sum(1) >= 3 * (n[at[p]] + n[at[q]])
+                out.append(np.stack([node[at[p[close]]], node[at[q[close]]]]))
+    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return np.minimum(a, b), np.maximum(a, b)
 
-    A cell holds the points of one hash and one class of sizes (role 0) and of the class above (role 1).
-    """
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        role, part, node, n, comp = (np.array([r[c] for r in rows], np.int64) for c in range(5))
-        groups = 1 << group_bits(min(r[3] for r in rows))
-        points = np.stack([_fold(r[5], r[3], groups) for r in rows])
-        a, b = [], []
-        for x, y in RTree(points, n, comp).pairs():
-            keep = (role[x] + role[y] < 2) & ((part[x] != part[y]) | same)
-            a.append(node[x[keep]])
-            b.append(node[y[keep]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return np.minimum(a, b), np.maximum(a, b)
-
-    open_, rows, same = None, [], True
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each cell of rows (a, i, j, part, node, n, comp, vec), sorted by (a, i, j)."""
+    open_, rows = None, []
     done: list[tuple] = []
 
+    def solve() -> None:
+        if len(rows) > 1:
+            part, node, n, comp, vecs = zip(*rows, strict=True)
+            done.append(cell_pairs(np.array(part), np.array(node, np.int64), np.array(n, np.int64), np.array(comp, np.int64), vecs, open_[1] == open_[2]))
+
     def flush() -> pa.RecordBatch:
         a, b = np.unique(np.concatenate([np.stack(d) for d in done], axis=1), axis=1)
         done.clear()
@@ -256,16 +268,14 @@ def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         cols = [c.to_pylist() for c in batch.columns]
-        for cell, row in zip(zip(*cols[:4], strict=True), zip(*cols[4:], strict=True), strict=True):
+        for cell, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
             if cell != open_:
-                if len(rows) > 1:
-                    done.append(solve(rows))
-                    if sum(len(d[0]) for d in done) > 1 << 15:
-                        yield flush()
-                open_, rows, same = cell, [], cell[2] == cell[3]
+                solve()
+                if sum(len(d[0]) for d in done) > 1 << 17:
+                    yield flush()
+                open_, rows = cell, []
             rows.append(row)
-    if len(rows) > 1:
-        done.append(solve(rows))
+    solve()
     if done:
         yield flush()
 
@@ -327,27 +337,25 @@ def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _star(many: DataFrame) -> DataFrame:
-    """Pairs of the nodes that share a hash with the centre of their class and of the classes next to it."""
+    """(a, b): the centres a of hashes' classes of size with the nodes of the same and the next classes."""
     share = F.sum("rows") / F.pow(F.lit(CLASS_BASE), F.first("k"))
     best = many.join(many.groupBy("node").agg(share.alias("share")), "node").groupBy("h", "k").agg(F.max(F.struct("share", "node"))["node"].alias("a"))
     near = best.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    pairs = many.join(near, ["h", "k"]).where("node <> a")
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-
-
-def _rest(members: DataFrame, points: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs between components of the nodes that share a hash."""
-    at = members.join(comps, "node", "left").select("h", "k", "node", "rows", F.coalesce("root", "node").alias("comp"))
-    few = at.where(F.col("rows") <= FEW).select("h", "k", "node", "comp").repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
-    many = at.where(F.col("rows") > FEW)
-    several = many.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("h")
-    many = many.join(several, "h").join(points.select("node", "n", "vec"), "node")
-    many = many.withColumn("parts", F.ceil(F.col("rows") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    many = many.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("k") - F.col("role"))
+    return many.join(near, ["h", "k"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, star: DataFrame, points: DataFrame, comps: DataFrame) -> DataFrame:
+    """Candidate pairs between components of nodes that share a hash."""
+    few = members.where(F.col("rows") <= FEW).join(comps, "node", "left").select("h", "k", "node", F.coalesce("root", "node").alias("comp"))
+    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
+    many = star.withColumnRenamed("b", "node").join(comps, "node", "left").select("a", "node", F.coalesce("root", "node").alias("comp"))
+    cells = many.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("c0 < c1").select("a", "parts")
+    many = many.join(cells, "a").join(points.select("node", "n", "vec"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("h", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "role", "part", "node", "n", "comp", "vec")
-    cells = many.repartition("h", "k", "i", "j").sortWithinPartitions("h", "k", "i", "j")
-    return few.unionByName(cells.mapInArrow(_cell_pairs, "a long, b long")).distinct()
+    many = many.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "comp", "vec")
+    many = many.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return few.unionByName(many.mapInArrow(_cell_pairs, "a long, b long")).distinct().join(known.distinct(), ["a", "b"], "left_anti")
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -368,7 +376,7 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     members = written(shared.join(shared.groupBy("h").agg(F.count("*").alias("rows")), "h"))
     star = written(_star(members.where(F.col("rows") > FEW)))
     first = written(verified(docs, points, _bound(star, points), size))
-    rest = _rest(members, points, components(first)).join(star, ["a", "b"], "left_anti")
+    rest = _rest(members, star, points, components(first))
     second = written(verified(docs, points, _bound(rest, points), size))
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
