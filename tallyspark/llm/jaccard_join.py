@@ -239,7 +239,7 @@ def cell_pairs(part: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarr
             continue
         bits = group_bits(int(n[at].min()))
         fine = np.stack([_fold(vecs[i], int(n[i]), 1 << bits) for i in at]).astype(np.int32)
-        coarse = fine.reshape(len(at), -1, 1 << max(0, bits - 5)).sum(2)
+        coarse = fine.reshape(len(at), -1, 1 << min(3, bits - 4)).sum(2)
         for x, y in RTree(coarse, n[at], comp[at]).pairs():
             keep = ((k[at[x]] == c) | (k[at[y]] == c)) & ((part[at[x]] != part[at[y]]) | same)
             x, y = x[keep], y[keep]
