@@ -179,7 +179,7 @@ SQL = {
     "borough_metrics": "SELECT period, borough, count(DISTINCT zone_id) AS n_zones, count(*) AS n_rows, round_even(avg(actual), 3) AS mean_actual, " + ", ".join(f"round_even({e}, 4) AS {n}_{c}" for n in ("mae", "wape") for c in ("baseline", "forecast") for e in ([f"avg(abs({c} - actual))"] if n == "mae" else [f"sum(abs({c} - actual)) / nullif(sum(actual), 0)"])) + " FROM sc GROUP BY 1, 2",
     "day_bootstrap": f"SELECT period, {_r('mae_diff', 'ci95_low', 'ci95_high')}, CAST(200 AS INTEGER) AS n_bootstrap, CAST(n_days AS INTEGER) AS n_days FROM boot",
     "accuracy_report": f"""SELECT period, {_r('mae_baseline', 'mae_forecast')}, round(100 * wape_baseline, 6) AS wape_baseline_pct, round(100 * wape_forecast, 6) AS wape_forecast_pct,
-        printf('%.2f [%.2f, %.2f]', round_even(mae_diff, 2), round_even(ci95_low, 2), round_even(ci95_high, 2)) AS difference FROM per JOIN boot USING (period)""",
+        printf('%.2f [%.2f, %.2f]', round_even(mae_diff, 2) + 0.0, round_even(ci95_low, 2) + 0.0, round_even(ci95_high, 2) + 0.0) AS difference FROM per JOIN boot USING (period)""",
 }
 _EXTRA = {"bi_mom": ", m AS (SELECT strftime(hour, '%Y-%m') AS month, CAST(sum(trips_total) AS BIGINT) AS trips FROM om WHERE hour NOT BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-31' GROUP BY 1)"}
 
