@@ -3,13 +3,13 @@
 1. A page is parsed into blocks of text in page order. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
    comments and the like are marked as furniture by their tags, roles and class or id words.
 2. Differencing. Pages of a host are ordered by URL path; each is paired with the neighbour whose path shares the
-   longer beginning (the earlier one on ties). The lines of the two pages outside their articles are aligned by
-   longest common subsequence and shared lines are deleted, so furniture without telling marks goes
-   too. Lines inside an article or main element are safe. On pages without one, all lines take part, unless most words
-   of the page are shared: then the pages are copies of each other, not furniture.
+   longer beginning (the earlier one on ties). All lines of the two pages are aligned by longest common subsequence, and
+   shared lines of the article (of the body, without one) are deleted, so furniture without telling marks goes too.
+   Two pages are copies if more than four fifths of the words of both are shared; then the neighbour on the other side
+   counts instead, and without one, or if that is a copy too, nothing is deleted.
 3. What stays of the article (or of the body, without one) is joined by single spaces.
 
-Only hashes of the few lines that take part travel between pages. Neighbours come from one range sort; the
+Only hashes of lines travel between pages, then only the places of deleted lines. Neighbours come from one range sort; the
 first and last rows of its partitions meet in a table of two rows a partition, so no host is gathered in one task.
 """
 
@@ -41,7 +41,7 @@ subscribe subscription signup login toolbar widget skip tags
 """.split())
 WHITE = re.compile(r"\s+")
 REMARKS = set("comment comments reply replies related".split())
-COPY_PART = 0.8
+COPY_PART, WORDS = 0.8, 0x7FFF
 
 
 def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -83,10 +83,19 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
+            if tag not in VOID and (kind := element_kind(tag, attrs)) > 1:
+                self.flush()
+                self.stack.append((tag, kind))
             return
         self.flush()
         if tag == "br":
             return
+        if tag in CLOSES_P:
+            n = len(self.stack)
+            while n and self.stack[n - 1][0] in INLINE:
+                n -= 1
+            if n and self.stack[n - 1][0] == "p":
+                del self.stack[n:]
         if self.stack and self.stack[-1][0] == "p" and tag in CLOSES_P:
             self.stack.pop()
         elif self.stack and tag == self.stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th"):
@@ -100,6 +109,9 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in INLINE:
+            if self.stack and self.stack[-1][0] == tag:
+                self.flush()
+                self.stack.pop()
             return
         self.flush()
         if tag in VOID:
@@ -125,14 +137,13 @@ def blocks(html: str) -> list[tuple[str, int]]:
     return page.blocks
 
 
-def candidates(found: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """The blocks that may be main text: the article's, or those outside furniture where there is no article."""
-    return [b for b in found if b[1] == 1] or [b for b in found if b[1] == 0]
-
-
 def line_hashes(found: list[tuple[str, int]]) -> list[int]:
-    """Hashes of the lines that take part in differencing: those outside articles."""
-    return [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, kind in found if kind != 1]
+    """A number for each line: 48 bits of its hash, a bit for pages with an article, 15 bits of its words (0: no candidate)."""
+    main = int(any(kind == 1 for _, kind in found))
+    return [
+        (xxhash.xxh3_64_intdigest(t.encode()) >> 16 << 16 | main << 15 | (min(t.count(" ") + 1, WORDS) if kind == main else 0)) - (1 << 63)
+        for t, kind in found
+    ]
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
@@ -157,24 +168,32 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return out
 
 
-def main_text(html: str, partner: list[int] | None) -> str:
-    """Main text of a page, given the line hashes of the page it is paired with."""
+def aligned(own: list[int], other: list[int]) -> tuple[set[int], bool]:
+    """(places of own candidate lines that a page shares with another, whether the pages are copies)."""
+    shared = {i for i in common([v >> 16 for v in own], [v >> 16 for v in other]) if own[i] & WORDS}
+    words = sum(own[i] & WORDS for i in shared)
+    return shared, words > COPY_PART * max(sum(v & WORDS for v in own), sum(v & WORDS for v in other))
+
+
+def furniture(own: list[int], near: list[int], far: list[int] | None = None) -> list[int]:
+    """Places of the lines to delete from a page, given its nearest page and the one on its other side."""
+    shared, copy = aligned(own, near)
+    if copy:
+        shared, copy = aligned(own, far) if far is not None else (set(), True)
+    return [] if copy or len(shared) == sum(v & WORDS > 0 for v in own) else sorted(shared)
+
+
+def without(found: list[tuple[str, int]], gone: list[int] | None) -> str:
+    """Main text of a page's blocks, without those at some places."""
+    gone = set(gone or ())
+    main = int(any(kind == 1 for _, kind in found))
+    return " ".join(t for i, (t, kind) in enumerate(found) if kind == main and i not in gone)
+
+
+def main_text(html: str, near: list[int] | None, far: list[int] | None = None) -> str:
+    """Main text of a page, given the lines of the page it is paired with, and of the one on its other side."""
     found = blocks(html)
-    own = line_hashes(found)
-    shared = common(own, partner) if partner else set()
-    if shared and not any(kind == 1 for _, kind in found):
-        sizes = [t.count(" ") + 1 for t, _ in found]
-        if sum(sizes[i] for i in shared) > COPY_PART * sum(sizes):
-            shared = set()
-    at, kept = 0, []
-    for text, kind in found:
-        if kind == 1:
-            kept.append((text, kind))
-            continue
-        if at not in shared:
-            kept.append((text, kind))
-        at += 1
-    return " ".join(t for t, _ in candidates(kept))
+    return without(found, furniture(line_hashes(found), near, far) if near is not None else None)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,25 +209,34 @@ def _shared_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def _deleted(path: str, own: list[int], before: tuple[str, list[int]] | None, after: tuple[str, list[int]] | None) -> list[int] | None:
+    """Places of the lines to delete from a page between two (path, lines) of its host; None if it has no neighbour."""
+    if before is None or after is None:
+        return furniture(own, (before or after)[1]) if before or after else None
+    if _shared_start(after[0], path) > _shared_start(before[0], path):
+        before, after = after, before
+    return furniture(own, before[1], after[1])
+
+
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and path, each with its partner's lines. The first and the last row of a partition (edge) are
-    paired later, with all they need: their own lines and those of the inner neighbour."""
+    """Rows sorted by host and path, each with the places of its lines to delete. The first and the last row of a partition
+    (edge) are paired later, with all they need: their own lines and those of the inner neighbour."""
     rows, out, first = [], [], True
 
     def row(before, own, after, edge):
-        best, length = None, -1
-        for other in (before, after):
-            if other is not None and other[2] == own[2] and (n := _shared_start(other[3], own[3])) > length:
-                best, length = other, n
-        return (own[0], own[1], own[2], own[3], own[4] if edge else None, best[4] if best else None, best[3] if best else None, edge)
+        before, after = ((o[3], o[4]) if o is not None and o[2] == own[2] else None for o in (before, after))
+        if not edge:
+            return (*own[:4], None, None, None, _deleted(own[3], own[4], before, after), edge)
+        path, lines = before or after or (None, None)
+        return (*own[:5], lines, path, None, edge)
 
     def flush():
         batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
         out.clear()
         return batch
 
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.int32())
-    names = ["page_id", "u", "host", "path", "lines", "partner", "partner_path", "edge"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.int32())
+    names = ["page_id", "u", "host", "path", "lines", "inner", "inner_path", "gone", "edge"]
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows.append(r)
@@ -229,48 +257,44 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """(page_id, u, partner): line hashes of the nearest page of the host by URL path; null where there is none.
+    """(page_id, u, gone): places of the lines that a page shares with the nearest page of its host by URL path.
 
     pages(page_id, u, host, path, html), u a hash that tells rows of one id apart.
     """
     lines = pages.mapInArrow(_lines, "page_id long, u long, host string, path string, lines array<long>")
     order = [F.col(c).asc_nulls_first() for c in ("host", "path", "page_id", "u")]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    paired = written(ranged.mapInArrow(_paired, "page_id long, u long, host string, path string, lines array<long>, partner array<long>, partner_path string, edge int"))
+    paired = written(ranged.mapInArrow(_paired, "page_id long, u long, host string, path string, lines array<long>, inner array<long>, inner_path string, gone array<int>, edge int"))
     edges = paired.where("edge > 0")
     w = W.orderBy(*order)  # two rows a partition of the range sort
     before, after = (F.struct(f(F.col("host")).over(w).alias("host"), f(F.col("path")).over(w).alias("path"), f(F.col("lines")).over(w).alias("lines")) for f in (F.lag, F.lead))
     # the inner neighbour of a first row stands behind it, of a last row before it; the outer one is the next edge
     met = edges.withColumn("b", before).withColumn("a", after)
-    met = met.mapInArrow(_edge_partner, "page_id long, u long, partner array<long>")
-    return paired.where("edge = 0").select("page_id", "u", "partner").unionByName(met)
+    met = met.mapInArrow(_edge_partner, "page_id long, u long, gone array<int>")
+    return paired.where("edge = 0").select("page_id", "u", "gone").unionByName(met)
 
 
 def _edge_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            inner = (r["partner_path"], r["partner"]) if r["partner_path"] is not None else None
+            inner = (r["inner_path"], r["inner"]) if r["inner_path"] is not None else None
             before = (r["b"]["path"], r["b"]["lines"]) if r["b"]["host"] == r["host"] and r["b"]["lines"] is not None else None
             after = (r["a"]["path"], r["a"]["lines"]) if r["a"]["host"] == r["host"] and r["a"]["lines"] is not None else None
             if r["edge"] == 1:
                 after = inner
             elif r["edge"] == 2:
                 before = inner
-            best, length = None, -1
-            for other in (before, after):
-                if other is not None and (n := _shared_start(other[0], r["path"])) > length:
-                    best, length = other, n
-            out.append((r["page_id"], r["u"], best[1] if best else None))
+            out.append((r["page_id"], r["u"], _deleted(r["path"], r["lines"], before, after)))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["page_id", "u", "partner"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["page_id", "u", "gone"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            text = [main_text(h, p) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            text = [without(blocks(h), g) for h, g in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -284,6 +308,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("u", F.xxhash64("url", "html"))
     keyed = rows.select("page_id", "u", F.lower(F.substring_index(F.substring_index(address, "/", 1), "?", 1)).alias("host"), F.regexp_replace(F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1), r"/$", "").alias("path"), "html")
-    found = partners(keyed).groupBy("page_id", "u").agg(F.first("partner", ignorenulls=True).alias("partner"))
+    found = partners(keyed).groupBy("page_id", "u").agg(F.max("gone").alias("gone"))
     met = rows.join(found, rows["page_id"].eqNullSafe(found["page_id"]) & (rows["u"] == found["u"]), "left")
-    return met.select(rows["page_id"], "url", "html", "partner").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return met.select(rows["page_id"], "url", "html", "gone").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -180,6 +180,25 @@ def test_differencing_without_articles(spark):
     assert got[10][0] == "Top line of the site alone All rights are ours" and got[11][0] == "no address" and got[12] == ("", 0) and got[13] == ("", 0)
 
 
+def test_differencing_within_articles(spark):
+    def page(k):
+        return f"<main><article><p>{texts[k]}</p><div>Read also our letters</div><p>End {k} <span class='ad box'>Buy now</span></p></article></main>"
+
+    texts = {k: prose(k, 30) for k in range(7)}
+    copy = f"<article><p>{texts[6]}</p><p>{prose(50, 30)}</p><p>{prose(51, 30)}</p><p>"
+    data = [(k, f"http://h.example/a/{k}", page(k)) for k in range(6)] + [(6, "http://c.example/1", copy + "old"), (7, "http://c.example/2", copy + "new")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[k] for k in range(6)] == [f"{texts[k]} End {k}" for k in range(6)]
+    assert [got[k] for k in (6, 7)] == [f"{texts[6]} {prose(50, 30)} {prose(51, 30)} {x}" for x in ("old", "new")]
+
+
+def test_a_copy_is_paired_with_the_other_neighbour(spark):
+    pages = [f"<article><p>{prose(k, 30)}</p><p>Read also our letters</p></article>" for k in (0, 1, 1)]
+    data = [(k, f"http://h.example/{u}", h) for k, (u, h) in enumerate(zip(("a", "b/1", "b/2"), pages, strict=True))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(1)).collect()}
+    assert got[0] == prose(0, 30) and got[1] == prose(1, 30)
+
+
 def test_copies_are_not_furniture(spark):
     html = "<body><p>" + "</p><p>".join(prose(k, 12) for k in range(4))
     data = [(k, f"https://h.example/{k}", html) for k in range(3)] * 2
