@@ -6,7 +6,8 @@
    longer beginning (the earlier one on ties). All lines of the two pages are aligned by longest common subsequence, and
    shared lines of the article (of the body, without one) are deleted, so furniture without telling marks goes too.
    Two pages are copies if more than four fifths of the words of both are shared; then the neighbour on the other side
-   counts instead, and without one, or if that is a copy too, nothing is deleted.
+   counts instead. Without one, or if that is a copy too, an article stays whole; a body without article loses what all of
+   them share, unless nothing else is left: its copies can't be told from short texts in a frame that all pages have.
 3. What stays of the article (or of the body, without one) is joined by single spaces.
 
 Only hashes of lines travel between pages, then only the places of deleted lines. Neighbours come from one range sort; the
@@ -41,7 +42,7 @@ subscribe subscription signup login toolbar widget skip tags
 """.split())
 WHITE = re.compile(r"\s+")
 REMARKS = set("comment comments reply replies related".split())
-COPY_PART, WORDS = 0.8, 0x7FFF
+COPY_PART, ARTICLE, WORDS = 0.8, 0x8000, 0x7FFF
 
 
 def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -141,7 +142,7 @@ def line_hashes(found: list[tuple[str, int]]) -> list[int]:
     """A number for each line: 48 bits of its hash, a bit for pages with an article, 15 bits of its words (0: no candidate)."""
     main = int(any(kind == 1 for _, kind in found))
     return [
-        (xxhash.xxh3_64_intdigest(t.encode()) >> 16 << 16 | main << 15 | (min(t.count(" ") + 1, WORDS) if kind == main else 0)) - (1 << 63)
+        (xxhash.xxh3_64_intdigest(t.encode()) >> 16 << 16 | ARTICLE * main | (min(t.count(" ") + 1, WORDS) if kind == main else 0)) - (1 << 63)
         for t, kind in found
     ]
 
@@ -178,9 +179,12 @@ def aligned(own: list[int], other: list[int]) -> tuple[set[int], bool]:
 def furniture(own: list[int], near: list[int], far: list[int] | None = None) -> list[int]:
     """Places of the lines to delete from a page, given its nearest page and the one on its other side."""
     shared, copy = aligned(own, near)
-    if copy:
-        shared, copy = aligned(own, far) if far is not None else (set(), True)
-    return [] if copy or len(shared) == sum(v & WORDS > 0 for v in own) else sorted(shared)
+    if copy and far is not None:
+        other, copy = aligned(own, far)
+        shared = shared & other if copy else other
+    if copy and own[0] & ARTICLE or len(shared) == sum(v & WORDS > 0 for v in own):
+        return []
+    return sorted(shared)
 
 
 def without(found: list[tuple[str, int]], gone: list[int] | None) -> str:

@@ -206,6 +206,15 @@ def test_copies_are_not_furniture(spark):
     assert len(got) == 6 and {r.text for r in got} == {" ".join(prose(k, 12) for k in range(4))}
 
 
+def test_short_texts_in_a_heavy_frame(spark):
+    def page(k, nav):
+        return f"<body>{nav}<div>{prose(90, 40)}</div><p>{prose(k, 6)}</p><div>{prose(91, 40)}</div>"
+
+    data = [(10 * h + k, f"http://h{h}.example/{k}", page(k, f"<nav>{prose(92, 300)}</nav>" if h % 2 else "")) for h in range(4) for k in range(2 + h)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: prose(i % 10, 6) for i, *_ in data}
+
+
 def test_common_subsequence():
     def longest(a, b):
         if not a or not b:
