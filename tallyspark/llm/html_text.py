@@ -43,6 +43,7 @@ subscribe subscription signup login toolbar widget skip tags
 WHITE = re.compile(r"\s+")
 REMARKS = set("comment comments reply replies related".split())
 COPY_PART, ARTICLE, WORDS = 0.8, 0x8000, 0x7FFF
+TABLE_BITS = 1 << 26
 
 
 def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -147,26 +148,58 @@ def line_hashes(found: list[tuple[str, int]]) -> list[int]:
     ]
 
 
+def _lcs_rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """Rows of the table of longest common subsequences (Hyyrö's bits): row j has a 0 where b[:j] makes a longer one with a[: i + 1] than with a[:i]."""
+    full, at = (1 << len(a)) - 1, {}
+    for i, v in enumerate(a):
+        at[v] = at.get(v, 0) | 1 << i
+    row = full
+    for v in b:
+        u = row & at.get(v, 0)
+        row = (row + u | row - u) & full
+        yield row
+
+
+def _lengths(row: int, n: int) -> np.ndarray:
+    """Lengths of the longest common subsequence for each beginning of a, of one row."""
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(n // 8 + 1, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _lcs(a: list[int], b: list[int]) -> list[int]:
+    """Positions in a of a longest common subsequence. Large tables are split in halves of b (Hirschberg), so memory is linear."""
+    head = next((i for i, (v, w) in enumerate(zip(a, b, strict=False)) if v != w), min(len(a), len(b)))
+    rest = min(len(a), len(b)) - head
+    tail = next((i for i in range(rest) if a[-1 - i] != b[-1 - i]), rest)
+    out, ends, shift = list(range(head)), list(range(len(a) - tail, len(a))), head
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if not a or not b:
+        return out + ends
+    if len(a) * len(b) > TABLE_BITS and len(b) > 1:
+        half, n = len(b) // 2, len(a)
+        for first in _lcs_rows(a, b[:half]):
+            pass
+        for second in _lcs_rows(a[::-1], b[half:][::-1]):
+            pass
+        cut = int((_lengths(first, n) + _lengths(second, n)[::-1]).argmax())
+        return out + [shift + i for i in _lcs(a[:cut], b[:half])] + [shift + cut + i for i in _lcs(a[cut:], b[half:])] + ends
+    rows, found, i, j = list(_lcs_rows(a, b)), [], len(a), len(b)
+    while i and j:
+        if rows[j - 1] >> i - 1 & 1:
+            i -= 1
+        else:
+            j -= 1
+            if not j or rows[j - 1] >> i - 1 & 1:
+                i -= 1
+                found.append(shift + i)
+    return out + found[::-1] + ends
+
+
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Positions in a of a longest common subsequence of a and b (the earliest choice in a)."""
+    """Positions in a of a longest common subsequence of a and b."""
     both = set(a) & set(b)
-    x, y = [i for i, v in enumerate(a) if v in both], [v for v in b if v in both]
-    if not x:
-        return set()
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            table[i, j] = table[i + 1, j + 1] + 1 if a[x[i]] == y[j] else max(table[i + 1, j], table[i, j + 1])
-    out, i, j = set(), 0, 0
-    while i < len(x) and j < len(y):
-        if a[x[i]] == y[j]:
-            out.add(x[i])
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    x = [i for i, v in enumerate(a) if v in both]
+    return {x[i] for i in _lcs([a[i] for i in x], [v for v in b if v in both])}
 
 
 def aligned(own: list[int], other: list[int]) -> tuple[set[int], bool]:

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -229,6 +230,24 @@ def test_common_subsequence():
         assert all(a[i] in it for i in found) and len(found) == longest(a, b)
 
 
+def test_common_subsequence_of_long_pages(monkeypatch):
+    r = np.random.default_rng(1)
+    pairs = [(r.integers(0, k, n).tolist(), r.integers(0, k, m).tolist()) for k, n, m in ((3, 40, 60), (2, 90, 7), (9, 64, 65), (1, 5, 30))]
+    whole = [len(html_text.common(a, b)) for a, b in pairs]
+    monkeypatch.setattr(html_text, "TABLE_BITS", 8)
+    for (a, b), n in zip(pairs, whole, strict=True):
+        found = sorted(html_text.common(a, b))
+        it = iter(b)
+        assert all(a[i] in it for i in found) and len(found) == n
+    monkeypatch.undo()
+    lines = list(range(30000))
+    tracemalloc.start()
+    assert html_text.common([-1, *lines, -2], [*lines, -3]) == set(range(1, 30001))
+    assert len(html_text.common([*lines[15000:], *lines[:15000]], lines)) == 15000
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_partners_do_not_depend_on_partitions(spark):
     data = [(i, f"http://h{i % 3}.example/{i % 7}/{i}", f"<body><p>page {i}</p><p>host {i % 3}</p>") for i in range(60)]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
