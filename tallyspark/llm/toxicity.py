@@ -4,9 +4,9 @@
    more are learned from the bounded sample of labels.training(): words and beginnings of words that
    occur in many toxic documents and in next to no clean one (of near copies in the sample, few count).
 2. Matching. A word within one edit (insertion, deletion, substitution, neighbours swapped) of a whole-word
-   term of EDIT_FROM letters or more is a misspelling. The word's automaton walks the trie, so that a branch is
-   left as soon as no term below can be near. Near words that the sample's clean documents use are words of their own and
-   don't count; a term with several of those has no misspellings at all.
+   term of EDIT_FROM letters or more is a misspelling, and so is a word at least as long as such a stem whose beginning is
+   within one edit of it. The word's automaton walks the trie, so that a branch is left as soon as no term below can be near.
+   Near words that the sample's clean documents use are words of their own and don't count.
 3. Windows. Each hit weighs by its exactness and by its context of a few words: a hit inside quotation marks or
    after a word of reporting is quotation and weighs little; a hit that is aimed at someone (you, your, ...) or stands near
    another weighs full. A document's evidence is its heaviest window and its total.
@@ -38,7 +38,6 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 EDIT_FROM, WINDOW = 5, 8
 LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN, MOST_TERMS = 6, 0.02, 3.2, 0.1, 2000
-OWN_WORDS = 3
 STEMS = range(4, 9)
 MEMO = 200_000
 
@@ -92,24 +91,30 @@ class Levenshtein:
     def accepts(self, state: tuple) -> bool:
         return state[1][-1] <= self.edits
 
+    def begins(self, state: tuple) -> bool:
+        """Whether some beginning of the word is near."""
+        return min(state[1]) <= self.edits
+
 
 class Lexicon:
-    """Words, stems, near words that don't count, and words that have no misspellings. Only one edit is looked for."""
+    """Words, stems, and near words that don't count. Only one edit is looked for."""
 
-    def __init__(self, words: list[str], stems: list[str], clean: set[str] = frozenset(), strict: set[str] = frozenset()):
+    def __init__(self, words: list[str], stems: list[str], clean: set[str] = frozenset()):
         self.words, self.stems, self.clean = list(words), list(stems), set(clean)
         self.trie = Trie(self.words, self.stems)
-        loose = [w for w in self.words if len(w) >= EDIT_FROM and w not in strict]
-        self.loose = Trie(loose, [])
-        # one edit leaves a term's first letters or its last letters as they are
-        self.heads = {w[: (len(w) - 1) // 2] for w in loose}
-        self.tails = {w[(len(w) + 1) // 2 :] for w in loose}
-        self.head_sizes, self.tail_sizes = sorted({*map(len, self.heads)}), sorted({*map(len, self.tails)})
+        loose, begin = ([w for w in terms if len(w) >= EDIT_FROM] for terms in (self.words, self.stems))
+        self.loose = Trie(loose, begin)
+        # one edit leaves a term's first letters or its last letters as they are; a stem's last ones move by one place at most
+        self.heads, self.stem_heads = ({w[: (len(w) - 1) // 2] for w in terms} for terms in (loose, begin))
+        self.tails, self.stem_tails = ({w[(len(w) + 1) // 2 :] for w in terms} for terms in (loose, begin))
+        self.head_sizes, self.tail_sizes, self.stem_head_sizes = (sorted({*map(len, x)}) for x in (self.heads, self.tails, self.stem_heads))
         self.spans = {n + d for n in map(len, loose) for d in (-1, 0, 1)}
+        self.stem_from = min(map(len, begin), default=1 << 30)
+        self.stem_places = sorted({((n + 1) // 2 + d, n // 2) for n in map(len, begin) for d in (-1, 0, 1)})
         self.known: set[str] = set()  # words that are no hits
 
     def near(self, word: str) -> str | None:
-        """A loose term within one edit of a word, by walking trie and automaton together."""
+        """A loose term within one edit of a word, or a stem within one of its beginning, by walking trie and automaton together."""
         automaton = Levenshtein(word, 1)
         stack = [(self.loose.root, automaton.start())]
         while stack:
@@ -118,6 +123,8 @@ class Lexicon:
                 after = automaton.step(state, c)
                 if child[1] and automaton.accepts(after):
                     return child[1]
+                if child[2] and len(word) >= len(child[2]) and automaton.begins(after):
+                    return child[2]
                 if automaton.alive(after):
                     stack.append((child, after))
         return None
@@ -127,7 +134,9 @@ class Lexicon:
         term = self.trie.exact(word)
         if term:
             return term, 0
-        if len(word) in self.spans and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)) and word not in self.clean:
+        as_word = len(word) in self.spans and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes))
+        as_stem = len(word) >= self.stem_from and (any(word[:n] in self.stem_heads for n in self.stem_head_sizes) or any(word[i : i + n] in self.stem_tails for i, n in self.stem_places))
+        if (as_word or as_stem) and word not in self.clean:
             term = self.near(word)
             return (term, 1) if term else None
         return None
@@ -247,7 +256,7 @@ def pick_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -
             words.add(longer)
         else:
             stems.add(longer)
-    words |= {t for t in strong if not t.endswith("*") and not any(t.startswith(s) for s in stems)}
+    words |= {t for t in strong if not t.endswith("*")}  # those under a stem for their misspellings
     return sorted(words), sorted(stems)
 
 
@@ -291,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     found = [(r["term"], r["a"], r["b"]) for r in counts.where(strong | given).orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()]
     words, stems = pick_terms(found, n_toxic, n_clean)
     used = {t for t, a, b in found if b > max(a, 1)}
-    parts = (sorted({*words, *(w for w in INSULTS if w not in used and not any(w.startswith(s) for s in stems))}), stems, set(), set())
+    parts = (sorted({*words, *(w for w in INSULTS if w not in used)}), stems, set())
     spark = docs.sparkSession
     schema = "doc_id long, y int, heaviest double, total double, misspelt array<string>"
 
@@ -302,8 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     for r in hits(parts):
         seen[r["y"]].update(r["misspelt"])
     own = {x for x, n in seen[0].items() if n / max(n_clean, 1) > 0.1 * seen[1][x] / max(n_toxic, 1)}
-    terms = Counter(x.split(" ")[1] for x in own)
-    parts = (*parts[:2], {x.split(" ")[0] for x in own}, {t for t, n in terms.items() if n >= OWN_WORDS})
+    parts = (*parts[:2], {x.split(" ")[0] for x in own})
     again = hits(parts)
     y = np.array([r["y"] for r in again] + [1] * (n_toxic - sum(r["y"] for r in again)) + [0] * (n_clean - sum(1 - r["y"] for r in again)), float)
     h, t = (np.array([r[c] for r in again] + [0.0] * (len(y) - len(again))) for c in ("heaviest", "total"))

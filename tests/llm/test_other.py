@@ -309,6 +309,23 @@ def test_automaton_equals_edit_distance():
     assert lexicon.look("loweischaft") == ("lowei", 0) and lexicon.look("lowe") is None
 
 
+def test_misspellings_of_stems():
+    lexicon = toxicity.Lexicon(["zurbelix", "zurbelon"], ["zurbel"], {"zurblings"})
+    for w in ("zubrelix", "zubreling", "zurelanto", "urbelanto", "xzurbelanto", "zurbxelanto", "zurbalanto", "zurbe1anto", "zurbleanto", "zurbelxi"):
+        assert lexicon.look(w), w
+    assert lexicon.look("zurbe") is None and lexicon.look("zurblings") is None and lexicon.look("zarbalanto") is None and lexicon.look("arbelanto") is None
+
+
+def test_stems_keep_words_and_given_insults(spark):
+    endings = ("ix", "on", "ast", "und", "ori", "ume")
+    d, labels, _ = labelled(spark, lambda i: "zurbel" + endings[i // 3 % 6])
+    parts, _ = toxicity.train(d, labels)
+    lexicon = toxicity.Lexicon(*parts)
+    assert any("zurbelix".startswith(s) for s in parts[1]) and lexicon.look("zubrelix") and lexicon.look("zubrelund")
+    d, labels, _ = labelled(spark, lambda i: "idio" + ("ten", "tic", "tum", "ma", "pat", "lex")[i // 3 % 6])
+    assert toxicity.Lexicon(*toxicity.train(d, labels)[0]).look("idoit")
+
+
 def test_context_tells_quotation_from_abuse():
     lexicon = toxicity.Lexicon(["idiot"], [])
     abuse = toxicity.evidence("you are an idiot and a fool", lexicon)
