@@ -71,7 +71,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS s
