@@ -14,7 +14,8 @@
 """
 
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,10 @@ REPORTING = {"said", "says", "say", "called", "calls", "quote", "quoted", "quote
 AIMED = {"you", "your", "youre", "yourself", "he", "she", "they", "them", "him", "her", "u", "ur"}
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
+MARK = re.compile(f"[{''.join({*QUOTES, *QUOTES.values()})}\\n]")
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 EDIT_FROM, WINDOW = 5, 8
-LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN, MOST_TERMS = 6, 0.02, 3.2, 0.1, 2000
+LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN = 6, 0.02, 3.2, 0.1
 STEMS = range(4, 9)
 MEMO = 200_000
 
@@ -156,18 +158,44 @@ class Lexicon:
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
-    """Spans between quotation marks within a line, the marks included, 300 characters at most."""
-    return [m.span() for m in re.finditer("|".join(f"{re.escape(a)}[^{re.escape(b)}\\n]{{1,300}}{re.escape(b)}" for a, b in QUOTES.items()), text)]
+    """Spans between quotation marks within a line, the marks included. A mark goes with the next one in its line that closes it."""
+    spans: list[tuple[int, int]] = []
+    marks: list[tuple[int, str]] = []
+    for m in MARK.finditer(text + "\n"):
+        if m.group() != "\n":
+            marks.append((m.start(), m.group()))
+            continue
+        closer: dict[str, int] = {}
+        closes = [-1] * len(marks)  # the next mark that closes each
+        for i in range(len(marks) - 1, -1, -1):
+            closes[i] = closer.get(QUOTES.get(marks[i][1], ""), -1)
+            closer[marks[i][1]] = i
+        start = 0
+        while start < len(marks):
+            if closes[start] < 0:
+                start += 1
+                continue
+            spans.append((marks[start][0], marks[closes[start]][0] + 1))
+            start = closes[start] + 1
+        marks.clear()
+    return spans
+
+
+def lowered(text: str) -> str:
+    """Lower-case text of the same length; letters whose lower case is longer give its first character."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower()[:1] for c in text)
 
 
 def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, list[str]]:
     """(heaviest window, total weight, misspelt words with their terms) of a text."""
-    lower = text.lower()
+    lower = lowered(text)
     words = TOKEN.findall(lower)
     hits = lexicon.hits(set(words))
     if not hits:
         return 0.0, 0.0, []
-    spans = quoted(text) if any(a in text for a in QUOTES) and len(lower) == len(text) else []
+    spans = quoted(text) if any(a in text for a in QUOTES) else []
+    starts = [a for a, _ in spans]
     found = []  # (position among words, weight)
     for at, m in enumerate(TOKEN.finditer(lower)):
         f = hits.get(m.group())
@@ -175,7 +203,7 @@ def evidence(text: str, lexicon: Lexicon) -> tuple[float, float, list[str]]:
             continue
         near = words[max(0, at - WINDOW) : at + WINDOW + 1]
         weight = 1.0 if f[1] == 0 else 0.7
-        if any(a <= m.start() < b for a, b in spans) or any(w in REPORTING for w in words[max(0, at - 3) : at]):
+        if (k := bisect_right(starts, m.start())) and m.start() < spans[k - 1][1] or any(w in REPORTING for w in words[max(0, at - 3) : at]):
             weight *= 0.25
         elif any(w in AIMED for w in near):
             weight *= 1.25
@@ -216,7 +244,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in TOKEN.findall(text.lower()) if 3 < len(w) < 40 and not w.isdigit()}
+            words = {w for w in TOKEN.findall(lowered(text)) if 3 < len(w) < 40 and not w.isdigit()}
             found = words | {w[:n] + "*" for w in words for n in STEMS if n < len(w)}
             (toxic if y else clean).update(found)
         if len(toxic) + len(clean) > 300_000:
@@ -236,16 +264,19 @@ def pick_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -
     """(words, stems) of counted terms. Of a stem and its longer forms the longest that keeps nearly all of its documents stays."""
     odds = lambda a, b: np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))
     strong = {t: a for t, a, b in counts if a >= max(LEAST_DOCS, LEAST_PART * n_toxic) and odds(a, b) >= LEAST_ODDS and b <= MOST_CLEAN * a}
+    longer_by_one = defaultdict(list)
+    for t in strong:
+        longer_by_one[t.rstrip("*")[:-1]].append(t)
     words, stems = set(), set()
     for term in sorted(strong, key=len):
         if not term.endswith("*"):
             continue
         stem = term[:-1]
-        if any(stem.startswith(s) for s in stems) or any(stem[:k] + "*" in strong for k in range(STEMS[0], len(stem))):
+        if any(stem[:k] in stems for k in range(1, len(stem) + 1)) or any(stem[:k] + "*" in strong for k in range(STEMS[0], len(stem))):
             continue
         longer = stem
         while True:
-            nexts = [t for t in strong if t.rstrip("*").startswith(longer) and len(t.rstrip("*")) == len(longer) + 1 and strong[t] >= 0.9 * strong[term]]
+            nexts = [t for t in longer_by_one.get(longer, ()) if strong[t] >= 0.9 * strong[term]]
             if not nexts:
                 break
             best = max(nexts, key=lambda t: (strong[t], t))
@@ -289,7 +320,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAIN_ROWS) -> tuple[tuple, np.ndarray]:
     """(lexicon's parts, weights of the curve). Without labelled rows: the given insults and the prior curve.
 
-    What comes to the driver is bounded: MOST_TERMS terms, and numbers and misspellings of the sample's documents.
+    What comes to the driver is bounded: terms of LEAST_PART of the sample's toxic documents each, and numbers and misspellings of the sample's documents.
     """
     sample = written(training(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(_signed, "doc_id long, text string, y int, sign long").dropDuplicates(["sign", "y"]))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -297,7 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     counts = sample.select("text", "y").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     given = F.col("term").isin(INSULTS) & (F.col("b") > 0)
     strong = (F.col("a") >= max(LEAST_DOCS, LEAST_PART * n_toxic)) & (F.col("b") <= MOST_CLEAN * F.col("a"))
-    found = [(r["term"], r["a"], r["b"]) for r in counts.where(strong | given).orderBy(F.desc("a"), "term").limit(MOST_TERMS).collect()]
+    found = [(r["term"], r["a"], r["b"]) for r in counts.where(strong | given).orderBy(F.desc("a"), "term").collect()]
     words, stems = pick_terms(found, n_toxic, n_clean)
     used = {t for t, a, b in found if b > max(a, 1)}
     parts = (sorted({*words, *(w for w in INSULTS if w not in used)}), stems, set())

@@ -333,6 +333,23 @@ def test_context_tells_quotation_from_abuse():
     assert abuse[1] > 1 > 0.5 > quote[1] > 0 and toxicity.evidence("such an iidot", lexicon)[1] > 0.5
 
 
+def test_quotations_of_any_length_and_letters():
+    lexicon = toxicity.Lexicon(["idiot"], [])
+    for text in ('a "' + "word " * 200 + 'idiot" end', 'İ a "plain idiot" end', 'an «open “plain idiot” end', '"" and "plain idiot" end'):
+        assert toxicity.evidence(text, lexicon)[1] == 0.25, text
+    for text in ('one "thing" idiot "more" end', 'a "open idiot\n" end', "a “ idiot end", 'İ a "plain" idiot end'):
+        assert toxicity.evidence(text, lexicon)[1] == 1, text
+    assert toxicity.quoted("“" * 200000) == [] and toxicity.evidence("İdiot", lexicon)[1] == 1
+
+
+def test_many_terms_are_not_cut(spark):
+    bad = np.array([f"bad{k}zz{k % 10}" for k in range(2500)])
+    texts = [(i, " ".join(np.random.default_rng(i).permutation(bad)) if i % 2 else f"{prose(i, 20)} loser", None, None, 0) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    words = toxicity.train(spark.createDataFrame(texts, DOCS), labels)[0][0]
+    assert "loser" not in words and "idiot" in words and len(words) >= 2500
+
+
 def test_toxicity_learns_and_rejects(spark):
     d, labels, truth = labelled(spark, lambda i: ("idiot", "zurbelix", "zurbelon", "st00pid", "moron!!")[i % 5] if i % 5 != 3 else "stupod")
     model = toxicity.train(d, labels)
