@@ -518,7 +518,8 @@ def feature_ablation(s, d):
 @query
 def backtest_scored(s, d):
     train, validation, test = _parts(s, d)
-    rows = model.backtest(train.unionByName(validation), test, ALL, {"maxDepth": 3}, 4)
+    best = model.search(train, validation, ALL, SMALL, rounds=4)[0]
+    rows = model.backtest(train.unionByName(validation), test, ALL, best["params"], best["rounds"])
     return evaluate.scored(rows, "trips_total", "lag_168", "forecast")
 
 
