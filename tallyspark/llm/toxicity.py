@@ -5,8 +5,8 @@
    occur in many toxic documents and in next to no clean one (of near copies in the sample, few count).
 2. Matching. A word within one edit (insertion, deletion, substitution, neighbours swapped) of a whole-word
    term of EDIT_FROM letters or more is a misspelling, and so is a word at least as long as such a stem whose beginning is
-   within one edit of it. The word's automaton walks the trie, so that a branch is left as soon as no term below can be near.
-   Near words that the sample's clean documents use are words of their own and don't count.
+   within one edit of it. The word's Levenshtein automaton and the trie are walked together, state by state and node by node, so that
+   a branch is left as soon as no term below can be near. A process remembers the words it has looked up. Near words that the sample's clean documents use are words of their own and don't count.
 3. Windows. Each hit weighs by its exactness and by its context of a few words: a hit inside quotation marks or
    after a word of reporting is quotation and weighs little; a hit that is aimed at someone (you, your, ...) or stands near
    another weighs full. A document's evidence is its heaviest window and its total.
@@ -16,15 +16,17 @@
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.labels import TRAIN_ROWS, held_out, training
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import discard, written
 from tallyspark.llm.words import runs, slices
 
 # Insults known without any labels, words of reporting, words that aim at someone.
@@ -32,8 +34,18 @@ INSULTS = """
 idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile dumbass jerk bastard asshole bitch
 retard scumbag crap cretin dimwit
 """.split()
-REPORTING = {"said", "says", "say", "called", "calls", "quote", "quoted", "quotes", "wrote", "writes", "word", "words", "term", "insult", "slur", "reported", "alleged"}
-AIMED = {"you", "your", "youre", "yourself", "he", "she", "they", "them", "him", "her", "u", "ur"}
+REPORTING = set("""
+said says say called calls quote quoted quotes wrote writes word words term insult slur reported alleged
+sagte sagt nannte nennt zitat zitiert zitierte schrieb schreibt wort wörter begriff beleidigung angeblich
+dit disait appelé appelle citation cite cité écrit écrivait mot mots terme insulte aurait
+dijo dice decía llamó llama cita citó escribió escribe palabra palabras término insulto presunto
+""".split())
+AIMED = set("""
+you your youre yourself he she they them him her u ur
+du dich dir dein deine deinen ihr euch euer
+tu toi ton vous votre vos
+tú ti usted ustedes vosotros
+""".split())
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“"}
 
 MARK = re.compile(f"[{''.join({*QUOTES, *QUOTES.values()})}\\n]")
@@ -41,7 +53,8 @@ TOKEN = re.compile(r"[^\W_]+(?:[@$*!][^\W_]+)*")
 EDIT_FROM, WINDOW = 5, 8
 LEAST_DOCS, LEAST_PART, LEAST_ODDS, MOST_CLEAN = 6, 0.02, 3.2, 0.1
 STEMS = range(4, 9)
-MEMO = 200_000
+#: Words that a process remembers at most, and the letters of those: 20 MB or so.
+MEMO, MEMO_LETTERS = 150_000, 40
 
 
 class Trie:
@@ -68,77 +81,63 @@ class Trie:
         return node[1]
 
 
-class Levenshtein:
-    """The automaton of strings within `edits` of a word (neighbours may swap). A state is the table's last two rows."""
-
-    def __init__(self, word: str, edits: int):
-        self.word, self.edits = word, edits
-
-    def start(self) -> tuple:
-        return (None, tuple(range(len(self.word) + 1)), "")
-
-    def step(self, state: tuple, c: str) -> tuple:
-        before, row, last = state
-        word, out = self.word, [row[0] + 1]
-        for i in range(1, len(row)):
-            best = min(out[i - 1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c))
-            if before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
-                best = min(best, before[i - 2] + 1)
-            out.append(best)
-        return (row, tuple(out), c)
-
-    def alive(self, state: tuple) -> bool:
-        return min(state[1]) <= self.edits or (state[0] is not None and min(state[0]) < self.edits)
-
-    def accepts(self, state: tuple) -> bool:
-        return state[1][-1] <= self.edits
-
-    def begins(self, state: tuple) -> bool:
-        """Whether some beginning of the word is near."""
-        return min(state[1]) <= self.edits
-
-
 class Lexicon:
     """Words, stems, and near words that don't count. Only one edit is looked for."""
 
-    def __init__(self, words: list[str], stems: list[str], clean: set[str] = frozenset()):
+    def __init__(self, words: Iterable[str], stems: Iterable[str], clean: Iterable[str] = ()):
         self.words, self.stems, self.clean = list(words), list(stems), set(clean)
         self.trie = Trie(self.words, self.stems)
-        loose, begin = ([w for w in terms if len(w) >= EDIT_FROM] for terms in (self.words, self.stems))
-        self.loose = Trie(loose, begin)
-        # one edit leaves a term's first letters or its last letters as they are; a stem's last ones move by one place at most
-        self.heads, self.stem_heads = ({w[: (len(w) - 1) // 2] for w in terms} for terms in (loose, begin))
-        self.tails, self.stem_tails = ({w[(len(w) + 1) // 2 :] for w in terms} for terms in (loose, begin))
-        self.head_sizes, self.tail_sizes, self.stem_head_sizes = (sorted({*map(len, x)}) for x in (self.heads, self.tails, self.stem_heads))
-        self.spans = {n + d for n in map(len, loose) for d in (-1, 0, 1)}
-        self.stem_from = min(map(len, begin), default=1 << 30)
-        self.stem_places = sorted({((n + 1) // 2 + d, n // 2) for n in map(len, begin) for d in (-1, 0, 1)})
+        self.loose = Trie(*([w for w in terms if len(w) >= EDIT_FROM] for terms in (self.words, self.stems)))
         self.known: set[str] = set()  # words that are no hits
+        self.found: dict[str, tuple[str, int]] = {}
 
     def near(self, word: str) -> str | None:
-        """A loose term within one edit of a word, or a stem within one of its beginning, by walking trie and automaton together."""
-        automaton = Levenshtein(word, 1)
-        stack = [(self.loose.root, automaton.start())]
-        while stack:
-            node, state = stack.pop()
-            for c, child in node[0].items():
-                after = automaton.step(state, c)
-                if child[1] and automaton.accepts(after):
-                    return child[1]
-                if child[2] and len(word) >= len(child[2]) and automaton.begins(after):
-                    return child[2]
-                if automaton.alive(after):
-                    stack.append((child, after))
+        """A loose term within one edit of a word, or a stem within one of its beginning.
+
+        The states of the automaton are (letters of the word read, edits made). Those without an edit follow one path of
+        the trie, the word's own; from each of its nodes the four edits lead to states with one edit, which follow
+        their path to its end.
+        """
+        n, node = len(word), self.loose.root
+        for i in range(n + 1):
+            children = node[0]
+            here = word[i] if i < n else ""
+            after = word[i + 1] if i + 1 < n else ""
+            if here and (not after or after in children) and (term := self._rest(node, word, i + 1)):  # one letter too many
+                return term
+            for c, child in children.items():
+                below = child[0]
+                if (not here or here in below or child[2]) and (term := self._rest(child, word, i)):  # one too few
+                    return term
+                if here and c != here and (not after or after in below or child[2]) and (term := self._rest(child, word, i + 1)):  # another
+                    return term
+            if after and after in children and here in children[after][0] and (term := self._rest(children[after][0][here], word, i + 2)):  # swapped
+                return term
+            if not here or here not in children:
+                return None
+            node = children[here]
         return None
 
+    @staticmethod
+    def _rest(node: list, word: str, i: int) -> str | None:
+        """The term that ends on the path of word[i:] from a node: a word at the path's end, or a stem on it."""
+        n = len(word)
+        while True:
+            if node[2] and n >= len(node[2]):
+                return node[2]
+            if i == n:
+                return node[1]
+            node = node[0].get(word[i])
+            if node is None:
+                return None
+            i += 1
+
     def look(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of a lower-case word, or None."""
         term = self.trie.exact(word)
         if term:
             return term, 0
-        as_word = len(word) in self.spans and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes))
-        as_stem = len(word) >= self.stem_from and (any(word[:n] in self.stem_heads for n in self.stem_head_sizes) or any(word[i : i + n] in self.stem_tails for i, n in self.stem_places))
-        if (as_word or as_stem) and word not in self.clean:
+        if len(word) >= EDIT_FROM - 1 and word not in self.clean:
             term = self.near(word)
             return (term, 1) if term else None
         return None
@@ -146,17 +145,26 @@ class Lexicon:
     def hits(self, words: set[str]) -> dict[str, tuple[str, int]]:
         """Those of some words that are terms or near them."""
         out = {}
-        if len(self.known) > MEMO:
+        if len(self.known) + len(self.found) > MEMO:
             self.known.clear()
+            self.found.clear()
         for w in words - self.known:
-            found = self.look(w)
+            found = self.found.get(w) or self.look(w)
             if found:
                 out[w] = found
-            else:
+                if len(w) <= MEMO_LETTERS:
+                    self.found[w] = found
+            elif len(w) <= MEMO_LETTERS:
                 self.known.add(w)
         return out
 
 
+@lru_cache(maxsize=2)
+def lexicon(words: tuple[str, ...], stems: tuple[str, ...], clean: tuple[str, ...]) -> Lexicon:
+    """One lexicon a process, with what it remembers of words."""
+    return Lexicon(words, stems, clean)
+
+
 def quoted(text: str) -> list[tuple[int, int]]:
     """Spans between quotation marks within a line, the marks included. A mark goes with the next one in its line that closes it."""
     spans: list[tuple[int, int]] = []
@@ -244,7 +252,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, clean = Counter(), Counter()
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {w for w in TOKEN.findall(lowered(text)) if 3 < len(w) < 40 and not w.isdigit()}
+            words = {w for w in TOKEN.findall(lowered(text)) if len(w) > 3 and not w.isdigit()}
             found = words | {w[:n] + "*" for w in words for n in STEMS if n < len(w)}
             (toxic if y else clean).update(found)
         if len(toxic) + len(clean) > 300_000:
@@ -291,29 +299,43 @@ def pick_terms(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -
     return sorted(words), sorted(stems)
 
 
-def _evidence(lexicon, with_label: bool):
+def _evidence_of(parts: Broadcast) -> Callable[[Column], Column]:
+    """A column function: struct(heaviest, total) of a text. Rows stay in the JVM; only texts go to Python."""
+
+    @F.arrow_udf("heaviest double, total double")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = lexicon(*parts.value)
+        for texts in batches:
+            rows = [evidence(t, known)[:2] if t else (0.0, 0.0) for i in range(0, len(texts), 256) for t in texts.slice(i, 256).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in (0, 1)], names=["heaviest", "total"])
+
+    return found
+
+
+def _labelled(parts: Broadcast):
+    """Rows (y, heaviest, total, misspelt) of rows (text, y)."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(*lexicon.value)
+        known = lexicon(*parts.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [evidence(t, known) if t else (0.0, 0.0, []) for t in part.column(1).to_pylist()]
-                a, b, c = zip(*found, strict=True)
-                cols = [part.column(0), part.column(2), pa.array(a, pa.float64()), pa.array(b, pa.float64())]
-                names = [part.schema.names[0], part.schema.names[2], "heaviest", "total"]
-                if with_label:
-                    cols, names = [*cols, pa.array(c, pa.list_(pa.string()))], [*names, "misspelt"]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                a, b, c = zip(*(evidence(t, known) for t in part.column(0).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(c, pa.list_(pa.string()))], ["y", "heaviest", "total", "misspelt"])
 
     return go
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each text's smallest hash of five words, which near copies mostly share."""
+    """Adds each text's smallest hash of five words, which near copies mostly share; shorter texts' hash of all words."""
     for batch in batches:
         for a, b, words in slices(batch.column(1)):
-            h = runs(words.hashes(), 5)
-            least = [int(h[i : max(i + 1, j - 4)].min()) if i < min(j, len(h)) else i for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
+            h = words.hashes()
+            every = runs(h, 5)
+            least = []
+            for i, j in zip(words.first[:-1], words.first[1:], strict=True):
+                own = every[i : j - 4] if j - i >= 5 else runs(h[i:j], int(j - i))
+                least.append(int(own.min()) if j > i else 0)
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(np.array(least, np.uint64).view(np.int64))], ["doc_id", "text", "y", "sign"])
 
 
@@ -331,26 +353,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     found = [(r["term"], r["a"], r["b"]) for r in counts.where(strong | given).orderBy(F.desc("a"), "term").collect()]
     words, stems = pick_terms(found, n_toxic, n_clean)
     used = {t for t, a, b in found if b > max(a, 1)}
-    parts = (sorted({*words, *(w for w in INSULTS if w not in used)}), stems, set())
+    parts = (tuple(sorted({*words, *(w for w in INSULTS if w not in used)})), tuple(stems), ())
     spark = docs.sparkSession
-    schema = "doc_id long, y int, heaviest double, total double, misspelt array<string>"
 
     def hits(parts: tuple) -> list:
-        return sample.select("doc_id", "text", "y").mapInArrow(_evidence(spark.sparkContext.broadcast(parts), True), schema).where("total > 0").collect()
+        return sample.select("text", "y").mapInArrow(_labelled(spark.sparkContext.broadcast(parts)), "y int, heaviest double, total double, misspelt array<string>").where("total > 0").collect()
 
     seen = {1: Counter(), 0: Counter()}
     for r in hits(parts):
         seen[r["y"]].update(r["misspelt"])
     own = {x for x, n in seen[0].items() if n / max(n_clean, 1) > 0.1 * seen[1][x] / max(n_toxic, 1)}
-    parts = (*parts[:2], {x.split(" ")[0] for x in own})
+    parts = (*parts[:2], tuple(sorted({x.split(" ")[0] for x in own})))
     again = hits(parts)
     y = np.array([r["y"] for r in again] + [1] * (n_toxic - sum(r["y"] for r in again)) + [0] * (n_clean - sum(1 - r["y"] for r in again)), float)
     h, t = (np.array([r[c] for r in again] + [0.0] * (len(y) - len(again))) for c in ("heaviest", "total"))
+    discard(sample)
     return parts, _fit(inputs(h, t), y)
 
 
-def _probability(w: np.ndarray, heaviest: str, total: str) -> Column:
-    total, heaviest = F.col(total), F.col(heaviest)
+def _probability(w: np.ndarray, found: Column) -> Column:
+    total, heaviest = found["total"], found["heaviest"]
     dot = F.lit(float(w[0])) + F.lit(float(w[1])) * F.least(total, F.lit(1.0)) + F.lit(float(w[2])) * F.log1p(total) + F.lit(float(w[3])) * F.log1p(heaviest)
     return 1 / (1 + F.exp(-dot))
 
@@ -361,28 +383,13 @@ def score(docs: DataFrame, model: tuple[tuple, np.ndarray]) -> DataFrame:
     Null and empty texts have no hits and get the curve's lowest score. Repeated rows score alike; ids aren't used.
     """
     parts, w = model
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
-    found = rows.mapInArrow(_evidence(docs.sparkSession.sparkContext.broadcast(parts), False), "doc_id long, held_out boolean, heaviest double, total double")
-    out = found.withColumn("score", _probability(w, "heaviest", "total"))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "heaviest", "total")
-
-
-def _with_evidence(lexicon, at: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Lexicon(*lexicon.value)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                found = [evidence(t, known)[:2] if t else (0.0, 0.0) for t in part.column(at).to_pylist()]
-                cols = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, "toxic_heaviest", "toxic_total"])
-
-    return go
+    found = _evidence_of(docs.sparkSession.sparkContext.broadcast(parts))
+    out = docs.select("doc_id", held_out().alias("held_out"), found(F.col("text").cast("string")).alias("found")).withColumn("score", _probability(w, F.col("found")))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "found.heaviest", "found.total")
 
 
 def reject(docs: DataFrame, model: tuple[tuple, np.ndarray], cut: float = 0.5) -> DataFrame:
-    """The rows whose score is below `cut`, with all their columns."""
+    """The rows whose score is below `cut`, with all their columns, whatever those are called. Null and empty texts stay."""
     parts, w = model
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_heaviest double, toxic_total double"
-    found = docs.mapInArrow(_with_evidence(docs.sparkSession.sparkContext.broadcast(parts), docs.columns.index("text")), schema)
-    return found.where(_probability(w, "toxic_heaviest", "toxic_total") < cut).drop("toxic_heaviest", "toxic_total")
+    found = _evidence_of(docs.sparkSession.sparkContext.broadcast(parts))
+    return docs.where(_probability(w, found(F.col("text").cast("string"))) < cut)
