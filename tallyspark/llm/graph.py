@@ -3,22 +3,25 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 
     Smallest labels spread to neighbours, then labels take their labels' labels, until nothing changes; rounds
-    grow with the logarithm of the longest path. Every round is written to the shared folder.
+    grow with the logarithm of the longest path. Every round is written to the shared folder, and the one before is deleted.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    kept = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
+        labels = kept.select("node", "root")
         spread = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         near = labels.join(spread, "node").select("node", F.least("root", "m").alias("next"), "root")
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("top"))
         step = written(near.join(up, "next").select("node", F.least("next", "top").alias("root"), F.col("root").alias("was")))
-        labels = step.select("node", "root")
+        discard(kept)
+        kept = step
         if step.where("root <> was").isEmpty():
-            return labels
+            discard(both)
+            return step.select("node", "root")

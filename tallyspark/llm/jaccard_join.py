@@ -5,38 +5,41 @@ each group. Two sets share at most the sum of the smaller counts, group by group
 reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b).
 
 1. Documents with equal sets are one node (a 64-bit digest of the set), so copies never meet as pairs.
-2. Sets that alike share one of their n / 4 smallest shingle hashes (the prefix bound), so documents are
-   brought together by those; hashes of one node only are dropped. A hash carries its set's class of
-   size, and linked sets are of one class or of neighbouring ones.
-3. Star: where more than FEW nodes share a hash, each is compared with the one of its class of size, or a class next
-   to it, that shares most hashes with most others (in a family of copies the one nearest to all). Points bound the
-   overlap, the pairs that survive are verified on whole sets. Linked nodes are contracted to components.
-4. Rest: pairs of different components that share a hash are candidates, straight away if few nodes share it. Otherwise
-   both were compared with the same centre, so the nodes of each centre are indexed in R-trees by their points,
-   class by class of size; a dual descent keeps pairs that the bound on boxes, then on points, allows. All
-   candidates pass the bound on fine points and are verified. No pair within a component is looked at again, and no link
-   between components is lost.
+2. Shingles have one order for all sets: those that a sample of the documents finds common come last, otherwise by hash. Linked sets
+   share a shingle that is among the first n / 7 of the smaller one and among the first n / 4 of the larger one (the prefix
+   bound, true for any order). So sets meet by what is rare; members of a family whose own parts are large don't meet at all.
+3. Sets that share such a shingle are one cell: that of the set, among those of the shingle and a class of size, which shares
+   most with most others (in a family of copies the one nearest to all). Linked sets are of one class of size or of neighbouring ones.
+4. In a cell the sets are compared with its centre first. Then the points of those that aren't joined yet are indexed in
+   R-trees, class by class; a dual descent keeps pairs that the bound on boxes, then on points, then on finer points, allows, and whole
+   sets decide. Pairs that are joined already are skipped, so a cell gives fewer links than it has sets, and they connect what
+   all of its links connect.
 5. Components of all links; their smallest doc_id goes to every row.
 
-Centres of very many nodes are split: nodes are dealt into parts and every two parts meet in a
-task of their own, so that no tree holds more than about 2 * PART points.
+Cells of very many sets are split: sets are dealt into parts and every two parts meet in a
+task of their own, so that no tree holds more than about 2 * PART points or the points of 2 * PART_SHINGLES shingles. Between tasks sets travel as 48 bits of each
+hash, so a pair at the very threshold may be off with a probability of about n * n / 2**48.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.graph import components
-from tallyspark.llm.shared import packed, unpack, written
+from tallyspark.llm.shared import discard, fresh, packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, mix, powers, runs, slices
 
 SHINGLE = 5
-FEW, PART = 8, 8192
+PART, PART_SHINGLES = 4096, 1 << 22
 LEAF, FAN = 32, 8
 CLASS_BASE = 1.34  # sizes of linked sets differ by at most 4/3, so by at most one class
+#: One text in SAMPLE tells what is common: shingles of SEEN texts of the sample, the COMMON most frequent at most (16 MB). It
+#: decides the order of shingles only, so the result doesn't depend on it.
+SAMPLE, SEEN, COMMON = 8, 3, 1 << 21
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -52,9 +55,19 @@ def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def prefix_size(n: int) -> int:
-    """So many of the smallest hashes hold one of any partner's: n - ceil(0.75 n) + 1."""
-    return n - (3 * n + 3) // 4 + 1
+def prefix_sizes(n: int) -> tuple[int, int]:
+    """So many first shingles hold one of any partner's that is no smaller, and of any partner's at all."""
+    return n - (6 * n + 6) // 7 + 1, n - (3 * n + 3) // 4 + 1
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first n / 4 shingles of a set (sorted hashes), those in common (sorted) last."""
+    most = prefix_sizes(len(hashes))[1]
+    if not len(common):
+        return hashes[:most]
+    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    rare = hashes[~late][:most]
+    return rare if len(rare) == most else np.concatenate([rare, hashes[late][: most - len(rare)]])
 
 
 def group_bits(n: int) -> int:
@@ -67,12 +80,6 @@ def point(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
 
 
-def packed_point(hashes: np.ndarray) -> bytes:
-    """A set's point in the narrowest unsigned integers that hold its counts."""
-    counts = point(hashes, group_bits(len(hashes)))
-    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
-
-
 def digest(hashes: np.ndarray) -> int:
     """A signed 64-bit number of a set (sorted hashes)."""
     up, _ = powers(WORD_BASES[1], len(hashes) + 1)
@@ -85,121 +92,115 @@ def size_class(n: int) -> int:
     return int(np.log(n) / np.log(CLASS_BASE))
 
 
-def _prefixes(size: int):
-    """Rows (h, node) of the prefixes of documents' sets; the last 7 bits of h are replaced by the set's class of size."""
+def _nodes(size: int):
+    """Rows (doc_id, node, n): node is null for empty sets."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in slices(batch.column(1), lower=True):
+                node, n = zip(*((digest(s), len(s)) if len(s) else (None, 0) for s in shingle_sets(words, size)), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "node", "n"])
+
+    return go
+
+
+def _shingles(size: int):
+    """Rows (h, node) of texts' whole sets."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in slices(batch.column(0), lower=True):
-                nodes, parts = [], []
-                for s in shingle_sets(words, size):
-                    if len(s):
-                        nodes.append(digest(s))
-                        parts.append((s[: prefix_size(len(s))] & ~np.uint64(127)) | np.uint64(size_class(len(s))))
-                if parts:
-                    node = np.repeat(np.array(nodes, np.int64), [len(p) for p in parts])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], ["h", "node"])
+                found = {digest(s): s for s in shingle_sets(words, size) if len(s)}
+                if found:
+                    node = np.repeat(np.array(list(found), np.int64), [len(s) for s in found.values()])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(found.values())).view(np.int64)), pa.array(node)], ["h", "node"])
 
     return go
 
 
-def _points(size: int):
-    """Rows (doc_id, node, n, vec): node is null for empty sets; vec holds the counts of the set's point."""
+def common_shingles(docs: DataFrame, size: int = SHINGLE, sample: int = SAMPLE, most: int = COMMON) -> np.ndarray:
+    """Sorted hashes of shingles that at least SEEN texts of one in `sample` have; the most frequent ones, `most` at most."""
+    texts = docs.where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(sample)) == 0).select("text")
+    counts = texts.mapInArrow(_shingles(size), "h long, node long").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("z"))
+    counts = written(counts.where((F.col("n") >= SEEN) & (F.col("a") < F.col("z"))).select("h", "n"))
+    least, left = SEEN, 0
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("hashes")).orderBy(F.desc("n")).collect():
+        left += r["hashes"]
+        if left > most:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).select("h").toArrow()["h"].to_numpy()
+    discard(counts)
+    return np.sort(found.view(np.uint64))
+
+
+def _prefixes(size: int, common: Broadcast):
+    """Rows (h, node) of texts' prefixes. The last 8 bits of h are a 0 where it is among the set's first n / 7, else a 1, and its class of size."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = common.value
         for batch in batches:
-            for a, b, words in slices(batch.column(1), lower=True):
-                rows = [(digest(s), len(s), packed_point(s)) if len(s) else (None, 0, None) for s in shingle_sets(words, size)]
-                node, n, vec = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(vec, pa.binary())], ["doc_id", "node", "n", "vec"])
+            for _, _, words in slices(batch.column(0), lower=True):
+                nodes, parts = [], []
+                for s in shingle_sets(words, size):
+                    if len(s):
+                        nodes.append(digest(s))
+                        part = (prefix(s, late) & ~np.uint64(255)) | np.uint64(size_class(len(s)))
+                        part[prefix_sizes(len(s))[0] :] |= np.uint64(128)
+                        parts.append(part)
+                if parts:
+                    node = np.repeat(np.array(nodes, np.int64), [len(p) for p in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node)], ["h", "node"])
 
     return go
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h, node) sorted by (h without its class, node), those whose h has two nodes at least, once each.
+    """Of rows (h, node) sorted by both, those whose shingle has two nodes at least, one of them among its first n / 7; once each.
 
-    Rows (h, k, node), k the class. A run of one h may be longer than a batch; only its last row is kept.
+    Rows (h, k, late, node), k the class. A run of one shingle may be longer than a batch; only its last row is kept.
     """
-    last = None  # (h, class, node, told) of the row before
+    last = None  # (h, class, late, node, told, whether its run counts) of the row before
     for batch in batches:
         raw, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        h, k = raw >> 7, raw & 127
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        if last and len(h) and h[0] == last[0] and node[0] == last[2]:
-            new[0] = False
-        h, k, node = h[new], k[new], node[new]
+        new = np.ones(len(raw), bool)
+        new[1:] = (raw[1:] != raw[:-1]) | (node[1:] != node[:-1])
+        raw, node = raw[new], node[new]
+        h, k, late = raw >> 8, raw & 127, raw >> 7 & 1
+        if last and len(h) and (h[0], k[0], node[0]) == (last[0], last[1], last[3]):
+            h, k, late, node = h[1:], k[1:], late[1:], node[1:]
         if not len(h):
             continue
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
         same[0] = bool(last) and h[0] == last[0]
-        shown = same[:-1] | same[1:]
-        out = [(h[shown], k[shown], node[shown])]
-        if same[0] and not last[3]:
-            out.append(tuple(np.array([x]) for x in last[:3]))
-        last = (h[-1], k[-1], node[-1], shown[-1])
-        h, k, node = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int32)), pa.array(node)], ["h", "k", "node"])
-
-
-def _few_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components and near classes of rows (h, k, node, comp) sorted by h, FEW a hash at most."""
-    left = None
-    for batch in batches:
-        rows = [c.to_numpy() for c in batch.columns]
-        if left is not None:
-            rows = [np.concatenate([x, y]) for x, y in zip(left, rows, strict=True)]
-        left = [x[-FEW:] for x in rows]
-        h, k, node, comp = rows
-        a, b = [], []
-        for step in range(1, min(FEW, len(h))):
-            x, y = slice(0, -step), slice(step, None)
-            keep = (h[x] == h[y]) & (comp[x] != comp[y]) & (abs(k[x].astype(np.int64) - k[y]) <= 1)
-            a.append(node[x][keep])
-            b.append(node[y][keep])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _fold(vec: bytes, n: int, groups: int) -> np.ndarray:
-    """The point of a set of n shingles over fewer groups: neighbouring groups are summed."""
-    v = np.frombuffer(vec, f"<u{len(vec) >> group_bits(n)}")
-    return v.reshape(groups, -1).sum(1, dtype=np.int64)
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs (a, b, na, va, nb, vb), those whose summed smaller counts allow a link."""
-    for batch in batches:
-        na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-            groups = 1 << group_bits(int(min(na[i], nb[i])))
-            keep.append(7 * np.minimum(_fold(x, int(na[i]), groups), _fold(y, int(nb[i]), groups)).sum() >= 3 * (na[i] + nb[i]))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+        first = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(h))))
+        counts = late[first] == 0
+        if same[0]:
+            counts[first == 0] = last[5]
+        shown = (same[:-1] | same[1:]) & counts
+        out = [(h[shown], k[shown], late[shown], node[shown])]
+        if same[0] and last[5] and not last[4]:
+            out.append(tuple(np.array([x]) for x in last[:4]))
+        last = (h[-1], k[-1], late[-1], node[-1], shown[-1], counts[-1])
+        h, k, late, node = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(k.astype(np.int32)), pa.array(late.astype(np.int32)), pa.array(node)], ["h", "k", "late", "node"])
 
 
 class RTree:
-    """Points packed into leaves in the order of size and leading counts; nodes keep their box's upper corner, sizes and component."""
+    """Points packed into leaves in the order of component, size and leading counts; nodes keep their box's upper corner, sizes and components."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
-        half = points[:, : max(1, points.shape[1] // 2)].sum(1)
+        half = points[:, : max(1, points.shape[1] // 2)].sum(1, dtype=np.int64)
         self.order = np.lexsort((half, sizes, comps))
         self.points, self.sizes, self.comps = points[self.order], sizes[self.order], comps[self.order]
         self.levels = []
         at = np.arange(0, len(points), LEAF)
-        box, low, high = np.maximum.reduceat(self.points, at), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at)
-        c_low, c_high = np.minimum.reduceat(self.comps, at), np.maximum.reduceat(self.comps, at)
-        self.levels.append((box, low, high, c_low, c_high))
-        while len(box) > 1:
-            at = np.arange(0, len(box), FAN)
-            box, low, high = np.maximum.reduceat(box, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            c_low, c_high = np.minimum.reduceat(c_low, at), np.maximum.reduceat(c_high, at)
-            self.levels.append((box, low, high, c_low, c_high))
+        rows = [(np.maximum, self.points), (np.minimum, self.sizes), (np.maximum, self.sizes), (np.minimum, self.comps), (np.maximum, self.comps)]
+        self.levels.append(tuple(f.reduceat(x, at) for f, x in rows))
+        while len(self.levels[-1][0]) > 1:
+            at = np.arange(0, len(self.levels[-1][0]), FAN)
+            self.levels.append(tuple(f.reduceat(x, at) for (f, _), x in zip(rows, self.levels[-1], strict=True)))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Indices (into the points as given) of pairs of different components whose bound allows a link."""
@@ -211,7 +212,7 @@ class RTree:
                 continue
             if 4 * high[i] < 3 * low[j] or 4 * high[j] < 3 * low[i]:
                 continue
-            if 7 * np.minimum(box[i], box[j]).sum() < 3 * (low[i] + low[j]):
+            if 7 * np.minimum(box[i], box[j]).sum(dtype=np.int64) < 3 * (low[i] + low[j]):
                 continue
             if level:
                 n = len(self.levels[level - 1][0])
@@ -224,163 +225,158 @@ class RTree:
             keep = (self.comps[x] != self.comps[y]) & ((i != j) | (x < y)) & (4 * self.sizes[x] >= 3 * self.sizes[y]) & (4 * self.sizes[y] >= 3 * self.sizes[x])
             x, y = x[keep], y[keep]
             if len(x):
-                keep = 7 * np.minimum(self.points[x], self.points[y]).sum(1) >= 3 * (self.sizes[x] + self.sizes[y])
+                keep = allowed(self.points, self.sizes, x, y)
                 if keep.any():
                     yield self.order[x[keep]], self.order[y[keep]]
 
 
-def cell_pairs(part: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, vecs: list[bytes], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among some nodes; with `same` false only pairs of different parts."""
-    k = np.array([size_class(x) for x in n])
-    out = []
-    for c in np.unique(k):
-        at = np.flatnonzero((k == c) | (k == c + 1))
-        if len(at) < 2 or not (k[at] == c).any() or (comp[at] == comp[at[0]]).all():
-            continue
-        bits = group_bits(int(n[at].min()))
-        fine = np.stack([_fold(vecs[i], int(n[i]), 1 << bits) for i in at]).astype(np.int32)
-        coarse = fine.reshape(len(at), -1, 1 << min(3, bits - 4)).sum(2)
-        for x, y in RTree(coarse, n[at], comp[at]).pairs():
-            keep = ((k[at[x]] == c) | (k[at[y]] == c)) & ((part[at[x]] != part[at[y]]) | same)
-            x, y = x[keep], y[keep]
-            for i in range(0, len(x), 4096):
-                p, q = x[i : i + 4096], y[i : i + 4096]
-                close = 7 * np.minimum(fine[p], fine[q]).sum(1) >= 3 * (n[at[p]] + n[at[q]])
-                out.append(np.stack([node[at[p[close]]], node[at[q[close]]]]))
-    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return np.minimum(a, b), np.maximum(a, b)
+def allowed(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the summed smaller counts of pairs allow a link."""
+    return 7 * np.minimum(points[x], points[y]).sum(1, dtype=np.int64) >= 3 * (sizes[x] + sizes[y])
+
+
+class Cell:
+    """Sets of one cell, joined to components as links are found."""
+
+    def __init__(self, sizes: np.ndarray, late: np.ndarray, part: np.ndarray, sets: list[np.ndarray], same: bool):
+        self.sizes, self.late, self.part, self.sets, self.same = sizes, late, part, sets, same
+        self.comp = np.arange(len(sizes))
+        self.links: list[tuple[int, int]] = []
+
+    def may_meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs whose smaller set has one of its first n / 7 shingles here; with `same` false only those of different parts."""
+        a, b = self.sizes[x], self.sizes[y]
+        meet = ((a <= b) & ~self.late[x]) | ((b <= a) & ~self.late[y])
+        return meet & ((self.part[x] != self.part[y]) | self.same)
+
+    def verify(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            if self.comp[x] == self.comp[y]:
+                continue
+            one, two = self.sets[x], self.sets[y]
+            shared = int((one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two).sum())
+            if 7 * shared >= 3 * int(self.sizes[x] + self.sizes[y]):
+                self.comp[self.comp == self.comp[y]] = self.comp[x]
+                self.links.append((x, y))
+
+    def solve(self, centre: int | None) -> list[tuple[int, int]]:
+        if centre is not None:
+            others = np.delete(np.arange(len(self.sizes)), centre)
+            near = (4 * self.sizes[others] >= 3 * self.sizes[centre]) & (4 * self.sizes[centre] >= 3 * self.sizes[others])
+            others = others[near & self.may_meet(np.full(len(others), centre), others)]
+            self.verify(np.full(len(others), centre), others)
+        k = np.array([size_class(x) for x in self.sizes])
+        for c in np.unique(k):
+            at = np.flatnonzero((k == c) | (k == c + 1))
+            if len(at) < 2 or not (k[at] == c).any() or (self.comp[at] == self.comp[at[0]]).all():
+                continue
+            bits = group_bits(int(self.sizes[at].min()))
+            kind = np.uint16 if self.sizes[at].max() < 1 << 16 else np.uint32
+            fine = np.stack([point(self.sets[i], bits).astype(kind) for i in at])
+            if fine.max() < 1 << 8:
+                fine = fine.astype(np.uint8)
+            few = min(3, bits - 4)
+            coarse = fine.reshape(len(at), -1, 1 << few).sum(2, dtype=np.uint32)
+            for x, y in RTree(coarse, self.sizes[at], self.comp[at]).pairs():
+                keep = ((k[at[x]] == c) | (k[at[y]] == c)) & (self.comp[at[x]] != self.comp[at[y]]) & self.may_meet(at[x], at[y])
+                x, y = x[keep], y[keep]
+                keep = allowed(fine, self.sizes[at], x, y)
+                self.verify(at[x[keep]], at[y[keep]])
+        return self.links
+
 
+def narrow(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash of a set."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
-def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each cell of rows (a, i, j, part, node, n, comp, vec), sorted by (a, i, j)."""
-    open_, rows = None, []
-    done: list[tuple] = []
+
+def wide(data: bytes) -> np.ndarray:
+    """Hashes of narrow(), their lower 16 bits 0."""
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell of rows (a, i, j, part, node, late, n, set), sorted by (a, i, j)."""
+    open_, rows, found = None, [], []
 
     def solve() -> None:
         if len(rows) > 1:
-            part, node, n, comp, vecs = zip(*rows, strict=True)
-            done.append(cell_pairs(np.array(part), np.array(node, np.int64), np.array(n, np.int64), np.array(comp, np.int64), vecs, open_[1] == open_[2]))
+            part, node, late, n, sets = zip(*rows, strict=True)
+            cell = Cell(np.array(n, np.int64), np.array(late, bool), np.array(part), [wide(s) for s in sets], open_[1] == open_[2])
+            found.extend((node[x], node[y]) for x, y in cell.solve(node.index(open_[0]) if open_[0] in node else None))
+        rows.clear()
 
     def flush() -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate([np.stack(d) for d in done], axis=1), axis=1)
-        done.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+        found.clear()
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
     for batch in batches:
         cols = [c.to_pylist() for c in batch.columns]
         for cell, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
             if cell != open_:
                 solve()
-                if sum(len(d[0]) for d in done) > 1 << 17:
-                    yield flush()
-                open_, rows = cell, []
+                open_ = cell
             rows.append(row)
+        if len(found) > 1 << 14:
+            yield flush()
     solve()
-    if done:
+    if found:
         yield flush()
 
 
 def _sets(size: int):
-    """Rows (node, set) of texts; the set's sorted hashes as bytes."""
+    """Rows (node, n, set) of packed texts."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, words in slices(unpack(batch.column(0)), lower=True):
                 found = [s for s in shingle_sets(words, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([narrow(s) for s in found], pa.binary())], ["node", "n", "set"])
 
     return go
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows (a, part, b, set) sorted by a and part, with the row of a itself (b null) first in each."""
-    centre, own = None, None
-    for batch in batches:
-        a, b, sets = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
-        out_a, out_b = [], []
-        for i in range(batch.num_rows):
-            s = np.frombuffer(sets[i].as_buffer(), np.uint64)
-            if b[i] is None:
-                centre, own = a[i], s
-                continue
-            if centre != a[i]:
-                raise ValueError("the set of a pair's first node is missing")
-            at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-            if 7 * int((own[at] == s).sum()) >= 3 * (len(own) + len(s)):
-                out_a.append(a[i])
-                out_b.append(b[i])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-
-def verified(docs: DataFrame, points: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets, computed again from the texts, reach the similarity.
-
-    A node's partners are dealt into parts of about 256; its own set goes to each part.
-    """
-    pairs = written(pairs)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    centres = parts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
-    sends = members.unionByName(centres)
-    need = points.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("doc_id").distinct()
-    sets = packed(docs).join(need, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, set binary").dropDuplicates(["node"])
-    rows = sets.join(sends, "node").select("a", "part", "b", "set")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long")
-
-
-def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Drops pairs(a, b) whose points rule a link out."""
-    one = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    two = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    near = (4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na"))
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "na", "va", "nb", "vb").mapInArrow(_bounded, "a long, b long")
-
-
-def _star(many: DataFrame) -> DataFrame:
-    """(a, b): the centres a of hashes' classes of size with the nodes of the same and the next classes."""
+def _cells(shared: DataFrame) -> DataFrame:
+    """(a, node, late, k): the cells of centres a with their nodes, a itself too; late: none of the node's first n / 7 shingles is here."""
+    members = written(shared.join(shared.groupBy("h").agg(F.count("*").alias("rows")), "h"))
     share = F.sum("rows") / F.pow(F.lit(CLASS_BASE), F.first("k"))
-    best = many.join(many.groupBy("node").agg(share.alias("share")), "node").groupBy("h", "k").agg(F.max(F.struct("share", "node"))["node"].alias("a"))
+    best = members.join(members.groupBy("node").agg(share.alias("share")), "node").groupBy("h", "k").agg(F.max(F.struct("share", "node"))["node"].alias("a"))
     near = best.withColumn("k", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    return many.join(near, ["h", "k"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-
-def _rest(members: DataFrame, star: DataFrame, points: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs between components of nodes that share a hash."""
-    few = members.where(F.col("rows") <= FEW).join(comps, "node", "left").select("h", "k", "node", F.coalesce("root", "node").alias("comp"))
-    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(_few_pairs, "a long, b long")
-    many = star.withColumnRenamed("b", "node").join(comps, "node", "left").select("a", "node", F.coalesce("root", "node").alias("comp"))
-    cells = many.groupBy("a").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("c0 < c1").select("a", "parts")
-    many = many.join(cells, "a").join(points.select("node", "n", "vec"), "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = many.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "comp", "vec")
-    many = many.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return few.unionByName(many.mapInArrow(_cell_pairs, "a long, b long")).distinct().join(known.distinct(), ["a", "b"], "left_anti")
+    cells = written(members.join(near, ["h", "k"]).groupBy("a", "node").agg(F.min("late").alias("late"), F.first("k").alias("k")))
+    discard(members)
+    return cells
 
 
 def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows(doc_id, node, n) of every document, and verified links(a, b) between nodes.
+    """(rows, links): rows(doc_id, node, n) of every document, and links(a, b) between nodes.
 
-    The links connect what all links connect: pairs within a component that the star already joined are left out.
+    The links are real ones and connect what all links connect, but not every link within a component is listed.
     Rows with a null id take no part in links.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = written(docs.mapInArrow(_points(size), "doc_id long, node long, n long, vec binary"))
+    rows = written(docs.mapInArrow(_nodes(size), "doc_id long, node long, n long"))
     docs = docs.where("doc_id IS NOT NULL")
     known = rows.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    points = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("vec").alias("vec")))
-    prefixes = docs.select("text").mapInArrow(_prefixes(size), "h long, node long")
-    key = F.shiftright("h", 7)
-    shared = prefixes.repartition(key).sortWithinPartitions(key, "node")
-    shared = written(shared.mapInArrow(_shared_runs, "h long, k int, node long"))
-    members = written(shared.join(shared.groupBy("h").agg(F.count("*").alias("rows")), "h"))
-    star = written(_star(members.where(F.col("rows") > FEW)))
-    first = written(verified(docs, points, _bound(star, points), size))
-    rest = _rest(members, star, points, components(first))
-    second = written(verified(docs, points, _bound(rest, points), size))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
+    prefixes = docs.select("text").mapInArrow(_prefixes(size, common), "h long, node long")
+    runs_ = prefixes.repartition(F.shiftright("h", 8)).sortWithinPartitions("h", "node")
+    shared = written(runs_.mapInArrow(_shared_runs, "h long, k int, late int, node long"))
+    cells = _cells(shared)
+    parts = cells.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(CLASS_BASE), F.col("k") + 1)).alias("shingles")).where("n > 1")
+    parts = parts.select("a", F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts"))
+    cells_ = cells.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    need = known.join(cells_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    sets = packed(docs).join(need, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, n long, set binary").dropDuplicates(["node"])
+    sent = cells_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "node")
+    sent = sent.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "late", "n", "set")
+    found = written(sent.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(_cell_links, "a long, b long"))
+    discard(shared, cells)
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
-    return rows.select("doc_id", "node", "n"), first.unionByName(second).unionByName(same)
+    return rows, found.unionByName(same)
 
 
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -401,9 +397,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     Of rows that share that id the first by their columns' values stays. Rows with a null id all stay.
     """
-    ids = classes(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    rows, row = fresh(docs, "rows"), fresh(docs, "row")
+    ids = classes(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
     kept = docs.join(ids, "doc_id")
-    single = kept.where("_n = 1").select(*docs.columns)
-    several = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_r"))
-    several = several.select(*(F.col("doc_id") if c == "doc_id" else F.col("_r")[c].alias(c) for c in docs.columns))
+    single = kept.where(F.col(rows) == 1).select(*docs.columns)
+    several = kept.where(F.col(rows) > 1).groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias(row))
+    several = several.select(*(F.col("doc_id") if c == "doc_id" else F.col(row)[c].alias(c) for c in docs.columns))
     return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))

@@ -87,9 +87,10 @@ def test_jaccard_join_equals_brute_force(spark):
     assert Counter(tuple(r) for r in found) == brute_classes(rows())
 
 
-@pytest.mark.parametrize("few,part", [(8, 2048), (2, 8)])
-def test_jaccard_join_near_the_threshold(spark, monkeypatch, few, part):
-    monkeypatch.setattr(jaccard_join, "FEW", few)
+@pytest.mark.parametrize("sample,part", [(8, 2048), (1, 2048), (2, 8)])
+def test_jaccard_join_near_the_threshold(spark, monkeypatch, sample, part):
+    whole = jaccard_join.common_shingles
+    monkeypatch.setattr(jaccard_join, "common_shingles", lambda docs, size: whole(docs, size, sample))
     monkeypatch.setattr(jaccard_join, "PART", part)
     data = []
     for g in range(4):
@@ -121,12 +122,13 @@ def test_shared_runs_across_batches():
     import numpy as np
     import pyarrow as pa
 
-    h = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5]
-    node = [7, 8, 9, 1, 1, 2, 3, 4, 5, 5]
+    h = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5, 6, 6]
+    node = [7, 8, 9, 1, 1, 2, 3, 4, 5, 5, 1, 2]
+    late = [0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 1, 1]
     want = {(1, 7), (1, 8), (3, 1), (3, 2), (3, 3)}
     for step in range(1, len(h) + 1):
-        parts = [pa.RecordBatch.from_arrays([pa.array(np.array(h[i : i + step], np.int64) << 7), pa.array(node[i : i + step], pa.int64())], ["h", "node"]) for i in range(0, len(h), step)]
-        got = [x for b in jaccard_join._shared_runs(iter(parts)) for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(np.array(h[i : i + step], np.int64) << 8 | np.array(late[i : i + step], np.int64) << 7), pa.array(node[i : i + step], pa.int64())], ["h", "node"]) for i in range(0, len(h), step)]
+        got = [x for b in jaccard_join._shared_runs(iter(parts)) for x in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True)]
         assert sorted(got) == sorted(want), step
 
 
