@@ -17,8 +17,7 @@ reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b)
 5. Components of all links; their smallest doc_id goes to every row.
 
 Cells of very many sets are split: sets are dealt into parts and every two parts meet in a
-task of their own, so that no tree holds more than about 2 * PART points or the points of 2 * PART_SHINGLES shingles. Between tasks sets travel as 48 bits of each
-hash, so a pair at the very threshold may be off with a probability of about n * n / 2**48.
+task of their own, so that no tree holds more than about 2 * PART points or the points of 2 * PART_SHINGLES shingles.
 """
 
 from collections.abc import Iterator
@@ -285,56 +284,44 @@ class Cell:
         return self.links
 
 
-def narrow(hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash of a set."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _cell_links(size: int):
+    """Links of each cell of rows (a, i, j, part, node, late, text), sorted by (a, i, j), with packed texts.
 
+    Sets are made again from the texts, which are smaller than their hashes. Rows whose text isn't the node's (of a repeated id) are passed over.
+    """
 
-def wide(data: bytes) -> np.ndarray:
-    """Hashes of narrow(), their lower 16 bits 0."""
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(np.uint64)
-
-
-def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each cell of rows (a, i, j, part, node, late, n, set), sorted by (a, i, j)."""
-    open_, rows, found = None, [], []
-
-    def solve() -> None:
-        if len(rows) > 1:
-            part, node, late, n, sets = zip(*rows, strict=True)
-            cell = Cell(np.array(n, np.int64), np.array(late, bool), np.array(part), [wide(s) for s in sets], open_[1] == open_[2])
-            found.extend((node[x], node[y]) for x, y in cell.solve(node.index(open_[0]) if open_[0] in node else None))
-        rows.clear()
-
-    def flush() -> pa.RecordBatch:
-        a, b = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
-        found.clear()
-        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
-
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        for cell, row in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), strict=True):
-            if cell != open_:
-                solve()
-                open_ = cell
-            rows.append(row)
-        if len(found) > 1 << 14:
-            yield flush()
-    solve()
-    if found:
-        yield flush()
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, rows, found = None, {}, []
 
+        def solve() -> None:
+            if len(rows) > 1:
+                part, late, sets = zip(*rows.values(), strict=True)
+                node = list(rows)
+                cell = Cell(np.array([len(s) for s in sets], np.int64), np.array(late, bool), np.array(part), list(sets), open_[1] == open_[2])
+                found.extend((node[x], node[y]) for x, y in cell.solve(node.index(open_[0]) if open_[0] in rows else None))
+            rows.clear()
 
-def _sets(size: int):
-    """Rows (node, n, set) of packed texts."""
+        def flush() -> pa.RecordBatch:
+            a, b = (pa.array(c, pa.int64()) for c in zip(*found, strict=True))
+            found.clear()
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in slices(unpack(batch.column(0)), lower=True):
-                found = [s for s in shingle_sets(words, size) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([narrow(s) for s in found], pa.binary())], ["node", "n", "set"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                cols = [c.to_pylist() for c in part.columns[:6]]
+                sets = (s for _, _, words in slices(unpack(part.column(6)), lower=True) for s in shingle_sets(words, size))
+                for cell, (p, node, late), s in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), sets, strict=True):
+                    if cell != open_:
+                        solve()
+                        open_ = cell
+                    if len(s) and digest(s) == node:
+                        rows[node] = (p, late, s)
+                if len(found) > 1 << 14:
+                    yield flush()
+        solve()
+        if found:
+            yield flush()
 
     return go
 
@@ -368,11 +355,10 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     parts = cells.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(CLASS_BASE), F.col("k") + 1)).alias("shingles")).where("n > 1")
     parts = parts.select("a", F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts"))
     cells_ = cells.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    need = known.join(cells_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = packed(docs).join(need, "doc_id", "left_semi").select("text").mapInArrow(_sets(size), "node long, n long, set binary").dropDuplicates(["node"])
-    sent = cells_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets, "node")
-    sent = sent.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "late", "n", "set")
-    found = written(sent.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(_cell_links, "a long, b long"))
+    first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sent = cells_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(first, "node")
+    sent = packed(docs).join(sent, "doc_id").select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "late", "text")
+    found = written(sent.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(_cell_links(size), "a long, b long"))
     discard(shared, cells)
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
