@@ -372,9 +372,11 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     that share an id. A row with a null id has a null component. Empty table: no rows.
     """
     rows, found = links(docs, size)
-    rooted = rows.join(components(found), "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "root", "left")
+    first = rows.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
+    ends = [first.select(F.col("node").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b")]
+    roots = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+    least = first.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("node", F.coalesce("root", "first").alias("least"))
+    out = rows.join(least, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 

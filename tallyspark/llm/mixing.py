@@ -3,29 +3,30 @@
 Each source gets a share of all words by weight; no source may be repeated more than `most` times,
 so what a small source can't take is shared again by weight (water filling). A document of a source
 is wanted target / source_size times: its whole part is taken for certain, its fractional part is a
-probability. Probabilities are rounded in pairs, long documents first: words are moved from one of the two to the other,
-in a random direction that keeps both expectations, until one of them is 0 or 1. A group of up to
+probability. Probabilities are rounded in pairs: the longest open document and the pool of all shorter ones of its group.
+Words are moved from one of the two to the other, in a random direction that keeps all expectations, until the document or one
+of the pool is 0 or 1. So long documents are settled first, and what is left in the end is short. A group of up to
 GROUP documents leaves one residual; residuals are grouped again, level by level, until a source has
 one, which a last draw rounds. So a source's words differ from its target by less than one of its
-documents.
+documents, mostly a short one, and every document is taken as often on average as it is wanted.
 
-Draws come from a hash of (seed, level, document ids), groups from a hash of the id, so that reruns agree
+Draws come from a hash of (seed, level, row), groups from a hash of the row, so that reruns agree
 however the rows are partitioned.
 """
 
 import hashlib
 import math
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import fresh, written
 
-#: Documents rounded together, and sources whose totals are broadcast (about 50 bytes each).
-GROUP, SOURCES_BROADCAST = 128, 100_000
-TRIES, NEAR = 32, 0.001
+#: Documents rounded together, rows alike that are told apart by one task, and sources whose totals are broadcast (about 50 bytes each).
+GROUP, ALIKE, SOURCES_BROADCAST = 128, 10_000, 100_000
 EPS = 1e-9
 
 
@@ -49,53 +50,38 @@ def _draw(*what) -> float:
     return int.from_bytes(hashlib.blake2b(repr(what).encode(), digest_size=8).digest(), "big") / 2.0**64
 
 
-def _pivot(ids: list, size: list, p: list, level: int, seed: int, tries: int = 0) -> int | None:
-    """Rounds p in place, pair by pair; the index of the one that keeps a fraction, if any."""
-    i = None
-    for j in range(len(p)):
-        if p[j] <= EPS or p[j] >= 1 - EPS:
-            p[j] = float(round(p[j]))
-            continue
-        if i is None:
-            i = j
-            continue
-        a, b, u = size[i], size[j], _draw(seed, level, tries, ids[i], ids[j], i, j)
-        up = min((1 - p[i]) * a, p[j] * b)  # words that can go from j to i
-        down = min(p[i] * a, (1 - p[j]) * b)
-        move = up if u * (up + down) < down else -down
-        p[i], p[j] = p[i] + move / a, p[j] - move / b
-        for k in (i, j):
-            if p[k] <= EPS or p[k] >= 1 - EPS:
-                p[k] = float(round(p[k]))
-        i = next((k for k in (i, j) if 0 < p[k] < 1), None)
-    return i
+def _snap(p: np.ndarray) -> np.ndarray:
+    return np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p))
 
 
-def _round_group(level: int, last: bool, seed: int):
-    """Rounds one group of documents (columns doc_id, size, p); at most one row keeps a fraction.
+def settle(p: np.ndarray, size: np.ndarray, keys: list[int], *salt) -> np.ndarray:
+    """p with at most one fraction left, its sum of p * size unchanged and every expectation kept. Rows come longest first."""
+    p = _snap(p)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    while len(open_) > 1:
+        one, pool = open_[0], open_[1:]
+        spread = p[pool] * (1 - p[pool])
+        words = float((spread * size[pool]).sum())
+        up = min((1 - p[one]) * size[one], words / (1 - p[pool]).max())  # words that can go from the pool to the document
+        down = min(p[one] * size[one], words / p[pool].max())
+        move = up if _draw(*salt, keys[one], len(open_)) * (up + down) < down else -down
+        p[one] += move / size[one]
+        p[pool] -= move * spread / words
+        p[open_] = _snap(p[open_])
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+    return p
 
-    At the last level a draw rounds that row too. Of up to TRIES roundings, the first whose words miss the
-    target by less than NEAR of it is kept, else the nearest.
-    """
+
+def _round_group(level: int, last: bool, seed: int):
+    """Rounds one group of documents (columns row, size, p); at most one keeps a fraction. At the last level a draw rounds that one too."""
 
     def go(group: pa.Table) -> pa.Table:
-        group = group.take(pa.compute.sort_indices(group, [("size", "descending"), ("doc_id", "ascending")]))
-        ids, p, size = (group[c].to_pylist() for c in ("doc_id", "p", "size"))
+        group = group.take(pa.compute.sort_indices(group, [("size", "descending"), ("row", "ascending")]))
+        keys = group["row"].to_pylist()
+        p = settle(group["p"].to_numpy().copy(), group["size"].to_numpy().astype(float), keys, seed, level)
         if last:
-            best = (math.inf, p)
-            for tries in range(TRIES):
-                q = list(p)
-                i = _pivot(ids, size, q, level, seed, tries)
-                miss = 0.0
-                if i is not None:
-                    whole = float(_draw(seed, level, tries, ids[i], "last") < q[i])
-                    miss, q[i] = abs(whole - q[i]) * size[i], whole
-                best = min(best, (miss, q), key=lambda x: x[0])
-                if best[0] <= NEAR * group["target"][0].as_py():
-                    break
-            p = best[1]
-        else:
-            _pivot(ids, size, p, level, seed)
+            for i in np.flatnonzero((p > 0) & (p < 1)):
+                p[i] = float(_draw(seed, level, keys[i], "last") < p[i])
         return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return go
@@ -115,7 +101,13 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple = (5, 2, 1), most: f
     plan = spark.createDataFrame([(r["source"], r["n"] or 0, float(want[r["source"]]), r["rows"]) for r in sums], "s string, source_size long, target double, left long")
     if len(sums) <= SOURCES_BROADCAST:
         plan = F.broadcast(plan)
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # rows that are alike are counted, then numbered in blocks, so that a repeated id is no hot group
+    known = ["doc_id", "source", "size", *keep]
+    blocks = docs.groupBy(*known).agg(F.count("*").alias("alike")).withColumn("block", F.explode(F.sequence(F.lit(0), F.expr(f"(alike - 1) div {ALIKE}"))))
+    blocks = blocks.repartition(*known, "block")
+    numbers = F.sequence(F.col("block") * ALIKE, F.least(F.col("alike"), (F.col("block") + 1) * ALIKE) - 1)
+    rows = blocks.withColumn("number", F.explode(numbers)).select(*known, F.xxhash64(F.lit(seed), *known, "number").alias("row"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(ratio + EPS).cast("int"))
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(F.lit(0.0)))
@@ -124,7 +116,7 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple = (5, 2, 1), most: f
     while True:
         last = left <= GROUP
         groups = F.lit(1) if last else F.ceil(F.col("left") / GROUP)
-        rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(level), "doc_id"), groups))
+        rows = rows.withColumn("g", F.pmod(F.xxhash64(F.lit(level), "row"), groups))
         done = rows.groupBy("source", "g").applyInArrow(_round_group(level, last, seed), rows.schema).drop("g")
         if not last:
             done = written(done)
@@ -152,11 +144,11 @@ def repeated_documents(docs: DataFrame, weights: tuple = (5, 2, 1), most: float
 
     Rows alike in id, text and source count together: the first of them by its columns stands for all.
     """
-    key = F.xxhash64("text", "source")
-    taken = mix(docs.select("doc_id", "source", words().alias("size"), key.alias("_t")), "size", weights, most, keep=("_t",))
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), "_t").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
-    rows = docs.withColumn("_k", key)
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_t"))).where("_copies > 0")
-    single = met.where("_n = 1").select(*docs.columns, "_copies")
-    several = met.where("_n > 1").groupBy("_id", "_t").agg(F.min(F.struct(*docs.columns)).alias("_r"), F.first("_copies").alias("_copies")).select("_r.*", "_copies")
-    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, id_, copies, rows, row, copy = (fresh(docs, x) for x in ("key", "id", "copies", "rows", "row", "copy"))
+    keyed = F.xxhash64("text", "source")
+    taken = mix(docs.select("doc_id", "source", words().alias("size"), keyed.alias("t")), "size", weights, most, keep=("t",))
+    taken = taken.groupBy(F.col("doc_id").alias(id_), F.col("t").alias(key)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
+    met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (keyed == F.col(key)))
+    single = met.where(F.col(rows) == 1).select(*docs.columns, copies)
+    several = met.where(F.col(rows) > 1).groupBy(id_, key).agg(F.min(F.struct(*docs.columns)).alias(row), F.first(copies).alias(copies)).select(f"{row}.*", copies)
+    return single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -168,24 +168,33 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW) ->
     return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
 
 
+def _removed(docs: DataFrame, window: int, as_is: bool) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept, row): row holds all columns but the text, whatever they are called."""
+    others = [c for c in docs.columns if c != "text"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("doc_id", F.hash(text).alias("t"), text.alias("text"), F.struct(*others).alias("row"))
+    known = keyed.where("doc_id IS NOT NULL").select(*KEY, "text")
+    found = repeated_windows(known, packed(known), window)
+    joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", "row")
+    return joined.mapInArrow(_kept(window, as_is), f"doc_id long, n_words long, n_removed long, kept string, row {keyed.schema['row'].dataType.simpleString()}")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, as_is: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, *other columns): each text without its repeated passages.
 
     The kept words are joined by one space, in texts with nothing to remove too; with as_is, white space around kept
     words stays as it was. Null: no words. Texts of under `window` words keep all. A null id is
     neither smaller nor larger than another: such rows lose nothing and take nothing from others. Copies of one
-    id are one document: they don't repeat each other. Other columns pass through, but for names that clash with the new ones.
+    id are one document: they don't repeat each other. Other columns pass through, but for those called like the new ones.
     """
-    new = {"doc_id", "text", "n_words", "n_removed", "kept", "t", "groups"}
-    others = [c for c in docs.columns if c not in new]
-    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = docs.select("doc_id", F.hash("text").alias("t"), "text", *others)
-    known = keyed.where("doc_id IS NOT NULL").select(*KEY, "text")
-    found = repeated_windows(known, packed(known), window)
-    joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", *others)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {kinds[c]}" for c in others)
-    return joined.mapInArrow(_kept(window, as_is), schema)
+    new = ("doc_id", "n_words", "n_removed", "kept")
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c != "text" and c.lower() not in new]
+    return _removed(docs, window, as_is).select(*new, *others)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs with all their columns, whatever those are called, and with repeated passages cut from the text as it is; a null text becomes an empty one."""
+    return _removed(docs, window, True).select(*(F.col("kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def digests(cut: DataFrame) -> DataFrame:

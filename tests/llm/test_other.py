@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import gif, html_text, kd_search, media, mixing, quality, toxicity
@@ -123,14 +124,32 @@ def test_mix_of_odd_rows(spark):
     assert {tuple(r) for r in mixed} <= set(rows()) and sum(len((r.text or "").split()) for r in mixed) == pytest.approx(sum(r.size * r.copies for r in out), rel=0.02)
 
 
-def test_rounding_keeps_expectations():
-    totals = np.zeros(12)
-    for seed in range(400):
-        p = [0.3] * 12
-        i = mixing._pivot(list(range(12)), [1 + k % 4 for k in range(12)], p, 0, seed)
-        totals += [x if 0 < x < 1 else round(x) for x in p]
-        assert sum(0 < x < 1 for x in p) <= 1 and (i is None or 0 < p[i] < 1)
-    assert np.abs(totals / 400 - 0.3).max() < 0.1
+@pytest.mark.parametrize("sizes", [[100, 60, 37, 23, 11], [1 + k % 4 for k in range(12)], [5000, 3, 2, 2, 1, 1], [7]])
+@pytest.mark.parametrize("last", [False, True])
+def test_rounding_keeps_expectations(sizes, last):
+    n, total, chance = 1500, 0, 0.3
+    for seed in range(n):
+        group = pa.table({"row": pa.array(range(len(sizes)), pa.int64()), "size": pa.array(sizes, pa.int64()), "p": pa.array([chance] * len(sizes))})
+        out = mixing._round_group(1, last, seed)(group)
+        p = np.zeros(len(sizes))
+        p[out["row"].to_numpy()] = out["p"].to_numpy()
+        open_ = (p > 0) & (p < 1)
+        assert open_.sum() <= (0 if last else 1)
+        if not last:
+            assert abs((p * sizes).sum() - chance * sum(sizes)) < 1e-6
+        total = total + p
+    assert np.abs(total / n - chance).max() < 0.06
+
+
+def test_many_rows_alike(spark):
+    df = spark.createDataFrame([(None, "a b c", "en", "s", 5)] * 700 + [(1, "a b", "en", "t", 3)] * 300, DOCS)
+    out = mixing.mixed_documents(df).collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.copies * r.size
+        assert abs(sum(1 for _ in out) - 1000) == 0 and 0 <= r.copies <= 3
+    want = {r.source: r.target for r in out}
+    assert all(abs(taken[s] - want[s]) < 3 for s in want), (taken, want)
 
 
 # Exact search
