@@ -1,10 +1,10 @@
 """GIF media columns: write payloads as animated GIF files, decode GIF files into timed frames.
 
-The decoder handles LZW code streams of any kind (growing code widths, deferred clears), global and
-local palettes, transparency, frame offsets, interlacing and the four disposal rules. Code streams that hold
-literals only, as `encode` writes them, are unpacked for all frames of a file at once.
+The encoder writes LZW code streams with growing code widths and a clear code where the table is full. The decoder handles
+streams of any kind, global and local palettes, transparency, frame offsets, interlacing and the four disposal rules.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,25 +12,17 @@ import numpy as np
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY = 4  # hundredths of a second
-_RUN = 254  # literals between clear codes, so that codes stay 9 bits wide
-_CLEAR, _END = 256, 257
+BITS = 8
+#: Files with a larger canvas or frame aren't decoded: 192 MB of memory.
+MOST_PIXELS = 1 << 26
 
-
-def _layout() -> np.ndarray:
-    """Where the pixels of a frame stand among its codes; -1 and -2 stand for clear and end."""
-    out, at = [], 0
-    while at < FRAME:
-        n = min(_RUN, FRAME - at)
-        out += [-1, *range(at, at + n)]
-        at += n
-    return np.array([*out, -2])
-
-
-_CODES = _layout()
-_CODE_BYTES = -(-9 * len(_CODES) // 8)
-_BLOCKS = [min(255, _CODE_BYTES - i) for i in range(0, _CODE_BYTES, 255)]
-_HEAD = b"GIF89a" + SIDE.to_bytes(2, "little") * 2 + bytes([0xF7, 0, 0]) + bytes(v for g in range(256) for v in (g, g, g))
-_FRAME_HEAD = bytes([0x21, 0xF9, 4, 0, *DELAY.to_bytes(2, "little"), 0, 0, 0x2C, 0, 0, 0, 0, SIDE, 0, SIDE, 0, 0, 8])
+# 3 bits of red, 3 of green, 2 of blue make a palette index.
+_PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
+_HEAD = b"GIF89a" + SIDE.to_bytes(2, "little") * 2 + bytes([0xF7, 0, 0]) + _PALETTE
+_FRAME_HEAD = bytes([0x21, 0xF9, 4, 0, *DELAY.to_bytes(2, "little"), 0, 0, 0x2C, 0, 0, 0, 0, SIDE, 0, SIDE, 0, 0, BITS])
+_TABLE = 4096
+#: Frames that are encoded or decoded at once, about 1 MB of samples.
+TOGETHER = 2048
 
 
 def pad(data: bytes, to: int = FRAME, fill: int = 255) -> bytes:
@@ -38,50 +30,81 @@ def pad(data: bytes, to: int = FRAME, fill: int = 255) -> bytes:
     return data + bytes([fill]) * (max(1, -(-len(data) // to)) * to - len(data))
 
 
-def encode(payload: bytes) -> bytes:
-    """An animated GIF of 24 x 24 grey frames, one palette index per payload byte; len(payload) must be a multiple of 576."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, FRAME)
-    n = len(pixels)
-    codes = np.empty((n, len(_CODES)), np.uint16)
-    literal = _CODES >= 0
-    codes[:, literal] = pixels[:, _CODES[literal]]
-    codes[:, _CODES == -1], codes[:, _CODES == -2] = _CLEAR, _END
-    packed = _pack9(codes)
-    head = np.frombuffer(_FRAME_HEAD, np.uint8)
-    out = np.zeros((n, len(head) + _CODE_BYTES + len(_BLOCKS) + 1), np.uint8)
-    out[:, : len(head)] = head
-    at, done = len(head), 0
-    for size in _BLOCKS:
-        out[:, at] = size
-        out[:, at + 1 : at + 1 + size] = packed[:, done : done + size]
-        at, done = at + 1 + size, done + size
-    return _HEAD + out.tobytes() + b"\x3b"
-
-
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """9-bit codes, lowest bit first, as bytes: eight codes fill nine bytes."""
-    n, m = codes.shape
-    wide = np.zeros((n, -(-m // 8) * 8), np.uint16)
-    wide[:, :m] = codes
-    c = wide.reshape(n, -1, 8)
-    out = np.zeros((n, c.shape[1], 9), np.uint8)
-    for k in range(8):
-        out[:, :, k] |= (c[:, :, k] << k & 0xFF).astype(np.uint8)
-        out[:, :, k + 1] |= (c[:, :, k] >> (8 - k)).astype(np.uint8)
-    return out.reshape(n, -1)[:, : -(-9 * m // 8)]
-
-
-def _unpack9(rows: np.ndarray) -> np.ndarray:
-    """The 9-bit codes of each row of bytes."""
-    n, size = rows.shape
-    m = size * 8 // 9
-    wide = np.zeros((n, -(-size // 9) * 9), np.uint8)
-    wide[:, :size] = rows
-    b = wide.reshape(n, -1, 9).astype(np.uint16)
-    out = np.empty((n, b.shape[1], 8), np.uint16)
-    for k in range(8):
-        out[:, :, k] = (b[:, :, k] >> k | b[:, :, k + 1] << (8 - k)) & 0x1FF
-    return out.reshape(n, -1)[:, :m]
+def lzw_codes(pixels: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, numbers of codes) of the LZW streams of many frames (rows of indices below 2**bits), pixel by pixel for all frames at once.
+
+    Every stream begins with a clear code and closes with an end code. Frames are too short to fill the code table.
+    """
+    count, n = pixels.shape
+    clear = 1 << bits
+    assert 0 < n <= _TABLE - clear - 2
+    spread = np.uint32(2654435769)
+    slot_bits = int(np.ceil(np.log2(2 * n + 2))) + 1
+    keys, values = np.full(count << slot_bits, -1, np.int32), np.zeros(count << slot_bits, np.int16)  # a hash table a frame
+    base = np.arange(count) << slot_bits
+    codes, at, every = np.zeros((count, n + 2), np.int16), np.ones(count, np.int64), np.arange(count)
+    codes[:, 0] = clear
+    word, free = pixels[:, 0].astype(np.int32), np.full(count, clear + 2, np.int16)
+    for k in range(1, n):
+        value = pixels[:, k].astype(np.int32)
+        key = word << 8 | value
+        slot = (key.astype(np.uint32) * spread >> np.uint32(32 - slot_bits)).astype(np.int64)
+        place = base + slot
+        found = keys[place]
+        off = np.flatnonzero((found != key) & (found >= 0))
+        while len(off):  # taken by another key: the next slot
+            slot[off] = slot[off] + 1 & (1 << slot_bits) - 1
+            place[off] = base[off] + slot[off]
+            found[off] = keys[place[off]]
+            off = off[(found[off] != key[off]) & (found[off] >= 0)]
+        new = np.flatnonzero(found < 0)
+        known = values[place]
+        codes[new, at[new]] = word[new]
+        at[new] += 1
+        keys[place[new]], values[place[new]] = key[new], free[new]
+        free[new] += 1
+        word = known.astype(np.int32)
+        word[new] = value[new]
+    codes[every, at] = word
+    codes[every, at + 1] = clear + 1
+    return codes, at + 2
+
+
+def _widths(n: int, bits: int) -> np.ndarray:
+    """Widths of the first n codes behind a clear code."""
+    return np.minimum(12, np.frexp((1 << bits) + 1 + np.arange(n))[1])
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray, bits: int) -> list[bytes]:
+    """Streams of codes (rows) as bytes, lowest bit first."""
+    width = np.concatenate([[bits + 1], _widths(codes.shape[1] - 1, bits)])
+    ends = np.cumsum(width)
+    size = -(-ends[counts - 1] // 8)
+    start = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(len(codes)), counts)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    bit = 8 * start[row] + (ends - width)[at]
+    value, byte, n = codes[row, at].astype(np.int64) << (bit & 7), bit >> 3, int(start[-1])
+    raw = sum(np.bincount(byte + k, value >> (8 * k) & 0xFF, n + 3) for k in range(3)).astype(np.uint8).tobytes()
+    return [raw[i:j] for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """Animated GIFs of 24 x 24 frames, one palette index per payload byte; lengths must be positive multiples of 576."""
+    pixels = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, FRAME)
+    raws = [r for i in range(0, len(pixels), TOGETHER) for r in _packed(*lzw_codes(pixels[i : i + TOGETHER]), BITS)]
+    out, at = [], 0
+    for p in payloads:
+        parts = [_HEAD]
+        for raw in raws[at : at + len(p) // FRAME]:
+            parts.append(_FRAME_HEAD)
+            for i in range(0, len(raw), 255):
+                part = raw[i : i + 255]
+                parts += [bytes([len(part)]), part]
+            parts.append(b"\0")
+        at += len(p) // FRAME
+        out.append(b"".join([*parts, b"\x3b"]))
+    return out
 
 
 @dataclass
@@ -109,11 +132,13 @@ class Gif:
 
 
 def parse(data: bytes) -> Gif:
-    """The blocks of a GIF file. Anything that isn't a GIF raises ValueError; a cut file keeps the frames before the cut."""
+    """The blocks of a GIF file. Anything that isn't a GIF, or is larger than MOST_PIXELS, raises ValueError; a cut file keeps the frames before the cut."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF file")
     u16 = lambda i: data[i] | data[i + 1] << 8
     gif, flags, at = Gif(u16(6), u16(8), data[11]), data[10], 13
+    if gif.width * gif.height > MOST_PIXELS:
+        raise ValueError("too large a GIF file")
     shared = b""
     if flags & 0x80:
         shared = data[at : at + 3 * (2 << (flags & 7))]
@@ -138,6 +163,8 @@ def parse(data: bytes) -> Gif:
                     palette = data[at : at + 3 * (2 << (own & 7))]
                     at += len(palette)
                 bits, at = data[at], at + 1
+                if not 1 <= bits <= 8 or width * height > MOST_PIXELS:
+                    raise ValueError("not a frame of a GIF file")
                 parts = []
                 while size := data[at]:
                     parts.append(data[at + 1 : at + 1 + size])
@@ -151,121 +178,151 @@ def parse(data: bytes) -> Gif:
         return gif
 
 
-def lzw(codes: bytes, min_bits: int, n: int) -> np.ndarray:
-    """The first n indices of any LZW code stream; missing ones are 0."""
-    clear, end = 1 << min_bits, (1 << min_bits) + 1
-    table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], min_bits + 1, b""
-    out, made, acc, have = [], 0, 0, 0
-    for byte in codes:
-        acc |= byte << have
-        have += 8
-        while have >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            have -= width
-            if code == clear:
-                del table[end + 1 :]
-                width, last = min_bits + 1, b""
-                continue
-            if code == end or made >= n:
-                acc = have = 0
-                break
-            if not last:
-                word = table[code] if code < clear else b"\0"
-            elif code < len(table):
-                word = table[code]
-            else:
-                word = last + last[:1]
-            if last and len(table) < 4096:
-                table.append(last + word[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            last = word
-            out.append(word)
-            made += len(word)
-        else:
-            continue
-        break
-    flat = b"".join(out)[:n]
-    return np.frombuffer(flat + bytes(n - len(flat)), np.uint8)
-
-
-def _literal_frames(frames: list[Frame]) -> np.ndarray | None:
-    """Indices of frames whose code streams are all literals of 9 bits between clear codes in equal places; else None."""
-    first = frames[0]
-    n = first.width * first.height
-    if any(f.min_bits != 8 or len(f.codes) != len(first.codes) or f.width * f.height != n for f in frames):
-        return None
-    codes = _unpack9(np.frombuffer(b"".join(f.codes for f in frames), np.uint8).reshape(len(frames), -1))
-    plain = codes[0] < 256
-    ends = np.flatnonzero(codes[0] == _END)
-    if not len(ends):
-        return None
-    codes, plain = codes[:, : ends[0]], plain[: ends[0]]
-    marks = np.flatnonzero(~plain)
-    if plain.sum() != n or not len(marks) or marks[0] or np.diff([*marks, len(plain)]).max() > _RUN + 1:
-        return None
-    if (codes[:, ~plain] != _CLEAR).any() or (codes[:, plain] > 255).any():
-        return None
-    return codes[:, plain].astype(np.uint8)
-
-
-def indices(gif: Gif) -> list[np.ndarray]:
-    """Palette indices of each frame as (height, width)."""
-    if not gif.frames:
-        return []
-    fast = _literal_frames(gif.frames)
-    out = []
-    for k, f in enumerate(gif.frames):
-        flat = fast[k] if fast is not None else lzw(f.codes, f.min_bits, f.width * f.height)
-        img = flat.reshape(f.height, f.width)
-        if f.interlaced:
-            rows = np.concatenate([np.arange(a, f.height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
-            plain = np.empty_like(img)
-            plain[rows] = img
-            img = plain
-        out.append(img)
+def _runs(raws: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, owner of each run, length of each run): the codes between the clear codes of some streams, up to an end code or one that can't be."""
+    clear = 1 << bits
+    data = np.frombuffer(b"".join(raws) + b"\0\0\0", np.uint8).astype(np.int64)
+    size = np.array([len(r) for r in raws])
+    end = 8 * np.cumsum(size)
+    at = end - 8 * size
+    opens = (data[at >> 3] | data[(at >> 3) + 1] << 8) & (2 << bits) - 1
+    at = at + np.where((opens == clear) & (size > 0), bits + 1, 0)
+    width = _widths(int((8 * size).max(initial=0)) // (bits + 1) + 1, bits)
+    ends = np.cumsum(width)
+    owner, codes, owners, lengths = np.arange(len(raws)), [], [], []
+    while len(owner):
+        count = np.searchsorted(ends, end[owner] - at, "right")
+        some = count > 0
+        owner, at, count = owner[some], at[some], count[some]
+        if not len(owner):
+            break
+        first = np.cumsum(count) - count
+        run = np.repeat(np.arange(len(owner)), count)
+        j = np.arange(len(run)) - first[run]
+        bit = at[run] + (ends - width)[j]
+        byte = bit >> 3
+        code = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (bit & 7) & (1 << width[j]) - 1
+        stop = (code == clear) | (code == clear + 1) | (code > clear + 1 + j)
+        used = np.minimum(np.minimum.reduceat(np.where(stop, j, len(run)), first), count)
+        codes.append(code[j < used[run]])
+        owners.append(owner)
+        lengths.append(used)
+        more = np.flatnonzero(used < count)
+        more = more[code[first[more] + used[more]] == clear]
+        at, owner = at[more] + ends[used[more]], owner[more]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (codes, owners, lengths))
+
+
+def _expanded(codes: np.ndarray, lengths: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, how many of them each run gives) of runs of codes.
+
+    The k-th code behind a clear code adds an entry: its own word and the index that follows. So a later code for that entry repeats
+    the output from the k-th code's place on, one index more than that code's word. Word lengths and then the
+    indices themselves are found by following such references, twice as far in every round.
+    """
+    every = np.arange(len(codes), dtype=np.int32)
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    parent = np.where(codes < clear, -1, first + codes - (clear + 2)).astype(np.int32)
+    long, to, at = np.ones(len(codes), np.int32), parent.copy(), every[parent >= 0]
+    while len(at):
+        back = to[at]
+        more, further = long[back], to[back]
+        long[at] += more
+        to[at] = further
+        at = at[further >= 0]
+    ends = np.cumsum(long, dtype=np.int64)
+    starts = (ends - long).astype(np.int32)
+    code = np.repeat(every, long)
+    place = np.arange(len(code), dtype=np.int32)
+    known = parent[code] < 0
+    to = np.where(known, place, starts[parent[code]] + place - starts[code]).astype(np.int32)
+    at = place[~known]
+    while len(at):
+        further = to[to[at]]
+        to[at] = further
+        at = at[~known[further]]
+    run_ends = np.concatenate([[0], ends])[np.cumsum(lengths)]
+    return codes[code[to]].astype(np.uint8), np.diff(np.concatenate([[0], run_ends]))
+
+
+def lzw(raws: list[bytes], bits: int) -> list[bytes]:
+    """The indices of LZW code streams; of a broken one those before the first code that can't be."""
+    parts: list[list[bytes]] = [[] for _ in raws]
+    codes, owners, lengths = _runs(raws, bits)
+    flat, sizes = _expanded(codes, lengths, 1 << bits)
+    flat, at = flat.tobytes(), 0
+    for owner, size in zip(owners.tolist(), sizes.tolist(), strict=True):
+        parts[owner].append(flat[at : at + size])
+        at += size
+    return [b"".join(p) for p in parts]
+
+
+def read(files: list[bytes]) -> list[Gif | None]:
+    """Parsed files with the palette indices of their frames; None for what is no GIF file. Indices that a stream doesn't give are 0."""
+    out: list[Gif | None] = []
+    for data in files:
+        try:
+            out.append(parse(data))
+        except ValueError:
+            out.append(None)
+    every = [f for g in out if g for f in g.frames]
+    for bits in {f.min_bits for f in every}:
+        own, group, held = [f for f in every if f.min_bits == bits], [], 0
+        for k, f in enumerate(own):
+            group.append(f)
+            held += f.width * f.height
+            if held >= TOGETHER * FRAME or k == len(own) - 1:
+                for g, flat in zip(group, lzw([g.codes for g in group], bits), strict=True):
+                    g.pixels = _image(g, flat)
+                group, held = [], 0
     return out
 
 
-def compose(gif: Gif) -> list[tuple[int, np.ndarray]]:
-    """(start in hundredths of a second, RGB canvas) of each frame, after palettes, transparency and disposal."""
+def _image(frame: Frame, flat: bytes) -> np.ndarray:
+    """Palette indices of a frame as (height, width)."""
+    n = frame.width * frame.height
+    img = np.frombuffer(flat[:n] + bytes(max(0, n - len(flat))), np.uint8).reshape(frame.height, frame.width)
+    if frame.interlaced:
+        rows = np.concatenate([np.arange(a, frame.height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
+        plain = np.empty_like(img)
+        plain[rows] = img
+        return plain
+    return img
+
+
+def _colours(palette: bytes) -> np.ndarray:
+    out = np.zeros((256, 3), np.uint8)
+    given = np.frombuffer(palette[: len(palette) // 3 * 3], np.uint8).reshape(-1, 3)
+    out[: len(given)] = given
+    return out
+
+
+def compose(gif: Gif) -> Iterator[tuple[int, Frame, np.ndarray]]:
+    """(start in hundredths of a second, frame, RGB canvas) of each frame of a read() file, after palettes, transparency and disposal."""
     canvas = np.zeros((gif.height, gif.width, 3), np.uint8)
-    out, time = [], 0
-    for f, img in zip(gif.frames, indices(gif), strict=True):
+    time, given, colours = 0, None, None
+    for f in gif.frames:
         before = canvas.copy() if f.disposal == 3 else None
-        palette = np.zeros((256, 3), np.uint8)
-        given = np.frombuffer(f.palette, np.uint8).reshape(-1, 3)
-        palette[: len(given)] = given
+        if f.palette is not given:
+            given, colours = f.palette, _colours(f.palette)
         h, w = min(f.height, gif.height - f.top), min(f.width, gif.width - f.left)
         if h > 0 and w > 0:
-            part, area = img[:h, :w], canvas[f.top : f.top + h, f.left : f.left + w]
-            shown = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
-            area[shown] = palette[part[shown]]
-        out.append((time, canvas.copy()))
+            part, area = f.pixels[:h, :w], canvas[f.top : f.top + h, f.left : f.left + w]
+            if f.transparent is None:
+                area[...] = colours[part]
+            else:
+                shown = part != f.transparent
+                area[shown] = colours[part[shown]]
+        yield time, f, canvas.copy()
         time += f.delay
         if f.disposal == 2:
             canvas[f.top : f.top + max(h, 0), f.left : f.left + max(w, 0)] = 0
         elif f.disposal == 3:
             canvas = before
-    return out
 
 
-def grey_samples(gif: Gif) -> bytes:
-    """The frames' samples as one string of bytes: opaque full frames of grey palettes give their palettes' levels."""
-    if not gif.frames:
-        return b""
-    plain = all(f.transparent is None and not f.left and not f.top and (f.width, f.height) == (gif.width, gif.height) and not f.interlaced and f.palette == gif.frames[0].palette for f in gif.frames)
-    fast = _literal_frames(gif.frames) if plain else None
-    if fast is not None:
-        levels = np.zeros(256, np.uint8)
-        red = np.frombuffer(gif.frames[0].palette, np.uint8)[::3]
-        levels[: len(red)] = red
-        return levels[fast].tobytes()
-    return b"".join(rgb[:, :, 0].tobytes() for _, rgb in compose(gif))
-
-
-def histogram(rgb: np.ndarray, bins: int = 4) -> list[int]:
-    """Counts of bins**3 colour boxes."""
-    q = (rgb.reshape(-1, 3).astype(np.int64) * bins) >> 8
-    return np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2], minlength=bins**3).tolist()
+def histograms(rgb: np.ndarray) -> np.ndarray:
+    """Counts of 64 colour boxes, four levels of each channel, of each of some images (n, height, width, 3)."""
+    q = rgb.reshape(len(rgb), -1, 3) >> 6
+    box = ((q[:, :, 0] << 4) | (q[:, :, 1] << 2) | q[:, :, 2]) + 64 * np.arange(len(rgb))[:, None]
+    return np.bincount(box.reshape(-1), minlength=64 * len(rgb)).reshape(-1, 64)

@@ -14,15 +14,67 @@ from tests.llm.data import DOCS, docs, prose, rows
 # GIF
 
 
+def written_file(payload):
+    """A file of the same kind, written code by code."""
+    palette = bytes(v for r in range(8) for g in range(8) for b in range(4) for v in (r * 255 // 7, g * 255 // 7, b * 85))
+    out = b"GIF89a" + bytes([24, 0, 24, 0, 0xF7, 0, 0]) + palette
+    for i in range(0, len(payload), 576):
+        codes = compress(payload[i : i + 576], 8)
+        out += bytes([0x21, 0xF9, 4, 0, 4, 0, 0, 0, 0x2C, 0, 0, 0, 0, 24, 0, 24, 0, 0, 8])
+        out += b"".join(bytes([len(codes[k : k + 255])]) + codes[k : k + 255] for k in range(0, len(codes), 255)) + b"\0"
+    return out + b"\x3b", palette
+
+
 def test_text_media_gives_the_payload_back(spark):
-    got = Counter(tuple(r)[:7] for r in media.media_digests(media.text_media(docs(spark))).collect())
+    got = Counter(tuple(r) for r in media.media_digests(media.text_media(docs(spark))).collect())
     want = []
     for i, t, *_ in rows():
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
-        stored = gif.encode(payload)
-        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest()))
+        stored, palette = written_file(payload)
+        boxes = [0] * 64
+        for v in payload:
+            r, g, b = palette[3 * v : 3 * v + 3]
+            boxes[r // 64 * 16 + g // 64 * 4 + b // 64] += 1
+        n = len(payload) // 576
+        said = f"frames={n};size=24x24;ms={40 * n};colours={','.join(map(str, boxes))}"
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), said))
     assert got == Counter(want)
+    assert media.media_digests(media.text_media(spark.createDataFrame([], DOCS))).collect() == []
+
+
+def test_every_text_goes_through_lzw_and_palettes(monkeypatch):
+    seen, streams = Counter(), 0
+    lzw, colours = gif.lzw, gif._colours
+
+    def counted(raws, bits):
+        nonlocal streams
+        streams += len(raws)
+        return lzw(raws, bits)
+
+    monkeypatch.setattr(gif, "lzw", counted)
+    monkeypatch.setattr(gif, "_colours", lambda p: (seen.update(["_colours"]), colours(p))[1])
+    texts = [t for _, t, *_ in rows()]
+    stored = list(media._stored(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])])))
+    assert sum(b.num_rows for b in media._digests(iter(stored))) == len(texts)
+    assert seen["_colours"] == len(texts) and streams == sum(max(1, -(-len((t or "").encode()) // 576)) for t in texts)
+
+
+def test_streams_with_clear_codes_inside():
+    r = np.random.default_rng(1)
+    parts = [r.integers(0, 256, int(n)).astype(np.uint8).tolist() for n in r.integers(1, 900, 9)]
+    streams = [compress(p, 8, parts[i + 1 : i + 1 + i % 3]) for i, p in enumerate(parts)]
+    want = [bytes(sum([p, *parts[i + 1 : i + 1 + i % 3]], [])) for i, p in enumerate(parts)]
+    assert gif.lzw([*streams, b"", b"\0"], 8) == [*want, b"", b""]
+
+
+def test_broken_files(spark):
+    r = np.random.default_rng(2)
+    (good,) = gif.encode([gif.pad(b"some text " * 200)])
+    files = [bytes(np.where(r.random(len(good)) < share, r.integers(0, 256, len(good)), np.frombuffer(good, np.uint8)).astype(np.uint8)) for share in (0.001, 0.01, 0.1) for _ in range(20)]
+    files += [good[:i] for i in range(0, len(good), 97)] + [b"GIF89a" + b"\xff" * 40, good.replace(b"\0\0\x08", b"\0\0\x0c", 1), b"", None]
+    frames = [f for f in media._frames(iter([pa.RecordBatch.from_arrays([pa.array(range(len(files))), pa.array(files, pa.binary())], ["id", "media"])]))]
+    assert sum(f.num_rows for f in frames) > 20
 
 
 def pack(codes):
@@ -36,11 +88,11 @@ def pack(codes):
             out.append(acc & 255)
             acc >>= 8
             have -= 8
-    return bytes(out + bytes([acc]))
+    return bytes(out + bytes([acc] if have else []))
 
 
-def compress(pixels, bits):
-    """Plain LZW, as most writers do it."""
+def compress(pixels, bits, more=()):
+    """Plain LZW, as most writers do it; a clear code before each further part."""
     clear, table, width, out, word = 1 << bits, {bytes([i]): i for i in range(1 << bits)}, bits + 1, [(1 << bits, bits + 1)], b""
     following = clear + 2
     for p in pixels:
@@ -54,14 +106,35 @@ def compress(pixels, bits):
             if following - 1 == 1 << width and width < 12:
                 width += 1
         word = bytes([p])
-    return pack([*out, (table[word], width), (clear + 1, width)])
+    out.append((table[word], width))
+    for part in more:
+        following += 1
+        if following - 1 == 1 << width and width < 12:
+            width += 1
+        out.append((clear, width))
+        table, width, word, following = {bytes([i]): i for i in range(clear)}, bits + 1, b"", clear + 2
+        for p in part:
+            if word + bytes([p]) in table:
+                word += bytes([p])
+                continue
+            out.append((table[word], width))
+            table[word + bytes([p])] = following
+            following += 1
+            if following - 1 == 1 << width:
+                width += 1
+            word = bytes([p])
+        out.append((table[word], width))
+    following += 1
+    if following - 1 == 1 << width and width < 12:
+        width += 1
+    return pack([*out, (clear + 1, width)])
 
 
 @pytest.mark.parametrize("bits,n", [(2, 500), (4, 9000), (8, 30000)])
 def test_lzw_decodes_growing_codes(bits, n):
     r = np.random.default_rng(bits)
     pixels = np.repeat(r.integers(0, 1 << bits, n), r.integers(1, 5, n))[:n].astype(np.uint8)
-    assert gif.lzw(compress(pixels.tolist(), bits), bits, n).tolist() == pixels.tolist()
+    assert gif.lzw([compress(pixels.tolist(), bits)] * 2, bits) == [pixels.tobytes()] * 2
 
 
 def frame(pixels, w, h, left=0, top=0, disposal=0, clear=None, delay=5):
