@@ -1,10 +1,11 @@
 """Exact top-k search by integer inner product: a KD-tree per shard, best-first traversal.
 
-Rows are dealt into shards of about SHARD rows. Each shard becomes one KD-tree: median splits along the
-widest side, tight bounding boxes, points kept as integers; trees are a written table. Queries travel in blocks.
+Rows are dealt by a hash into shards of about SHARD rows. Each shard becomes one KD-tree: median splits along the
+widest side, tight bounding boxes, points kept as integers; the trees, points in their order and boxes, are a written table. Queries travel in blocks.
 A box's bound for a query is the largest inner product any point in it could have; a traversal visits
 boxes in the order of their bounds and stops at the first that is below the k-th score so far. Every block first asks one
-shard; the k-th scores found there go along to all other shards, where most boxes fall below them.
+shard; the k-th scores found there go along to all other shards, where most boxes fall below them. So a block meets every
+shard once: that is the cost of an exact answer, and grows with queries times shards.
 
 Ties go to the smaller id, so a box whose bound equals the k-th score is left out only if all its ids are larger.
 """
@@ -26,32 +27,48 @@ EXACT = 1 << 53
 
 
 class Tree:
-    """Arrays of one KD-tree. Node i holds rows first[i]:last[i] of points; left[i] is -1 at a leaf."""
+    """Arrays of one KD-tree. Node i holds rows span[i, 0]:span[i, 1] of points; its children are child[i], -1 at a leaf."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF):
-        order, self.first, self.last, self.left, self.right = np.arange(len(ids)), [0], [len(ids)], [], []
+    ARRAYS = ("points", "ids", "span", "child", "low", "high", "smallest")
+
+    def __init__(self, **arrays: np.ndarray):
+        self.points, self.ids, self.span, self.child, self.low, self.high, self.smallest = (arrays[a] for a in self.ARRAYS)
+
+    @classmethod
+    def grown(cls, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> "Tree":
+        order, span, child = np.arange(len(ids)), [(0, len(ids))], []
         low, high, smallest = [], [], []
         at = 0
-        while at < len(self.first):
-            a, b = self.first[at], self.last[at]
+        while at < len(span):
+            a, b = span[at]
             own = points[order[a:b]]
             low.append(own.min(0))
             high.append(own.max(0))
             smallest.append(ids[order[a:b]].min())
-            side = int(np.argmax(high[-1] - low[-1])) if points.shape[1] else 0
+            wide = high[-1].astype(np.float64) - low[-1]
+            side = int(np.argmax(wide)) if points.shape[1] else 0
             if b - a <= leaf or not points.shape[1] or high[-1][side] == low[-1][side]:
-                self.left.append(-1)
-                self.right.append(-1)
+                child.append((-1, -1))
             else:
                 mid = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(own[:, side], mid)]
-                self.left.append(len(self.first))
-                self.right.append(len(self.first) + 1)
-                self.first += [a, a + mid]
-                self.last += [a + mid, b]
+                child.append((len(span), len(span) + 1))
+                span += [(a, a + mid), (a + mid, b)]
             at += 1
-        self.points, self.ids = points[order], ids[order]
-        self.low, self.high, self.smallest = np.array(low), np.array(high), np.array(smallest)
+        return cls(points=points[order], ids=ids[order], span=np.array(span), child=np.array(child), low=np.array(low), high=np.array(high), smallest=np.array(smallest))
+
+    def pack(self) -> dict[str, bytes]:
+        return {a: getattr(self, a).astype(np.int64).tobytes() for a in self.ARRAYS}
+
+    @classmethod
+    def unpack(cls, data: dict[str, bytes], dim: int) -> "Tree":
+        wide = {"points": dim, "span": 2, "child": 2, "low": dim, "high": dim}
+        n = {a: len(data["ids" if a == "points" else "smallest"]) // 8 for a in cls.ARRAYS}
+        return cls(**{a: np.frombuffer(data[a], np.int64).reshape((n[a], wide[a]) if a in wide else -1) for a in cls.ARRAYS})
+
+    def of(self, kind: type) -> "Tree":
+        """The same tree with coordinates of another type."""
+        return Tree(**{a: getattr(self, a).astype(kind) if a in ("points", "low", "high") else getattr(self, a) for a in self.ARRAYS})
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, floors: np.ndarray) -> Iterator[list[tuple[int, int]]]:
         """For each query its best (score, id) pairs, k at most, of those with a score of at least floors[q]."""
@@ -66,11 +83,11 @@ class Tree:
                     break
                 if len(best) == k and (-top < best[0][0] or (-top == best[0][0] and self.smallest[i] > -best[0][1])):
                     continue
-                if self.left[i] >= 0:
-                    for child in (self.left[i], self.right[i]):
+                if self.child[i, 0] >= 0:
+                    for child in self.child[i].tolist():
                         heapq.heappush(heap, (-bound[child], child))
                     continue
-                a, b = self.first[i], self.last[i]
+                a, b = self.span[i]
                 scores, ids = self.points[a:b] @ query, self.ids[a:b]
                 keep = (scores >= floor) & (ids != query_ids[q])
                 scores, ids = scores[keep], ids[keep]
@@ -87,18 +104,16 @@ class Tree:
             yield [(int(s), -x) for s, x in sorted(best, reverse=True)]
 
 
-def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+TREES = "dim int, shard int, points binary, ids binary, span binary, child binary, low binary, high binary, smallest binary"
 
 
 def _tree(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row per shard: its points and ids, in the tree's order of rows."""
-    dim = key[0].as_py()
-    order = pa.compute.sort_indices(rows, [("vec_id", "ascending")])
-    rows = rows.take(order)
-    points = _matrix(rows["vector"].combine_chunks(), dim).astype(np.int64)
-    ids = rows["vec_id"].to_numpy()
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "points": pa.array([points.tobytes()], pa.binary()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary())})
+    """One row per shard: its tree."""
+    dim, n = key[0].as_py(), rows.num_rows
+    rows = rows.take(pa.compute.sort_indices(rows, [("vec_id", "ascending")]))
+    points = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, dim)
+    tree = Tree.grown(points, rows["vec_id"].to_numpy().astype(np.int64)).pack()
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), **{a: pa.array([x], pa.binary()) for a, x in tree.items()}})
 
 
 def _number(points: np.ndarray, others: np.ndarray) -> type:
@@ -108,24 +123,25 @@ def _number(points: np.ndarray, others: np.ndarray) -> type:
 
 
 def _answers(k: int):
+    """Answers (query_id, vec_id, score) of rows with a block of queries and a tree. A score beyond 64 bits raises OverflowError."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_, tree, kind = None, None, None
+        open_, tree, own, kind = None, None, None, None
         for batch in batches:
-            names = batch.schema.names
             for i in range(batch.num_rows):
-                row = {c: batch.column(j)[i] for j, c in enumerate(names)}
+                row = {c: batch.column(j)[i] for j, c in enumerate(batch.schema.names)}
                 dim, shard = row["dim"].as_py(), row["shard"].as_py()
-                n = row["n"].as_py()
-                queries = np.array([q["vector"] for q in row["queries"].as_py()], np.int64).reshape(-1, dim)
-                ids = np.array([q["query_id"] for q in row["queries"].as_py()], np.int64)
-                floors = np.array([-np.inf if q["kth"] is None else q["kth"] for q in row["queries"].as_py()])
-                points = np.frombuffer(row["points"].as_py(), np.int64).reshape(n, dim)
-                want = _number(points, queries)
-                if (dim, shard, want) != (open_, kind, want) or tree is None:
-                    tree = Tree(points.astype(want), np.frombuffer(row["ids"].as_py(), np.int64))
-                    open_, kind = (dim, shard), want
-                out = list(tree.search(queries.astype(want), ids, k, floors))
-                flat = [(q, x, max(min(s, (1 << 63) - 1), -(1 << 63))) for q, found in zip(ids.tolist(), out, strict=True) for s, x in found]
+                asked = row["queries"].as_py()
+                queries = np.array([q["vector"] for q in asked], np.int64).reshape(-1, dim)
+                ids = np.array([q["query_id"] for q in asked], np.int64)
+                floors = np.array([-np.inf if q["kth"] is None else q["kth"] for q in asked])
+                if (dim, shard) != open_:
+                    open_, kind, tree = (dim, shard), None, Tree.unpack({a: row[a].as_py() for a in Tree.ARRAYS}, dim)
+                want = _number(tree.points, queries)
+                if want is not kind:
+                    kind, own = want, tree.of(want)
+                found = own.search(queries.astype(want), ids, k, floors)
+                flat = [(q, x, s) for q, best in zip(ids.tolist(), found, strict=True) for s, x in best]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*flat, strict=True) if flat else ([], [], []))], ["query_id", "vec_id", "score"])
 
     return go
@@ -136,13 +152,13 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard: int = SHARD
 
     queries and points: (vec_id long, vector array<long>), without nulls. A query meets points of its own
     length, but none with its own id. Ids that repeat are told apart as points, and answered once as queries if their
-    vectors are equal too. Fewer than k points: all of them. No queries or no points: no rows.
+    vectors are equal too. Fewer than k points: all of them. No queries or no points: no rows. A score that 64 bits don't hold is an error.
     """
     queries = queries.dropDuplicates(["vec_id", "vector"])
     n, m = points.count(), queries.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
-    dealt = points.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    trees = written(dealt.groupBy("dim", "shard").applyInArrow(_tree, "dim int, shard int, n int, points binary, ids binary"))
+    dealt = points.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
+    trees = written(dealt.groupBy("dim", "shard").applyInArrow(_tree, TREES))
     asked = queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "vector")
 
     def ask(asked: DataFrame, where) -> DataFrame:
@@ -158,7 +174,12 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard: int = SHARD
 
 
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, vector): floor(scale * x) of each component as double; null and non-finite vectors and null ids are left out."""
+    """(vec_id, vector): floor(scale * x) of each component as double; null and non-finite vectors and null ids are left out.
+
+    A component that 64 bits don't hold is an error.
+    """
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
+    beyond = F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")
+    fits = lambda x: F.abs(x.cast("double") * scale) < F.lit(2.0**63)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.when(fits(x), F.floor(x.cast("double") * scale)).otherwise(beyond)).alias("vector"))
