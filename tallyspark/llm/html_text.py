@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import discard, written
 
 # HTML elements by what they mean for text.
 SKIPPED = set("script style noscript template iframe svg canvas object embed math audio video select textarea button head title datalist".split())
@@ -298,10 +298,11 @@ def partners(pages: DataFrame) -> DataFrame:
 
     pages(page_id, u, host, path, html), u a hash that tells rows of one id apart.
     """
-    lines = pages.mapInArrow(_lines, "page_id long, u long, host string, path string, lines array<long>")
+    lines = written(pages.mapInArrow(_lines, "page_id long, u long, host string, path string, lines array<long>"))  # the range sort reads them twice
     order = [F.col(c).asc_nulls_first() for c in ("host", "path", "page_id", "u")]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     paired = written(ranged.mapInArrow(_paired, "page_id long, u long, host string, path string, lines array<long>, inner array<long>, inner_path string, gone array<int>, edge int"))
+    discard(lines)
     edges = paired.where("edge > 0")
     w = W.orderBy(*order)  # two rows a partition of the range sort
     before, after = (F.struct(f(F.col("host")).over(w).alias("host"), f(F.col("path")).over(w).alias("path"), f(F.col("lines")).over(w).alias("lines")) for f in (F.lag, F.lead))
