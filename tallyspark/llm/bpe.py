@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts are cut into chunks that overlap. Chunks are pre-tokenised on their own, long texts' chunks in
-tasks of their own. A chunk that starts inside a pre-token is out of step with the one before, until both
+Texts are cut into chunks of CHUNK characters that overlap. Chunks are pre-tokenised on their own; texts of more than SPLIT
+characters are dealt out in stretches of SPLIT, which overlap and meet alike, to tasks of their own. A chunk that starts inside a pre-token is out of step with the one before, until both
 put a boundary at the same place of their overlap: from there on both see the same text and the pattern never looks back,
 so there the later chunk takes over. The pieces between boundaries are encoded one by one;
 decoding concatenates the ids' raw bytes. Where two chunks never meet in their overlap (a run without boundaries that is
@@ -13,9 +13,10 @@ installed tokenizer package) once per process.
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import written
 
-CHUNK, OVERLAP = 1 << 16, 512
-MEMO = 200_000
+CHUNK, SPLIT, OVERLAP = 1024, 1 << 16, 96
+#: Pieces that a process remembers with their ids at most, about 15 MB.
+MEMO = 60_000
 
 
 class Bpe:
@@ -55,7 +57,7 @@ class Bpe:
             ids = memo.get(p)
             if ids is None:
                 ids = self.whole.encode_ordinary(p)
-                if len(p) <= 64:
+                if len(p) <= 32:
                     memo[p] = ids
             out.append(ids)
         return list(chain.from_iterable(out))
@@ -77,46 +79,47 @@ def reliable(ends: list[int], start: int, size: int, is_last: bool) -> list[int]
     return [start + e for e in ends if is_last or e < size - 1]
 
 
-def meet(before: list[int], after: list[int], start: int) -> int | None:
-    """The first boundary common to a chunk and the next one, which begins at `start`; None if there is none."""
-    common = set(after)
-    common.add(start)  # a chunk's start is a boundary of its own
-    return next((b for b in before if b >= start and b in common), None)
-
-
 def pieces_by_chunks(text: str, vocab: Bpe, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """The pattern's matches over a text, found chunk by chunk."""
-    n = len(text)
-    if n <= chunk + overlap:
-        return vocab.pattern.findall(text)
-    starts = list(range(0, n, chunk))
-    found = [reliable(vocab.boundaries(text[s : s + chunk + overlap]), s, min(chunk + overlap, n - s), s + chunk + overlap >= n) for s in starts]
-    out, at = [], 0
-    for k, ends in enumerate(found):
-        to = meet(ends, found[k + 1], starts[k + 1]) if k + 1 < len(found) else n
+    """The pattern's matches over a text, found chunk by chunk.
+
+    A chunk's pieces hold up to the first boundary in its overlap that the next chunk has too. Where there is none the chunk is made twice as long.
+    """
+    n, find = len(text), vocab.pattern.findall
+    out, at, start, size = [], 0, 0, chunk + overlap
+    pieces = find(text[:size])
+    while start + size < n:
+        end = start + size
+        after = end - overlap
+        ends = list(accumulate(map(len, pieces), initial=start))
+        if ends[-1] != end:  # a pattern whose matches leave something out
+            return find(text)
+        new = find(text[after : after + chunk + overlap])
+        marks = set(accumulate(map(len, new), initial=after))
+        to = next((e for e in ends[bisect_left(ends, max(after, at)) :] if e in marks and e < end - 1), None)
         if to is None:
-            return vocab.pattern.findall(text)
-        for e in ends:
-            if at < e <= to:
-                out.append(text[at:e])
-                at = e
-    return out
+            size *= 2
+            pieces = find(text[start : start + size])
+            continue
+        out += pieces[bisect_left(ends, at) : bisect_left(ends, to)]
+        at, start, size, pieces = to, after, chunk + overlap, new
+    ends = list(accumulate(map(len, pieces), initial=start))
+    return out + pieces[bisect_left(ends, at) :]
 
 
-def _encode_short(ranks_path: str, pattern: str):
+def _encode_short(ranks_path: str, pattern: str, chunk: int, overlap: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe(ranks_path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [vocab.encode_pieces(vocab.pattern.findall(t)) if t else [] for t in part.column(1).to_pylist()]
+                ids = [vocab.encode_pieces(pieces_by_chunks(t, vocab, chunk, overlap)) if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return go
 
 
-def _boundaries(ranks_path: str, pattern: str, chunk: int, overlap: int):
-    """Per chunk: boundaries inside the overlap at its head and at its tail (positions in the text)."""
+def _boundaries(ranks_path: str, pattern: str, split: int, overlap: int):
+    """Per stretch: boundaries inside the overlap at its head and at its tail (positions in the text)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe(ranks_path, pattern)
@@ -125,7 +128,7 @@ def _boundaries(ranks_path: str, pattern: str, chunk: int, overlap: int):
                 start, n, text = part.column(1)[0].as_py(), part.column(2)[0].as_py(), part.column(3)[0].as_py()
                 ends = reliable(vocab.boundaries(text), start, len(text), start + len(text) >= n)
                 head = [e for e in ends if e <= start + overlap]
-                tail = [e for e in ends if e >= start + chunk]
+                tail = [e for e in ends if e >= start + split]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([head], pa.list_(pa.int32())), pa.array([tail], pa.list_(pa.int32()))], ["row", "start", "head", "tail"])
 
     return go
@@ -151,35 +154,35 @@ def _encode_spans(ranks_path: str, pattern: str):
     return go
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, split: int = SPLIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids): the token ids of each text, as encoding each match of `pattern` separately gives.
 
-    Null and empty texts have no ids. Repeated rows stay. Texts of up to chunk + overlap characters are one chunk
-    and aren't shuffled; longer ones are dealt out chunk by chunk.
+    Null and empty texts have no ids. Repeated rows stay. Texts of up to split + overlap characters are encoded in chunks where
+    they are; longer ones are dealt out stretch by stretch. Neither size changes the ids.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = docs.where(F.length("text") <= chunk + overlap).mapInArrow(_encode_short(ranks_path, pattern), "doc_id long, ids array<int>")
-    long = docs.where(F.length("text") > chunk + overlap).withColumn("n", F.length("text")).withColumn("key", F.sha2("text", 256))
-    # a repeated row encodes alike, so chunks are kept once per text and joined back by it
+    short = docs.where(F.length("text") <= split + overlap).mapInArrow(_encode_short(ranks_path, pattern, chunk, overlap), "doc_id long, ids array<int>")
+    long = docs.where(F.length("text") > split + overlap).withColumn("n", F.length("text")).withColumn("key", F.sha2("text", 256))
+    # a repeated row encodes alike, so stretches are kept once per text and joined back by it
     keys = long.select("doc_id", "key")
     texts = long.dropDuplicates(["key"]).select(F.col("key").alias("row"), "n", "text")
-    parts = texts.select("row", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).alias("start"), "text")
-    parts = parts.select("row", "start", "n", F.expr(f"substring(text, start + 1, {chunk + overlap})").alias("text"))
+    parts = texts.select("row", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(split))).alias("start"), "text")
+    parts = parts.select("row", "start", "n", F.expr(f"substring(text, start + 1, {split + overlap})").alias("text"))
     parts = parts.repartition("row", "start")
-    ends = parts.mapInArrow(_boundaries(ranks_path, pattern, chunk, overlap), "row string, start int, head array<int>, tail array<int>")
+    ends = parts.mapInArrow(_boundaries(ranks_path, pattern, split, overlap), "row string, start int, head array<int>, tail array<int>")
     here = ends.select("row", "start", "head")
-    before = ends.select("row", (F.col("start") + chunk).alias("start"), "tail")
+    before = ends.select("row", (F.col("start") + split).alias("start"), "tail")
     meets = here.join(before, ["row", "start"], "left").select("row", "start", F.when(F.col("start") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.array_append("head", F.col("start")), "tail"))).alias("at"))
     meets = written(meets)
     lost = meets.groupBy("row").agg(F.bool_or(F.col("at").isNull()).alias("lost"))
-    nexts = meets.select("row", (F.col("start") - chunk).alias("start"), F.col("at").alias("to"))
+    nexts = meets.select("row", (F.col("start") - split).alias("start"), F.col("at").alias("to"))
     spans = parts.join(meets, ["row", "start"]).join(nexts, ["row", "start"], "left").join(lost.where(~F.col("lost")), "row")
     spans = spans.select("row", "start", "text", "at", F.coalesce("to", "n").cast("int").alias("to"))
     coded = spans.mapInArrow(_encode_spans(ranks_path, pattern), "row string, start int, ids array<int>")
     joined = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda x: x["ids"])).alias("ids"))
     together = keys.join(joined, keys["key"] == joined["row"]).select("doc_id", "ids")
     odd = long.join(lost.where("lost"), long["key"] == lost["row"]).select("doc_id", "text")
-    odd = odd.mapInArrow(_encode_short(ranks_path, pattern), "doc_id long, ids array<int>")
+    odd = odd.mapInArrow(_encode_short(ranks_path, pattern, chunk, overlap), "doc_id long, ids array<int>")
     return short.unionByName(together).unionByName(odd)
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as P
@@ -7,7 +8,7 @@ import pytest
 import tiktoken
 
 from tallyspark.llm import bpe, token_counts
-from tests.llm.data import docs, rows
+from tests.llm.data import DOCS, docs, prose, rows
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,9 +19,9 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("chunk,overlap", [(1 << 16, 512), (200, 30), (64, 8)])
-def test_encode_equals_the_library(spark, reference, chunk, overlap):
-    encoded = bpe.encode(docs(spark), PATH, P.PATTERN, chunk, overlap)
+@pytest.mark.parametrize("sizes", [(), (200, 50, 30), (64, 16, 8)])
+def test_encode_equals_the_library(spark, reference, sizes):
+    encoded = bpe.encode(docs(spark), PATH, P.PATTERN, *sizes)
     got = sorted(map(tuple, bpe.digests(encoded, PATH, P.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()), key=str)
     want = []
     for i, t, *_ in rows():
@@ -29,6 +30,18 @@ def test_encode_equals_the_library(spark, reference, chunk, overlap):
     assert got == sorted(want, key=str)
 
 
+def test_most_texts_are_chunked(spark, monkeypatch):
+    long, own = sum(len(t or "") > bpe.CHUNK + bpe.OVERLAP for _, t, *_ in rows()), bpe.bpe(PATH, P.PATTERN)
+    pieces = bpe.pieces_by_chunks(prose(1, 3000), own)
+    assert long > 3 and "".join(pieces) == prose(1, 3000) and pieces == own.pattern.findall(prose(1, 3000))
+
+
+def test_nothing_to_encode(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert bpe.digests(bpe.encode(none, PATH, P.PATTERN), PATH, P.PATTERN).collect() == []
+    assert token_counts.section_tokens(none, PATH, P.PATTERN).collect() == []
+
+
 def test_decode_gives_the_texts_back(spark):
     encoded = bpe.encode(docs(spark), PATH, P.PATTERN)
     got = sorted(((r.doc_id, bytes(r.bytes)) for r in bpe.decode(encoded, PATH, P.PATTERN).collect()), key=str)
@@ -37,7 +50,9 @@ def test_decode_gives_the_texts_back(spark):
 
 def test_chunks_meet_or_give_way():
     vocab = bpe.bpe(PATH, P.PATTERN)
-    for text in ("a" * 500 + " b", "we'll  \n\n x1234 " * 40, "\n" * 300, ""):
+    r = random.Random(4)
+    odd = ["".join(r.choice(["a", "bc", " ", "  ", "\n", "'ll", "7", "é", "字", "—", "!?"]) for _ in range(400)) for _ in range(40)]
+    for text in ("a" * 500 + " b", "we'll  \n\n x1234 " * 40, "\n" * 300, "", *odd):
         for chunk, overlap in ((50, 4), (64, 20), (7, 3)):
             assert bpe.pieces_by_chunks(text, vocab, chunk, overlap) == vocab.pattern.findall(text)
 
