@@ -69,10 +69,11 @@ def day_bootstrap(rows: DataFrame, seed: int = 42, n_boot: int = 1000) -> DataFr
     """
     days = rows.groupBy("period", date_hour(F.col("hour")).alias("day")).agg(F.sum(F.abs(_err("forecast")) - F.abs(_err("baseline"))).alias("diff"), F.count("*").alias("n"))
     listed = days.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("day", "diff", "n"))).alias("days"), F.sum("diff").alias("d"), F.sum("n").alias("n"))
-    draws = listed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("days") - 1)))
+    draws = listed.select("period", F.size("days").alias("of")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string"))
-    pick = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.size("days")).cast("int")
-    one = draws.select("period", "b", F.get("days", pick).alias("x"))
+    pick = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("of")).cast("int")
+    numbered = listed.select("period", F.posexplode("days").alias("k", "x"))
+    one = draws.select("period", "b", pick.alias("k")).join(numbered, ["period", "k"])
     sums = one.groupBy("period", "b").agg((F.sum("x.diff") / F.sum("x.n")).alias("v"))
     ends = sums.groupBy("period").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
     return listed.join(ends, "period").select("period", (F.col("d") / F.col("n")).alias("mae_diff"), F.col("e")[0].alias("ci95_low"), F.col("e")[1].alias("ci95_high"), F.lit(n_boot).alias("n_bootstrap"), F.size("days").alias("n_days"))

@@ -35,18 +35,26 @@ def join_many_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 
 
 def lags(demand: DataFrame, target: str = "trips_total") -> DataFrame:
-    """Adds lag_k and roll_mean_24 (null unless all 24 rows exist); one window, so one shuffle by zone."""
+    """Adds lag_k and roll_mean_24 (null unless all 24 rows exist); one window, so one shuffle by zone.
+
+    Lags go by position, so the same window also watches the grid: a job fails at the first row of a zone that doesn't stand
+    one hour behind the row before it.
+    """
     w = _by_zone()
     rows = w.rowsBetween(-ROLLING, -1)
     out = {f"lag_{k}": F.lag(target, k).over(w) for k in LAGS}
     mean = F.when(F.count(target).over(rows) == ROLLING, F.avg(target).over(rows))
-    return demand.withColumns({**out, f"roll_mean_{ROLLING}": mean})
+    # both ends come from the window: a later filter on hour must not be put in for the column here
+    step = F.max("hour").over(w.rowsBetween(W.currentRow, W.currentRow)) - F.lag("hour").over(w)
+    broken = F.raise_error(F.lit("demand is not a complete hourly grid per zone")).cast("boolean")
+    watched = demand.withColumns({**out, f"roll_mean_{ROLLING}": mean, "_whole": F.when(step != F.expr(HOUR), broken).otherwise(F.lit(True))})
+    return watched.where("_whole").drop("_whole")
 
 
 def build_features(demand: DataFrame, weather: DataFrame | None = None, zone: str = "America/New_York") -> DataFrame:
     """Lags, rolling mean, calendar and, if given, weather of demand(hour, zone_id, borough, trips_total).
 
-    demand must be a complete grid (see check_grid), since lags go by position.
+    demand must be a complete hourly grid per zone; a job over the result fails where it isn't (check_grid tells at once).
     """
     days = calendar(demand.select("hour").distinct(), zone).select("hour", "hour_of_day", "day_of_week", F.col("is_holiday").cast("byte").alias("is_holiday"))
     out = lags(demand).join(days, "hour", "left")  # calendar() gives each hour once

@@ -56,13 +56,29 @@ def validation_mae(model: PipelineModel, rows: DataFrame) -> float:
     return RegressionEvaluator(labelCol=TARGET, predictionCol="forecast", metricName="mae").evaluate(clip(model.transform(rows), "forecast"))
 
 
+def fit_stopping(train: DataFrame, validation: DataFrame, features: tuple, params: dict, rounds: int, seed: int = 42, patience: int = PATIENCE) -> tuple[PipelineModel, int, float]:
+    """(model, rounds, MAE) with early stopping: at most `rounds`, none once `patience` rounds brought nothing better.
+
+    The learner can't go on from where it stopped, so it is fitted anew with twice as many rounds while the best is too close to the last.
+    """
+    size = min(rounds, 2 * patience)
+    while True:
+        model = fit(train, features, params, size, seed)
+        used, error = best_rounds(model, validation, patience)
+        if size >= rounds or used + patience <= size:
+            return model, used, error
+        size = min(rounds, 2 * size)
+
+
 def search(train: DataFrame, validation: DataFrame, features: tuple, grid: tuple = GRID, rounds: int = MOST_ROUNDS, seed: int = 42) -> list[dict]:
     """Candidates by validation MAE, best first: {params, rounds, mae}. Test rows are never seen."""
     train, validation = train.persist(), validation.persist()
     out = []
     for params in grid[:6]:
-        model = fit(train, features, params, rounds, seed)
-        used, error = (0, validation_mae(model, validation)) if params.get("poisson") else best_rounds(model, validation)
+        if params.get("poisson"):
+            used, error = 0, validation_mae(fit(train, features, params, rounds, seed), validation)
+        else:
+            _, used, error = fit_stopping(train, validation, features, params, rounds, seed)
         out.append({"params": params, "rounds": used, "mae": float(error)})
     train.unpersist()
     validation.unpersist()

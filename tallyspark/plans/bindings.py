@@ -5,6 +5,7 @@ stand for unknown ones. The long daily series are orders by day, nation and prio
 """
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new path in the folder that all executors share: spark.checkpoint.dir, on a local master a temporary one where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -11,12 +11,10 @@ _ORDER = ", ".join(f"CAST(count(*) FILTER (WHERE p = '{s}') AS INTEGER) AS trips
 _SUMS = ", ".join(f"CAST(sum(trips_{s}) AS BIGINT) AS trips_{s}" for s in SERVICES)
 _DAILY = ", ".join(f"CAST(coalesce(sum(trips_{s}), 0) AS BIGINT) AS trips_{s}" for s in PRIORITIES)
 _COLS = ["n_rows", "trips_total", *(f"trips_{s}" for s in SERVICES)]
-_ACCOUNT = """CAST(coalesce(sum(trips), 0) AS BIGINT) AS rows_read,
-    CAST(coalesce(sum(trips) FILTER (WHERE NOT in_month), 0) AS BIGINT) AS rows_outside_month,
-    CAST(coalesce(sum(trips) FILTER (WHERE in_month AND zone_id IS NULL), 0) AS BIGINT) AS rows_zone_null,
-    CAST(coalesce(sum(trips) FILTER (WHERE in_month AND zone_id BETWEEN 26 AND 28), 0) AS BIGINT) AS rows_zone_unknown,
-    CAST(coalesce(sum(trips) FILTER (WHERE in_month AND zone_id NOT BETWEEN 1 AND 28), 0) AS BIGINT) AS rows_zone_out_of_range,
-    CAST(coalesce(sum(trips) FILTER (WHERE in_month AND zone_id BETWEEN 1 AND 25), 0) AS BIGINT) AS rows_in_mart"""
+_CLASSES = ("outside_month", "zone_null", "zone_unknown", "zone_out_of_range", "in_mart")
+_CLASS = """CASE WHEN NOT in_month THEN 'outside_month' WHEN zone_id IS NULL THEN 'zone_null' WHEN zone_id < 1 OR zone_id > 28 THEN 'zone_out_of_range'
+         WHEN zone_id > 25 THEN 'zone_unknown' ELSE 'in_mart' END AS class"""
+_ACCOUNT = "CAST(sum(trips) AS BIGINT) AS rows_read, " + ", ".join(f"CAST(sum(CASE class WHEN '{c}' THEN trips ELSE 0 END) AS BIGINT) AS rows_{c}" for c in _CLASSES)
 _W = "PARTITION BY zone_id ORDER BY hour"
 _DOW = "['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']"
 _SERVICE_LIST = "[" + ", ".join(f"'{s}'" for s in SERVICES) + "]"
@@ -36,7 +34,7 @@ svc AS (SELECT CAST(unnest(range(1, 6)) AS TINYINT) AS service_id, unnest({_SERV
 raw0 AS (SELECT service, month, coalesce(pickup >= TIMESTAMP '2024-01-03' AND pickup < TIMESTAMP '2024-01-25', FALSE) AS in_month,
          date_trunc('hour', pickup) AS hour, TRY_CAST(zone AS INTEGER) AS zone_id, count(*) AS trips FROM trips GROUP BY ALL),
 raw AS (SELECT service, in_month, hour, zone_id, CAST(sum(trips) AS BIGINT) AS trips FROM raw0 GROUP BY ALL),
-entries AS (SELECT service, month, {_ACCOUNT} FROM raw0 GROUP BY service, month),
+entries AS (SELECT service, month, {_ACCOUNT} FROM (SELECT *, {_CLASS} FROM raw0) GROUP BY service, month),
 fact AS (SELECT hour, zone_id, service_id, CAST(sum(trips) AS INTEGER) AS trips FROM raw JOIN svc USING (service) WHERE in_month AND zone_id BETWEEN 1 AND 28 GROUP BY ALL),
 hours AS (SELECT unnest(range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-25', INTERVAL 1 HOUR)) AS hour),
 agg AS (SELECT hour, zone_id, sum(f.trips) AS trips_total, {_ONE} FROM fact f JOIN svc s USING (service_id) GROUP BY hour, zone_id),
@@ -88,6 +86,19 @@ def _r(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
 
+def _audit(trips: str) -> str:
+    """Windows over the mart against joins by time over the mart with some trips."""
+    lags = {1: "lag_1", 24: "lag_24", 168: "lag_168"}
+    joins = " ".join(f"LEFT JOIN v AS v{k} ON v{k}.zone_id = v.zone_id AND v{k}.hour = v.hour - INTERVAL {k} HOUR" for k in lags)
+    other = f"""SELECT v.zone_id, v.hour, {", ".join(f"v{k}.y AS {c}" for k, c in lags.items())},
+        (SELECT CASE WHEN count(*) = 24 THEN avg(p.y) END FROM v p WHERE p.zone_id = v.zone_id AND p.hour < v.hour AND p.hour >= v.hour - INTERVAL 24 HOUR) AS roll_mean_24
+        FROM (SELECT zone_id, hour, {trips} AS y FROM mart) v {joins}""".replace("FROM v p", f"FROM (SELECT zone_id, hour, {trips} AS y FROM mart) p").replace("JOIN v AS", f"JOIN (SELECT zone_id, hour, {trips} AS y FROM mart) AS")
+    columns = [*lags.values(), "roll_mean_24"]
+    odd = " OR ".join(["a.zone_id IS NULL", "b.zone_id IS NULL", *(f"(a.{c} IS NULL) <> (b.{c} IS NULL)" for c in columns)])
+    return f"""SELECT count(*) FILTER (WHERE {odd}) AS unmatched, {", ".join(f"round(CAST(coalesce(max(abs(a.{c} - b.{c})), 0) AS DOUBLE), 6) AS max_diff_{c}" for c in columns)}
+        FROM feat a FULL JOIN ({other}) b ON a.zone_id = b.zone_id AND a.hour = b.hour"""
+
+
 _SC = f"hour, zone_id, borough, {_r('actual', 'baseline', 'forecast')}"
 _MAES = "round(avg(abs(baseline - actual)), 6) AS mae_baseline, round(avg(abs(forecast - actual)), 6) AS mae_forecast"
 
@@ -114,17 +125,20 @@ SQL = {
     "dim_date": f"SELECT date, strftime(date, '%Y-%m') AS year_month, {_DOW}[isodow(date)] AS weekday, isodow(date) >= 6 AS is_weekend FROM days",
     "daily_by_service": " UNION ALL ".join(f"SELECT date, '{s}' AS service, trips_{s} AS trips FROM daily" for s in PRIORITIES),
     "month_raw": "SELECT * FROM raw",
-    "quality_month": f"SELECT service, {_ACCOUNT} FROM raw GROUP BY service",
+    "quality_month": f"SELECT service, {_ACCOUNT} FROM (SELECT *, {_CLASS} FROM raw) GROUP BY service",
     "mart_demand_hourly": "SELECT * FROM mart",
     "month_bounds": "SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, date_trunc('month', o_orderdate) AS start, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS \"end\" FROM orders",
     "month_weeks": """SELECT month, s AS start, least(s + INTERVAL 7 DAY, e) AS "end" FROM (SELECT month, e, unnest(range(m, e, INTERVAL 7 DAY)) AS s FROM
         (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS TIMESTAMP) AS e FROM orders))""",
     "partition_compare": "SELECT " + ", ".join(f"a.{c} AS {c}_1, b.{c} AS {c}_2, b.{c} - a.{c} AS {c}_diff" for c in _COLS) + ", " + " AND ".join(f"a.{c} = b.{c}" for c in _COLS) + " AS identical FROM "
         + ", ".join(f"(SELECT count(*) AS n_rows, CAST(sum(trips_total) AS BIGINT) AS trips_total, {_SUMS} FROM mart WHERE {w}) {n}" for n, w in (("a", "TRUE"), ("b", "zone_id <> 7"))),
-    "dim_consistency": "SELECT CAST(3 AS INTEGER) AS zone_id, 'missing' AS problem FROM zones WHERE zone_id = 3 UNION ALL SELECT 5, 'name' FROM zones WHERE zone_id = 5 UNION ALL SELECT 99, 'extra' FROM zones WHERE zone_id = 1",
+    "dim_consistency": """SELECT coalesce(a.zone_id, b.zone_id) AS zone_id, CASE WHEN b.zone_id IS NULL THEN 'missing' WHEN a.zone_id IS NULL THEN 'extra' ELSE 'name' END AS problem
+        FROM zones a FULL JOIN (SELECT zone_id, if(zone_id = 5, 'ELSEWHERE', zone) AS zone FROM zones WHERE zone_id <> 3 UNION ALL SELECT 99, zone FROM zones WHERE zone_id = 1) b ON a.zone_id = b.zone_id
+        WHERE a.zone_id IS NULL OR b.zone_id IS NULL OR a.zone IS DISTINCT FROM b.zone""",
     "build_features": f"SELECT * REPLACE (round(roll_mean_24, 6) AS roll_mean_24) FROM feat",
     "join_many_to_one": "SELECT * FROM fact LEFT JOIN zones USING (zone_id)",
-    "feature_audit": "SELECT CAST(0 AS BIGINT) AS unmatched, " + ", ".join(f"round(max(abs(CAST({c} - {c} AS DOUBLE))), 6) AS max_diff_{c}" for c in ("lag_1", "lag_24", "lag_168", "roll_mean_24")) + " FROM feat",
+    "feature_audit": _audit("trips_total"),
+    "feature_audit_changed": _audit("trips_total + CASE WHEN zone_id = 3 AND hour = TIMESTAMP '2024-01-10 05:00:00' THEN 5 ELSE 0 END"),
     "grid_violations": f"SELECT CAST(count(*) FILTER (WHERE step <> INTERVAL 1 HOUR) AS BIGINT) AS violations FROM (SELECT hour - lag(hour) OVER ({_W}) AS step FROM mart WHERE NOT (zone_id = 2 AND hour(hour) = 5))",
     "chrono_split": "SELECT hour, zone_id, split FROM split",
     "split_counts": "SELECT split, count(*) AS n_rows FROM split GROUP BY split",

@@ -202,6 +202,15 @@ def feature_audit(s, d):
     return features.audit(b.feature_rows(s, d), sql, ["lag_1", "lag_24", "lag_168", "roll_mean_24"])
 
 
+@query
+def feature_audit_changed(s, d):
+    """Features against those of demand with one hour of one zone changed."""
+    rows = b.demand(s, d).select("hour", "zone_id", "borough", "trips_total")
+    here = (F.col("zone_id") == 3) & (F.col("hour") == ntz("2024-01-10 05:00:00"))
+    changed = features.build_features(rows.withColumn("trips_total", F.when(here, F.col("trips_total") + 5).otherwise(F.col("trips_total"))))
+    return features.audit(b.feature_rows(s, d), changed, ["lag_1", "lag_24", "lag_168", "roll_mean_24"])
+
+
 @query
 def grid_violations(s, d):
     return features.grid_violations(b.demand(s, d).where("NOT (zone_id = 2 AND hour(hour) = 5)"))

@@ -48,6 +48,17 @@ def write_months(mart: DataFrame, path: str, month=None) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(path)
 
 
+def replace_months(rows: DataFrame, path: str, months: list[str]) -> None:
+    """Deletes months of a table such as the fact and inserts them again from rows(hour, ...). A month without rows is gone; others stay."""
+    spark, label = rows.sparkSession, F.date_format("hour", "yyyy-MM")
+    new = rows.where(label.isin(months))
+    write_months(new, path)
+    full = {r["m"] for r in new.select(label.alias("m")).distinct().collect()}
+    for month in set(months) - full:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+        gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
+
+
 def read_months(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """The mart without its partition column. Raises FileNotFoundError if there is no month."""
     try:
@@ -61,8 +72,10 @@ def read_months(spark: SparkSession, path: str, columns: list[str] | None = None
 
 
 def with_boroughs(rows: DataFrame, zones: DataFrame) -> DataFrame:
-    """Joins borough back by zone_id, many to one (zones is a dimension of a few hundred rows)."""
-    return rows.drop("borough").join(F.broadcast(zones.select("zone_id", "borough")), "zone_id", "left")
+    """Joins borough back by zone_id, many to one (zones is a dimension of a few hundred rows). A zone that stands twice makes the job fail."""
+    twice = F.raise_error(F.concat(F.lit("zone stands twice: "), F.col("zone_id").cast("string"))).cast("string")
+    one = zones.groupBy("zone_id").agg(F.count("*").alias("n"), F.first("borough").alias("borough")).select("zone_id", F.when(F.col("n") > 1, twice).otherwise(F.col("borough")).alias("borough"))
+    return rows.drop("borough").join(F.broadcast(one), "zone_id", "left")
 
 
 def months_to_build(wanted: DataFrame, built: DataFrame, force: bool = False) -> DataFrame:
@@ -132,6 +145,11 @@ def write_table_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def read_table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report written by write_table_csv()."""
+    return spark.read.csv(path, header=True, schema=schema)
+
+
 def metrics_json(**tables: DataFrame) -> str:
     """Report tables of tens of rows as one JSON document."""
     return json.dumps({k: [r.asDict(recursive=True) for r in df.collect()] for k, df in tables.items()}, default=str, sort_keys=True)

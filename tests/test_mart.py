@@ -18,7 +18,7 @@ ROWS = {
     "fhv": ("double", [(D(2026, 6, 1, 0, 0), None), (D(2026, 6, 1, 0, 1), None), (D(2026, 6, 1, 0, 2), 2.0)]),
     "fhvhv": ("int", [(D(2026, 6, 1), 2), (D(2026, 6, 1, 2, 59), 2)]),
 }
-ZONES = "LocationID,Borough,Zone,service_zone\n1,EWR,Newark Airport,EWR\n2,Queens,Jamaica Bay,Boro\n3,Bronx,Allerton/Pelham Gardens,Boro\n264,Unknown,N/A,N/A\n265,N/A,Outside of NYC,N/A\n"
+ZONES = "LocationID,Borough,Zone,service_zone\n1,North,Old Harbour,outer\n2,East,\"Mill, Lower\",inner\n3,East,Hill/Quarry,inner\n264,Unknown,N/A,N/A\n265,N/A,Elsewhere,N/A\n"
 NAMES = list(CONFIG)
 RANGES = m.ZoneRanges()
 
@@ -103,7 +103,7 @@ def test_zone_files(built):
     assert zones.where("zone_id = 264").first()["zone"] == "N/A" and zones.count() == 5
     io.write_zones(zones, f"{built['top']}/out")
     assert io.read_zones(built["spark"], f"{built['top']}/out").collect() == zones.orderBy("zone_id").collect()
-    assert reports.zone_labels(zones).where("zone_id = 2").first()["label"] == "Jamaica Bay, Queens [2]"
+    assert reports.zone_labels(zones).where("zone_id = 2").first()["label"] == "Mill, Lower, East [2]"
 
 
 def test_zone_numbers_round_half_to_even(spark):
@@ -150,3 +150,16 @@ def test_month_helpers(spark):
         time.parse_months("2026-03:2026-01")
     weeks = time.month_weeks(spark.createDataFrame([("2026-05",)], "month string")).orderBy("start").collect()
     assert len(weeks) == 5 and (weeks[-1].start, weeks[-1].end) == (D(2026, 5, 29), D(2026, 6, 1))
+
+
+def test_fact_months_are_deleted_and_inserted(built):
+    spark, path, facts = built["spark"], f"{built['top']}/fact", built["facts"]
+    later = facts.withColumn("hour", F.expr("hour + interval 31 days"))
+    io.write_months(facts.unionByName(later), path)
+    for _ in range(2):
+        io.replace_months(facts.where("zone_id = 1"), path, ["2026-06"])
+        back = io.read_months(spark, path)
+        assert back.where("hour < timestamp_ntz'2026-07-02'").exceptAll(facts.where("zone_id = 1")).isEmpty()
+        assert back.count() == facts.where("zone_id = 1").count() + later.count()
+    io.replace_months(facts.where("false"), path, ["2026-06"])
+    assert io.read_months(spark, path).count() == later.count()

@@ -60,6 +60,9 @@ def test_broken_grid_is_refused(spark):
     with pytest.raises(ValueError):
         features.check_grid(demand(spark, rows))
     features.check_grid(demand(spark, grid()))
+    for broken in (rows, [*grid(), grid()[7]]):
+        with pytest.raises(Exception, match="complete hourly grid"):
+            features.build_features(demand(spark, broken)).select("zone_id").collect()
     with pytest.raises(ValueError):
         features.join_many_to_one(demand(spark, rows), demand(spark, rows).select("zone_id"), ["zone_id"])
 
@@ -211,7 +214,30 @@ def test_scored_sink(spark, tmp_path):
     assert json.loads(io.metrics_json(p=periods))["p"][0]["mae_forecast"] == 2.5
     boroughs = evaluate.borough_metrics(back.withColumn("period", F.lit("p")))
     io.write_table_csv(boroughs, str(tmp_path / "b"))
-    assert spark.read.csv(str(tmp_path / "b"), header=True).count() == 2
+    again = io.read_table_csv(spark, str(tmp_path / "b"), boroughs.schema)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, boroughs.collect())) and again.dtypes == boroughs.dtypes
+    with pytest.raises(Exception, match="stands twice"):
+        io.with_boroughs(back, zones.unionByName(zones.limit(1))).collect()
+
+
+def test_audit_sees_what_was_changed(spark):
+    one = features.build_features(demand(spark, grid()))
+    columns = ["lag_1", "roll_mean_24"]
+    assert tuple(features.audit(one, one, columns).first()) == (0, 0, 0)
+    at = F.col("hour") == F.lit(D(2026, 1, 5)).cast("timestamp_ntz")
+    two = one.withColumn("lag_1", F.when(at & (F.col("zone_id") == 1), F.col("lag_1") + 4).otherwise(F.col("lag_1"))).where(~at | (F.col("zone_id") == 1))
+    assert tuple(features.audit(one, two, columns).first()) == (1, 4, 0)
+
+
+def test_early_stopping_fits_no_more_than_it_needs(spark, monkeypatch):
+    sizes, best = [], 25
+    monkeypatch.setattr(model, "fit", lambda train, features, params, rounds, seed: sizes.append(rounds) or rounds)
+    monkeypatch.setattr(model, "best_rounds", lambda fitted, validation, patience: (min(best, fitted), 0.5))
+    assert model.fit_stopping(None, None, (), {}, 600)[1:] == (25, 0.5) and sizes == [60]
+    best = 100
+    assert model.fit_stopping(None, None, (), {}, 600)[1:] == (100, 0.5) and sizes[1:] == [60, 120, 240]
+    best = 999
+    assert model.fit_stopping(None, None, (), {}, 600)[1] == 600 and sizes[-1] == 600
 
 
 def test_model_protocol(spark):
