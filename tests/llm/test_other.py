@@ -1,4 +1,7 @@
 import hashlib
+import math
+import os
+import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -340,6 +343,30 @@ def test_common_subsequence_of_long_pages(monkeypatch):
     tracemalloc.stop()
 
 
+def test_extract_equals_brute_force(spark):
+    """Pages of each host in the order of their paths, each against its two neighbours, with plain tables for the alignment."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    hosts = defaultdict(list)
+    for r in pages.collect():
+        host, _, path = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", r.url).partition("/")
+        hosts[host.lower()].append(("/" + re.sub(r"[?#].*", "", path).rstrip("/") if path.rstrip("/") else "", r.page_id, r))
+
+    def shared(a, b):
+        return len(os.path.commonprefix([a, b]))
+
+    want = {}
+    for rows_ in hosts.values():
+        rows_.sort(key=lambda x: (x[0].encode(), x[1]))
+        for k, (path, i, r) in enumerate(rows_):
+            sides = [rows_[j] for j in (k - 1, k + 1) if 0 <= j < len(rows_)]
+            if len(sides) == 2 and shared(sides[1][0], path) > shared(sides[0][0], path):
+                sides.reverse()
+            want[i] = html_text.main_text(r.html, *(html_text.line_hashes(html_text.blocks(s[2].html)) for s in sides)) if sides else html_text.main_text(r.html, None)
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == want
+    assert html_text.extract(pages.where("false")).collect() == []
+
+
 def test_partners_do_not_depend_on_partitions(spark):
     data = [(i, f"http://h{i % 3}.example/{i % 7}/{i}", f"<body><p>page {i}</p><p>host {i % 3}</p>") for i in range(60)]
     df = spark.createDataFrame(data, "page_id long, url string, html string")
@@ -368,17 +395,59 @@ def labelled(spark, mark):
     return d, spark.createDataFrame([(t[0], 1 - t[5], t[5]) for t in texts], "doc_id long, quality int, toxic int"), {t[0]: t[5] for t in texts}
 
 
-def test_automaton_equals_edit_distance():
-    def near(a, b):
-        d = np.zeros((len(a) + 1, len(b) + 1), int)
-        d[:, 0], d[0] = range(len(a) + 1), range(len(b) + 1)
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
-                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
-        return d[-1, -1]
+def near(a, b):
+    """Edits between two words, and the fewest between a beginning of a and b."""
+    d = np.zeros((len(a) + 1, len(b) + 1), int)
+    d[:, 0], d[0] = range(len(a) + 1), range(len(b) + 1)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[-1, -1], d[:, -1].min()
+
+
+def brute_evidence(text, words, stems, clean):
+    tokens = [(m.start(), m.group()) for m in re.finditer(r"[^\W_]+(?:[@$*!][^\W_]+)*", text.lower())]
+    spans, marks = [], {'"': '"', "“": "”", "«": "»", "„": "“"}
+    for line in re.finditer(r"[^\n]+", text):
+        i = line.start()
+        while i < line.end():
+            j = text.find(marks[text[i]], i + 1, line.end()) if text[i] in marks else -1
+            spans += [(i, j)] if j >= 0 else []
+            i = j + 1 if j >= 0 else i + 1
+    found = []
+    for k, (at, w) in enumerate(tokens):
+        if w in words or any(w.startswith(s) for s in stems):
+            weight = 1.0
+        elif len(w) >= 4 and w not in clean and (any(len(t) >= 5 and abs(len(t) - len(w)) < 2 and near(w, t)[0] <= 1 for t in words) or any(len(w) >= len(t) >= 5 and near(w, t)[1] <= 1 for t in stems)):
+            weight = 0.7
+        else:
+            continue
+        around = [x for _, x in tokens[max(0, k - 8) : k + 9]]
+        if any(a <= at <= b for a, b in spans) or any(x in toxicity.REPORTING for _, x in tokens[max(0, k - 3) : k]):
+            weight *= 0.25
+        elif any(x in toxicity.AIMED for x in around):
+            weight *= 1.25
+        found.append((k, weight))
+    return max((sum(w for j, w in found if k - 16 <= j <= k) for k, _ in found), default=0.0), sum(w for _, w in found)
+
+
+def test_toxicity_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    docs_, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    parts, w = toxicity.train(docs_, labels)
+    words, stems, clean = map(set, parts)
+    stems = sorted(stems)[:12]
+    model = (tuple(sorted(words)[:25]), tuple(stems), tuple(clean)), w
+    got = {r.doc_id: (r.heaviest, r.total) for r in toxicity.score(docs_, model).collect()}
+    texts = {r.doc_id: r.text for r in docs_.collect()}
+    some = sorted(texts, key=lambda i: (-got[i][1], len(texts[i])))
+    for i in some[:25] + [x for x in some if len(texts[x]) < 700][-25:]:
+        assert got[i] == pytest.approx(brute_evidence(texts[i], set(model[0][0]), stems, clean)), i
+
 
+def test_automaton_equals_edit_distance():
     r = np.random.default_rng(5)
     terms = ["idiot", "moron", "stupid", "pathetic", "scum"]
     lexicon = toxicity.Lexicon(terms, ["lowei"])
@@ -396,7 +465,7 @@ def test_automaton_equals_edit_distance():
             elif i + 1 < len(w):
                 w[i], w[i + 1] = w[i + 1], w[i]
         w = "".join(w)
-        want = w in terms or any(len(t) >= 5 and near(w, t) <= 1 for t in terms)
+        want = w in terms or any(len(t) >= 5 and near(w, t)[0] <= 1 for t in terms)
         assert bool(lexicon.look(w)) == want, w
     assert lexicon.look("loweischaft") == ("lowei", 0) and lexicon.look("lowe") is None
 
@@ -469,6 +538,36 @@ def test_quality_learns(spark):
     assert sum((got[i].score >= 0.5) == (1 - truth[i]) for i in held) >= 0.97 * len(held)
 
 
+def test_quality_equals_a_plain_model():
+    """FTRL place by place with Python numbers, and scores as sums over words and their neighbours."""
+    texts = [prose(i, 5 + i % 9, 30) + (" Ab9 !! ab AB" if i % 3 else "") for i in range(40)] + ["", "x"]
+    ys = [i % 3 > 0 for i in range(len(texts))]
+    column = pa.array(texts)
+    found = [f for _, _, words in quality.slices(column) for f in quality.features(words)]
+    rows_ = pa.table({"text": column, "y": pa.array([int(y) for y in ys]), "order": pa.array(range(len(texts)))})
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in range(len(texts)) if epoch % 2 == 0 else reversed(range(len(texts))):
+            pairs = list(zip(found[k][0].tolist(), found[k][1].tolist(), strict=True))
+            old = {i: (weight(i), n[i]) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(old[i][0] * x for i, x in pairs)))
+            for i, x in pairs:
+                g = (p - ys[k]) * x
+                z[i] += g - (math.sqrt(old[i][1] + g * g) - math.sqrt(old[i][1])) / quality.ALPHA * old[i][0]
+                n[i] += g * g
+    out = quality._train(None, rows_)
+    got = dict(zip(out["place"].to_pylist(), out["weight"].to_pylist(), strict=True))
+    assert {i for i in z if weight(i)} == set(got) and all(got[i] == pytest.approx(weight(i) * len(texts)) for i in got)
+    (at, x), words = found[3], texts[3].split()
+    norm = lambda c: sorted(math.sqrt(v) / math.sqrt(sum(c.values())) for v in c.values())
+    singles, doubles = norm(Counter(words)), norm(Counter(zip(words, words[1:])))
+    assert sorted(x[1 : 1 + len(singles)]) == pytest.approx(singles) and sorted(x[1 + len(singles) : 1 + len(singles) + len(doubles)]) == pytest.approx(doubles)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)] + [(3, None, None), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
     w = quality.train(docs(spark), labels)

@@ -1,16 +1,19 @@
+from collections import Counter
+
 import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
 from tallyspark.llm import bpe, queries
 from tallyspark.llm.shared import table
+from tests.llm.data import docs
 from tests.llm.test_dedup import brute_classes, brute_cut
 
 DIR = "/root/testdata/sf0.001"
 
 
 def test_stages_one_by_one(spark):
-    docs = table(spark, DIR, "documents")
+    docs = table(spark, DIR, "documents")  # noqa: F811
     rows = docs.collect()
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "near_duplicates", "substring_dedup", "mixing", "byte_bpe"]
@@ -36,6 +39,25 @@ def test_stages_one_by_one(spark):
     assert texts == {(r.doc_id, r.text) for r in taken}
 
 
+CLASHES = ("toxic_total", "_n", "_copies", "rows", "row", "copies", "copy", "id", "key", "t", "m", "groups", "kept", "n_words", "n_removed", "found", "score", "component_id", "_e")
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls, empty and long texts, repeated rows and ids, and columns of clashing names; then no rows at all."""
+    name, step = corpus_pipeline.STAGES[stage]
+    odd = docs(spark, clash=False)
+    clashing = odd.selectExpr("*", *(f"'{c}' AS `{c}`" for c in CLASHES))
+    plain, out = step(spark, odd, DIR), step(spark, clashing, DIR)
+    if name == "byte_bpe":
+        assert out.count() == odd.count()
+    else:
+        assert out.columns == clashing.columns and all(r[c] == c for r in out.collect() for c in CLASHES)
+        assert Counter(map(tuple, out.select(*odd.columns).collect())) == Counter(map(tuple, plain.collect()))
+    none = step(spark, odd.where("false"), DIR)
+    assert none.collect() == [] and none.columns == plain.columns
+
+
 def test_run_is_repeatable(spark):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, DIR).select("doc_id", "ids_sha256").collect())) for _ in range(2))
     assert one == two and one
