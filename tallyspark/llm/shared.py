@@ -4,11 +4,15 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. On one machine (local master) a temporary one will do where that is unset."""
@@ -27,9 +31,27 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    made = _made.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Collects the tables that written() makes within, for a caller that writes its result and then needs them no more.
+
+    At the end all of them are deleted that are still in the list; the caller takes out those that stay.
+    """
+    tables: list[DataFrame] = []
+    token = _made.set(tables)
+    try:
+        yield tables
+    finally:
+        _made.reset(token)
+        discard(*tables)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables made by written(). For those that nothing reads any more: neither a later step nor the result."""
     for t in tables:
