@@ -17,43 +17,52 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document keeps when passages of 50 words that an earlier one has are cut."""
     return substring_dedup.digests(substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under links of similar sets of five-word shingles."""
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op5_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for each whose id is divisible by 100."""
     points = kd_search.quantised(table(spark, sf_dir, "embeddings"))
     return kd_search.top_k(points.where("vec_id % 100 = 0"), points)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and of the bytes they decode to."""
     where = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), *where), *where).drop("ids")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
     out = mixing.mixed_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from the labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"))
 
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document stored as a GIF file, decoded again, with its frames' colour histograms."""
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
