@@ -10,6 +10,10 @@ from contextvars import ContextVar
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot that more than one in HOT_PART of all rows have, so there are HOT_PART of them at most; its rows go to SALTS tasks.
+HOT_PART, SALTS = 1000, 64
 
 _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
@@ -68,6 +72,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_hot(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows with few, which has each key once and in column c how many of the rows have it; without c.
+
+    Rows of hot keys are dealt out by their other columns, and few's row of such a key is repeated for each part. The hot keys are
+    broadcast, at most HOT_PART of them. few is counted when the plan is made, so it should be a written table.
+    """
+    total = few.agg(F.sum("c")).first()[0] or 0
+    is_hot = F.col("c") > max(total // HOT_PART, SALTS)
+    hot = F.broadcast(few.where(is_hot).select(*keys, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS))).otherwise(0)
+    left = rows.join(hot, keys, "left").withColumn("salt", salt.cast("int"))
+    right = few.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, "salt"]).drop("hot", "salt", "c")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import packed, unpack, written
+from tallyspark.llm.shared import discard, join_hot, packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, buffers, mix, powers, run_starts, runs, slices
 
 WINDOW, PROBE = 50, 8
@@ -154,17 +154,19 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW) ->
     docs(doc_id, t, text) with t a hash of the text; texts: the same rows, packed().
     """
     every = docs.mapInArrow(_groups(window), "doc_id long, t int, m long, s long, at int, n int")
-    shared = every.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("m")
-    groups = written(every.join(shared, "m"))
-    spans = written(groups.groupBy("m", "s").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
-    whole = groups.join(spans.where("lo < hi").select("m", "s", "lo"), ["m", "s"]).where("lo < doc_id").select(*KEY, "at", "n")
+    several_docs = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")]
+    shared = written(every.groupBy("m").agg(*several_docs).where("lo < hi").select("m", "c"))
+    groups = written(join_hot(every, shared, ["m"]))
+    discard(shared)
+    spans = written(groups.groupBy("m", "s").agg(*several_docs))
+    whole = join_hot(groups, spans.where("lo < hi").select("m", "s", "lo", "c"), ["m", "s"]).where("lo < doc_id").select(*KEY, "at", "n")
     several = spans.groupBy("m").agg(F.count("*").alias("spans"), F.min("lo").alias("a"), F.max("hi").alias("z")).where("spans > 1 AND a < z").select("m")
     first = groups.join(spans.select("m", "s", F.col("lo").alias("doc_id")).join(several, "m", "left_semi"), ["m", "s", "doc_id"], "left_semi")
     lists = first.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
     again = texts.join(lists, list(KEY)).select(*KEY, "text", "groups")
     hashed = written(again.mapInArrow(_candidates(window), "doc_id long, t int, at int, h1 long, h2 long"))
-    least = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    single = hashed.join(least, ["h1", "h2"]).where("lo < doc_id").select(*KEY, "at", F.lit(1).alias("n"))
+    least = written(hashed.groupBy("h1", "h2").agg(*several_docs).where("lo < hi").select("h1", "h2", "lo", "c"))
+    single = join_hot(hashed, least, ["h1", "h2"]).where("lo < doc_id").select(*KEY, "at", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
 
 

@@ -6,6 +6,7 @@ import pytest
 
 from tallyspark.llm import jaccard_join, substring_dedup
 from tallyspark.llm.graph import components
+from tallyspark.llm.shared import join_hot
 from tests.llm.data import DOCS, docs, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,3 +137,20 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_join_hot_equals_a_join(spark):
+    data = [(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)] + [(None, 7), (99, 3)]
+    rows = spark.createDataFrame(data, "k long, at long")
+    few = spark.createDataFrame([(k, 10 * k, sum(1 for x, _ in data if x == k)) for k in range(1, 41)], "k long, lo long, c long")
+    got = join_hot(rows, few, ["k"])
+    assert got.columns == ["k", "at", "lo"]
+    assert Counter(map(tuple, got.collect())) == Counter((k, a, 10 * k) for k, a in data if k is not None and k <= 40)
+    assert join_hot(rows, few.where("k < 0"), ["k"]).collect() == []
+
+
+def test_substring_dedup_of_many_copies(spark):
+    passage = prose(60, 70, 5000)
+    data = [(i, f"{prose(700 + i, 6, 5000)} {passage} {prose(900 + i % 9, 8, 5000)}", None, None, None) for i in range(150)]
+    found = substring_dedup.digests(substring_dedup.remove_repeats(spark.createDataFrame(data, DOCS))).collect()
+    assert Counter(tuple(r) for r in found) == brute_cut(data)
