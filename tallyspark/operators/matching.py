@@ -1,10 +1,6 @@
 """Matching of two event tables by keys and by closeness in time."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -52,27 +48,42 @@ def match_rate(left: DataFrame, found: DataFrame, group: str) -> DataFrame:
     return out.withColumn("rate", F.col("matched") / F.col("trips")).orderBy(F.desc("rate"), "group")
 
 
-def _draws(seed: int, n: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                rng = np.random.default_rng([seed, *r["group"].encode()])
-                rates = rng.binomial(r["trips"], r["matched"] / r["trips"], n) / r["trips"]
-                yield pa.RecordBatch.from_arrays([pa.array([r["group"]] * n), pa.array(range(n), pa.int32()), pa.array(rates)], ["group", "b", "rate"])
+def _outcomes(rates: DataFrame) -> DataFrame:
+    """(group, v, k): numbers k of matches that resampling a group's rows can give, v the chance of k or fewer.
 
-    return go
+    Numbers more than 12 standard deviations and 40 away from the seen one are left out: all of them together come with a chance
+    of less than 1e-30. So a group has about as many rows as the root of its trips.
+    """
+    of, seen, k = F.col("trips"), F.col("matched"), F.col("k")
+    far = F.when((seen > 0) & (seen < of), F.ceil(12 * F.sqrt(seen * (1 - seen / of)) + 40)).otherwise(0)
+    numbers = rates.withColumn("lo", F.greatest(F.lit(0), seen - far)).withColumn("k", F.explode(F.sequence("lo", F.least(of, seen + far))))
+    whole = Window.partitionBy("group")
+    up_to = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the chance of k against that of k - 1
+    step = F.when(k > F.col("lo"), F.log((of - k + 1) / k * seen / F.nullif(of - seen, F.lit(0)))).otherwise(0.0)
+    logs = numbers.withColumn("log", F.sum(step).over(up_to))
+    weights = logs.withColumn("w", F.exp(F.col("log") - F.max("log").over(whole)))
+    return weights.select("group", (F.sum("w").over(up_to) / F.sum("w").over(whole)).alias("v"), "k")
 
 
 def match_rate_ci(rates: DataFrame, pair: tuple[str, str], seed: int = 42, n: int = 1000) -> DataFrame:
     """(group, rate, low, high): 95 % bootstrap intervals of match rates, and of the difference of two groups.
 
-    Resampling the rows of a group and counting matches is a binomial draw, so no rows are resampled.
+    Resampling the rows of a group and counting matches is a binomial draw, so no rows are resampled: resample b takes the
+    first number of matches whose chance, with all lower numbers, is above a digest of seed, group and b between 0 and 1. Draws are the
+    same on every engine and partitioning.
     """
-    draws = rates.select("group", "trips", "matched").mapInArrow(_draws(seed, n), "group string, b int, rate double")
+    text = F.concat_ws(":", F.lit(str(seed)), "group", F.col("b").cast("string"))
+    level = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") + 0.5) / 2.0**48
+    tries = rates.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("group", level.alias("v"), "trips", "b")
+    # from the top, the number drawn is the last one before its level
+    above = Window.partitionBy("group").orderBy(F.desc("v"), F.col("b").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = tries.unionByName(_outcomes(rates), allowMissingColumns=True).withColumn("k", F.min("k").over(above))
+    draws = lined.where("b IS NOT NULL").select("group", "b", (F.col("k") / F.col("trips")).alias("rate"))
     ends = F.percentile("rate", F.array(F.lit(0.025), F.lit(0.975)))
     single = draws.groupBy("group").agg(ends.alias("e")).join(rates.select("group", "rate"), "group")
-    a, b = (draws.where(F.col("group") == g) for g in pair)
-    gap = a.alias("a").join(b.alias("b"), "b").select((F.col("a.rate") - F.col("b.rate")).alias("rate"))
-    point = rates.agg((F.max(F.when(F.col("group") == pair[0], F.col("rate"))) - F.max(F.when(F.col("group") == pair[1], F.col("rate")))).alias("rate"))
+    first, second = (F.max(F.when(F.col("group") == g, F.col("rate"))) for g in pair)
+    point = rates.agg((first - second).alias("rate"))
+    gap = draws.groupBy("b").agg((first - second).alias("rate"))
     gap = gap.agg(ends.alias("e")).crossJoin(point).select(F.lit(f"{pair[0]} - {pair[1]}").alias("group"), "e", "rate")
     return single.select("group", "e", "rate").unionByName(gap).select("group", "rate", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))

@@ -178,6 +178,8 @@ SQL = {
         AND abs(epoch_us(l.pickup) - epoch_us(r.pickup)) <= 3600000000 AND abs(epoch_us(l.dropoff) - epoch_us(r.dropoff)) <= 3600000000
         WHERE l.pickup >= TIMESTAMP '2024-01-08' AND l.pickup < TIMESTAMP '2024-01-15' AND r.pickup >= TIMESTAMP '2024-01-07 23:00:00' AND r.pickup < TIMESTAMP '2024-01-15 01:00:00'""",
     "match_rate": "SELECT coalesce(grp, 'null') AS \"group\", count(*) AS trips, count(hit.id) AS matched, round(count(hit.id) / count(*), 6) AS rate FROM side LEFT JOIN hit USING (id) WHERE event_type = 'click' GROUP BY 1",
+    "match_rate_ci": """SELECT g AS "group", round(m / n, 6) AS rate, round(l, 6) AS low, round(h, 6) AS high FROM rt JOIN (SELECT g, quantile_cont(r, 0.025) AS l, quantile_cont(r, 0.975) AS h FROM drawn GROUP BY g) USING (g)
+        UNION ALL SELECT '1 - 2', round((SELECT m / n FROM rt WHERE g = '1') - (SELECT m / n FROM rt WHERE g = '2'), 6), round(quantile_cont(r, 0.025), 6), round(quantile_cont(r, 0.975), 6) FROM gap""",
     "score_clip": "SELECT hour, zone_id, round(greatest(CAST(2 * lag_1 - lag_2 AS DOUBLE), 0.0), 6) AS forecast FROM feat WHERE lag_2 IS NOT NULL",
     "scored": f"SELECT {_SC} FROM sc",
     "hour_snapshot": f"SELECT zone_id, {_r('actual', 'baseline', 'forecast')}, round(forecast - actual, 6) AS error FROM sc WHERE hour = TIMESTAMP '2024-01-16 09:00:00'",
@@ -195,6 +197,12 @@ SQL = {
     "accuracy_report": f"""SELECT period, {_r('mae_baseline', 'mae_forecast')}, round(100 * wape_baseline, 6) AS wape_baseline_pct, round(100 * wape_forecast, 6) AS wape_forecast_pct,
         printf('%.2f [%.2f, %.2f]', round_even(mae_diff, 2) + 0.0, round_even(ci95_low, 2) + 0.0, round_even(ci95_high, 2) + 0.0) AS difference FROM per JOIN boot USING (period)""",
 }
-_EXTRA = {"bi_mom": ", m AS (SELECT strftime(hour, '%Y-%m') AS month, CAST(sum(trips_total) AS BIGINT) AS trips FROM om WHERE hour NOT BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-31' GROUP BY 1)"}
+_CHANCE = "CASE WHEN m IN (0, n) THEN CASE WHEN k = m THEN 1.0 ELSE 0.0 END ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(m / n) + (n - k) * ln(1 - m / n)) END"
+_EXTRA = {"match_rate_ci": f""",
+rt AS (SELECT coalesce(grp, 'null') AS g, count(*) AS n, count(hit.id) AS m FROM side LEFT JOIN hit USING (id) WHERE event_type = 'click' GROUP BY 1),
+dist AS (SELECT g, k, n, sum({_CHANCE}) OVER (PARTITION BY g ORDER BY k) AS c FROM (SELECT g, n, m, unnest(range(0, n + 1)) AS k FROM rt)),
+lev AS (SELECT g, b, (CAST('0x' || substr(md5('42:' || g || ':' || b), 1, 12) AS BIGINT) + 0.5) / 2.0 ** 48 AS u FROM rt, (SELECT unnest(range(0, 1000)) AS b)),
+drawn AS (SELECT g, b, min(k) / any_value(n) AS r FROM lev JOIN dist USING (g) WHERE c > u GROUP BY g, b),
+gap AS (SELECT x.r - y.r AS r FROM drawn x JOIN drawn y USING (b) WHERE x.g = '1' AND y.g = '2')""", "bi_mom": ", m AS (SELECT strftime(hour, '%Y-%m') AS month, CAST(sum(trips_total) AS BIGINT) AS trips FROM om WHERE hour NOT BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-03-31' GROUP BY 1)"}
 
 ORACLE_SQL = {k: f"{BASE}{_EXTRA.get(k, '')}\n{v}" for k, v in SQL.items()}

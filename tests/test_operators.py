@@ -1,6 +1,7 @@
 """Features, reports, matching, evaluation and the model on hand-made frames."""
 
 import json
+import math
 import random
 from datetime import datetime as D
 from datetime import timedelta as T
@@ -187,6 +188,20 @@ def test_interval_match(spark):
     assert ci["a - b"].rate == 0 and ci["a"].low <= 0.5 <= ci["a"].high
 
 
+def test_match_rate_draws_are_binomial(spark):
+    """Against the binomial distribution itself: its chances, and the ends of many draws; groups without a choice stay where they are."""
+    rates = spark.createDataFrame([("a", 10, 3), ("b", 40_000_000, 9_000_000), ("none", 7, 0), ("all", 7, 7), ("one", 1, 1)], "group string, trips long, matched long")
+    rates = rates.withColumn("rate", F.col("matched") / F.col("trips"))
+    chance = {r.k: r.v for r in matching._outcomes(rates).where("group = 'a'").collect()}
+    exact = [math.comb(10, k) * 0.3**k * 0.7 ** (10 - k) for k in range(11)]
+    assert sorted(chance) == list(range(11)) and all(abs(chance[k] - sum(exact[: k + 1])) < 1e-12 for k in range(11))
+    ci = {r.group: r for r in matching.match_rate_ci(rates, ("a", "b"), n=2000).collect()}
+    spread = 1.96 * math.sqrt(0.225 * 0.775 / 40_000_000)
+    assert abs(ci["b"].low - (0.225 - spread)) < spread / 5 and abs(ci["b"].high - (0.225 + spread)) < spread / 5
+    assert [(ci[g].low, ci[g].high) for g in ("none", "all", "one")] == [(0, 0), (1, 1), (1, 1)]
+    assert (ci["a"].low, ci["a"].high) == (0.0, 0.6) and matching.match_rate_ci(rates.limit(0), ("a", "b")).where("rate IS NOT NULL").count() == 0
+
+
 def payload(start, n):
     time = [(start + i * HOUR).strftime("%Y-%m-%dT%H:%M") for i in range(n)]
     return json.dumps({"hourly": {"time": time, "temperature_2m": [float(i) for i in range(n)], "precipitation": [0.1] * n}})
