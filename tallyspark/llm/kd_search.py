@@ -173,8 +173,8 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard: int = SHARD
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, vector): floor(scale * x) of each component as double; null and non-finite vectors and null ids are left out.
+def quantised(embeddings: DataFrame, scale: int = 1024, keep: tuple = ()) -> DataFrame:
+    """(vec_id, vector, *keep): floor(scale * x) of each component as double; null and non-finite vectors and null ids are left out.
 
     A component that 64 bits don't hold is an error.
     """
@@ -182,4 +182,4 @@ def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
     beyond = F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")
     fits = lambda x: F.abs(x.cast("double") * scale) < F.lit(2.0**63)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.when(fits(x), F.floor(x.cast("double") * scale)).otherwise(beyond)).alias("vector"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.when(fits(x), F.floor(x.cast("double") * scale)).otherwise(beyond)).alias("vector"), *keep)

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, html_text, jaccard_join, kd_search, media, mixing, quality, substring_dedup, token_counts, toxicity
+from tallyspark.llm import bpe, html_text, jaccard_join, kd_search, media, mixing, quality, repetition, rns_negatives, substring_dedup, token_counts, toxicity
 from tallyspark.llm.shared import table
 
 
@@ -66,6 +66,18 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition figures of each document, and whether the quality rules keep it."""
+    return repetition.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as the best of the own label, for anchors whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = kd_search.quantised(table(spark, sf_dir, "embeddings").where("label IS NOT NULL"), 256, (label,))
+    return rns_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +89,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality": op9_quality,
     "op10_gif_media": op10_gif_media,
+    "op11_repetition_rules": op11_repetition_rules,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,3 +136,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
 }
+
+_COVERED = "\n".join(f"""        win{n} AS (SELECT doc_id, i, array_to_string(ws[i:i + {n - 1}], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM w WHERE len(ws) >= {n})),
+        in{n} AS (SELECT DISTINCT doc_id, unnest(range(i, i + {n})) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win{n}) WHERE c > 1),
+        cov{n} AS (SELECT doc_id, count(*) AS words, sum(length(x)) AS chars FROM word JOIN in{n} USING (doc_id, k) GROUP BY doc_id),""" for n in repetition.LIMITS)
+_WITHIN = " AND ".join(f"100 * chars_{n} <= {limit} * word_chars" for n, limit in repetition.LIMITS.items())
+
+ORACLE_SQL["op11_repetition_rules"] = rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS k FROM w WHERE len(ws) > 0),
+{_COVERED}
+        line AS (SELECT doc_id, x, sum(length(c)) AS chars, count(*) - 1 AS later FROM (
+            SELECT doc_id, x, array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), '') AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w)) WHERE c <> '' GROUP BY doc_id, x),
+        lines AS (SELECT doc_id, sum(later) AS dup, coalesce(sum(chars) FILTER (WHERE later > 0), 0) AS chars FROM line GROUP BY doc_id),
+        total AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+            CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),
+        f AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov5.words, 0) AS BIGINT) AS n_repeat_words,
+            CAST(coalesce(lines.chars, 0) AS BIGINT) AS line_chars, {", ".join(f"CAST(coalesce(cov{n}.chars, 0) AS BIGINT) AS chars_{n}" for n in repetition.LIMITS)}
+            FROM total LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN cov{n} USING (doc_id)" for n in repetition.LIMITS)})
+        SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words AS base_failed,
+            NOT (n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words) AND 100 * line_chars <= {repetition.LINE_LIMIT} * word_chars AND {_WITHIN} AS kept FROM f
+    """
+ORACLE_SQL["op13_hard_negatives"] = """
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+              FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        p AS (SELECT anchor, other, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+        n AS (SELECT p.anchor, p.other AS positive, p.score AS ps, s.other AS negative, s.score AS ns, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY s.score DESC, s.other) AS k
+              FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+        SELECT anchor AS anchor_id, positive AS positive_id, CAST(k AS INTEGER) AS rank, negative AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE k <= 5
+    """
