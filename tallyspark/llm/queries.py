@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, html_text, jaccard_join, kd_search, media, mixing, quality, repetition, rns_negatives, substring_dedup, token_counts, toxicity
+from tallyspark.llm import bpe, collocations, html_text, jaccard_join, kd_search, media, mixing, quality, repetition, rns_negatives, substring_dedup, token_counts, toxicity
 from tallyspark.llm.shared import table
 
 
@@ -71,6 +71,11 @@ def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels that score nearly as high as the best of the own label, for anchors whose id is divisible by 100."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_gif_media": op10_gif_media,
     "op11_repetition_rules": op11_repetition_rules,
+    "op12_collocations": op12_collocations,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -157,6 +163,27 @@ ORACLE_SQL["op11_repetition_rules"] = rf"""
         SELECT *, n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words AS base_failed,
             NOT (n_words < {repetition.LEAST_WORDS} OR 100 * n_repeat_words > {repetition.BASE_LIMIT} * n_words) AND 100 * line_chars <= {repetition.LINE_LIMIT} * word_chars AND {_WITHIN} AS kept FROM f
     """
+ORACLE_SQL["op12_collocations"] = r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+        w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM p),
+        one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY lang, x),
+        two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY lang, x, y),
+        three AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2)) GROUP BY lang, x, y, z HAVING count(*) >= 10),
+        inside AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY lang, x, y),
+        parts AS (
+            SELECT c.lang, c.x || ' ' || c.y AS phrase, c.f AS a, l.f AS l1, r.f AS r1, NULL AS l2, NULL AS r2
+            FROM two c JOIN one l ON l.lang = c.lang AND l.x = c.x JOIN one r ON r.lang = c.lang AND r.x = c.y LEFT JOIN inside i ON i.lang = c.lang AND i.x = c.x AND i.y = c.y
+            WHERE c.f >= 10 AND NOT coalesce(100 * i.f >= 50 * c.f, FALSE)
+            UNION ALL
+            SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, c.f, l.f, yz.f, xy.f, r.f
+            FROM three c JOIN one l ON l.lang = c.lang AND l.x = c.x JOIN two yz ON yz.lang = c.lang AND yz.x = c.y AND yz.y = c.z
+            JOIN two xy ON xy.lang = c.lang AND xy.x = c.x AND xy.y = c.y JOIN one r ON r.lang = c.lang AND r.x = c.z),
+        cuts AS (SELECT *, CAST(1000000 AS HUGEINT) * a * a // (CAST(l1 AS HUGEINT) * r1) AS s1, CAST(1000000 AS HUGEINT) * a * a // (CAST(l2 AS HUGEINT) * r2) AS s2 FROM parts),
+        scored AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r, CAST(CASE WHEN s2 < s1 THEN s2 ELSE s1 END AS BIGINT) AS score FROM cuts),
+        total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM scored)
+        SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """
 ORACLE_SQL["op13_hard_negatives"] = """
         WITH r AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
