@@ -36,8 +36,8 @@ FEWEST_BITS, MOST_BITS, EXCEPTIONS = 22, 42, 1 << 13
 #: Bits of the bitmap of frequent ids (4 MB), in CHUNKS parts.
 BITMAP, CHUNKS = 1 << 25, 128
 #: N-grams counted at a time, entries a task holds before it sends its filters, occurrences a shard is meant for, shards and tasks at most.
-BATCH, HELD, SHARD, MOST_SHARDS, TASKS = 1 << 20, 1 << 21, 1 << 21, 1 << 18, 1 << 12
-SALTS, ROUNDS = 64, 4
+BATCH, HELD, SHARD, MOST_SHARDS, TASKS = 1 << 19, 1 << 20, 1 << 21, 1 << 18, 1 << 12
+SALTS, ROUNDS = 16, 4
 
 # A piece ends at these bytes, words within it also at blanks and tabs.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
