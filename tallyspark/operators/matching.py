@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+#: A cell is hot that holds more than one in HOT_PART of all left rows. Its left rows, and the right rows of every cell, are dealt out to SALTS parts.
+HOT_PART, SALTS = 1000, 32
 
 
 def _close(seconds: int) -> Column:
@@ -20,19 +21,97 @@ def matched_plain(left: DataFrame, right: DataFrame, keys: list[str], seconds: i
     return left.alias("l").join(right.alias("r"), same, "left_semi").select("id")
 
 
+def _micros(column: Column) -> Column:
+    """Microseconds since 1970 on the wall clock."""
+    day = F.date_diff(F.to_date(column), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = F.hour(column).cast("long") * 60 + F.minute(column)
+    return day * 86_400_000_000 + minutes * 60_000_000 + (F.extract(F.lit("SECOND"), column) * 1_000_000).cast("long")
+
+
+def _cell(x: str, side: int) -> Column:
+    """The number of the cell of a coordinate, rounded down; whole numbers only."""
+    return F.call_function("div", F.col(x) - F.pmod(F.col(x), F.lit(side)), F.lit(side))
+
+
+def _fronts(right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (x, y) of each group that no other row of it beats in one of the four directions; rows beaten in all four go.
+
+    A row beats another towards (low, low) if neither of its coordinates is larger, and so on. Columns ll, lh, hl and hh tell the directions in which a row counts.
+    """
+    all_before = (Window.unboundedPreceding, -1)
+    before, after = Window.partitionBy(*by).orderBy("x", "y").rowsBetween(*all_before), Window.partitionBy(*by).orderBy(F.desc("x"), F.desc("y")).rowsBetween(*all_before)
+    open_ = lambda best, beats: best.isNull() | beats
+    y = F.col("y")
+    told = right.withColumns({
+        "ll": open_(F.min("y").over(before), y < F.min("y").over(before)), "lh": open_(F.max("y").over(before), y > F.max("y").over(before)),
+        "hl": open_(F.min("y").over(after), y < F.min("y").over(after)), "hh": open_(F.max("y").over(after), y > F.max("y").over(after)),
+    })
+    return told.where("ll OR lh OR hl OR hh")
+
+
+def _cells(right: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """One row for each key and cell: its lowest and highest x and y, and the rows on its four fronts.
+
+    Rows of a cell are thinned out in SALTS parts first, then together, so that a cell with very many rows is sorted by many tasks; what is left
+    of a part are its fronts, mostly a handful of rows, and never more than it has different x.
+    """
+    by = [*keys, "cx", "cy"]
+    rows = right.select(*keys, "x", "y", _cell("x", side).alias("cx"), _cell("y", side).alias("cy")).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
+    rows = _fronts(_fronts(rows, [*by, "part"]).drop("ll", "lh", "hl", "hh"), by)
+    corner = lambda c: F.collect_list(F.when(F.col(c), F.struct("x", "y"))).alias(c)
+    return rows.groupBy(*by).agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))), *(corner(c) for c in ("ll", "lh", "hl", "hh")))
+
+
+def _around(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """What each cell can be matched with: rows (keys, cx, cy, sides), sides the summaries of the cells around it and of itself, with their places.
+
+    A summary holds, of its cell, what the nearest rows in the direction of the other one are.
+    """
+    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    none = F.array().cast("array<struct<x: long, y: long>>")
+    # seen from the cell at (cx - i, cy - j), this one lies i to the right and j above: what counts of it are its low or high ends
+    ends = {(1, 1): "ll", (1, -1): "lh", (-1, 1): "hl", (-1, -1): "hh"}
+    each = F.array(*(F.struct(
+        (F.col("cx") - i).alias("cx"), (F.col("cy") - j).alias("cy"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("low_x" if i > 0 else "high_x").alias("x"), F.col("low_y" if j > 0 else "high_y").alias("y"),
+        (F.col(ends[i, j]) if (i, j) in ends else none).alias("front")) for i, j in steps))
+    moved = cells.select(*keys, F.explode(each).alias("s"))
+    return moved.groupBy(*keys, F.col("s.cx").alias("cx"), F.col("s.cy").alias("cy")).agg(F.collect_list(F.struct("s.i", "s.j", "s.x", "s.y", "s.front")).alias("sides"))
+
+
+def _reached(limit: int) -> Column:
+    """Whether a row (x, y) has a match in one of its cell's sides."""
+
+    def near(at: Column, other: Column, way: Column) -> Column:
+        return F.when(way > 0, other - at <= limit).when(way < 0, at - other <= limit).otherwise(F.lit(True))
+
+    def side(s: Column) -> Column:
+        corner = F.exists(s["front"], lambda r: near(F.col("x"), r["x"], s["i"]) & near(F.col("y"), r["y"], s["j"]))
+        return F.when((s["i"] != 0) & (s["j"] != 0), corner).otherwise(near(F.col("x"), s["x"], s["i"]) & near(F.col("y"), s["y"], s["j"]))
+
+    return F.exists("sides", side)
+
+
 def matched(left: DataFrame, right: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """The same, by buckets of time, so that a hot key isn't compared with itself over all time.
+    """The same without pairing rows: by cells of pickup and drop-off, `seconds` wide both ways.
 
-    A right row goes to its bucket of `seconds` and to both next ones; the exact test stays.
+    Rows of one key and cell match outright. Of the cells at its sides, the end that is nearest tells whether a row has a match there; of those at its corners,
+    the rows on the front towards it. So a cell of the right is summarised once, whatever its number of rows, a summary goes to the nine cells
+    around it, and each left row meets one row. Left rows of very full cells are dealt out. A null key, pickup or drop-off matches nothing.
     """
-    since = F.expr(f"extract(day from pickup - {EPOCH}) * 86400 + hour(pickup) * 3600 + minute(pickup) * 60 + second(pickup)")
-    bucket = F.floor(since / F.lit(seconds)).cast("long")
-    a = left.withColumn("bucket", bucket).alias("l")
-    b = right.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("r")
-    same = (F.col("l.bucket") == F.col("r.bucket")) & _close(seconds)
-    for k in keys:
-        same = same & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    return a.join(b, same, "left_semi").select("id")
+    limit = round(seconds * 1_000_000)
+    side = max(1, limit)
+    known = lambda df: df.where(F.col("pickup").isNotNull() & F.col("dropoff").isNotNull()).dropna(subset=keys)
+    placed = lambda df, *more: known(df).select(*more, *keys, _micros(F.col("pickup")).alias("x"), _micros(F.col("dropoff")).alias("y"))
+    around = _around(_cells(placed(right), keys, side), keys)
+    rows = placed(left, "id").withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
+    by = [*keys, "cx", "cy"]
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    full = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.col("total") / HOT_PART, F.lit(SALTS))).select(*by, F.lit(True).alias("full")))  # fewer than HOT_PART rows
+    salt = F.when(F.col("full"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(full, by, "left").withColumn("salt", salt)
+    parts = F.explode(F.when(F.col("full"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    return dealt.join(around.join(full, by, "left").withColumn("salt", parts).drop("full"), [*by, "salt"]).where(_reached(limit)).select("id")
 
 
 def within(events: DataFrame, start: Column, end: Column, column: str = "pickup", seconds: int = 0) -> DataFrame:

@@ -4,11 +4,6 @@ Trips are events: pickup = ts, service = event_type, raw zone = user_id % 30 wit
 stand for unknown ones. The long daily series are orders by day, nation and priority.
 """
 
-import os
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +14,7 @@ from tallyspark.sources import io
 SERVICES = ["click", "view", "purchase", "signup", "error"]
 PRIORITIES = ["urgent", "high", "medium", "not", "low"]
 START, END = "2024-01-03", "2024-01-25"
+EARLIER = "2023-12-20"
 TEST, NEXT = "2024-01-15", "2024-01-20"
 RANGES = mart.ZoneRanges(25, 28)
 TOLERANCE = 3600
@@ -28,16 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, on a local master a temporary one where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def trips(spark: SparkSession, d: str) -> DataFrame:
     zone = F.when(F.col("user_id") % 30 == 27, F.lit(None)).otherwise(F.col("user_id") % 30).cast("double")
     part = F.concat(F.lit("W"), F.floor((F.dayofmonth("ts") - 1) / 7) + 1)
@@ -66,12 +52,13 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return mart.fact(raw(spark, d), services(spark, d), RANGES)
 
 
-def hours(spark: SparkSession) -> DataFrame:
-    return hours_between(spark.range(1).select(ntz(START).alias("start"), ntz(END).alias("end")))
+def hours(spark: SparkSession, start: str = START) -> DataFrame:
+    return hours_between(spark.range(1).select(ntz(start).alias("start"), ntz(END).alias("end")))
 
 
-def demand(spark: SparkSession, d: str) -> DataFrame:
-    return mart.demand_mart(facts(spark, d), services(spark, d), hours(spark), zones(spark, d), SERVICES, RANGES)
+def demand(spark: SparkSession, d: str, start: str = START) -> DataFrame:
+    """The mart from some day on; there are no trips before START."""
+    return mart.demand_mart(facts(spark, d), services(spark, d), hours(spark, start), zones(spark, d), SERVICES, RANGES)
 
 
 def orders_mart(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +89,7 @@ def match_side(spark: SparkSession, d: str, kind: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     stop = F.col("ts") + F.make_dt_interval(secs=F.col("value").cast("decimal(18,6)"))
     group = F.when(k % 5 != 0, (k % 5).cast("string"))
-    return table(spark, d, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("ts").alias("pickup"), stop.alias("dropoff"), "user_id", group.alias("grp"))
+    return table(spark, d, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("ts").alias("pickup"), stop.alias("dropoff"), "user_id", (F.col("user_id") % 30).alias("pu"), (k % 7).alias("do_zone"), group.alias("grp"))
 
 
 def observed(spark: SparkSession, d: str) -> DataFrame:

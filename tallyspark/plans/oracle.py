@@ -5,8 +5,8 @@ Each text is one SELECT over the common tables of BASE.
 
 from tallyspark.plans.bindings import PRIORITIES, SERVICES
 
-_ONE = ", ".join(f"CAST(coalesce(sum(f.trips) FILTER (WHERE s.service = '{s}'), 0) AS INTEGER) AS trips_{s}" for s in SERVICES)
-_MART = ", ".join(f"CAST(coalesce(a.trips_{s}, 0) AS INTEGER) AS trips_{s}" for s in SERVICES)
+_SEEN = ", ".join(f"CAST(count(*) FILTER (WHERE service = '{s}') AS INTEGER) AS trips_{s}" for s in SERVICES)
+_FILLED = ", ".join(f"ifnull(trips_{s}, 0) AS trips_{s}" for s in SERVICES)
 _ORDER = ", ".join(f"CAST(count(*) FILTER (WHERE p = '{s}') AS INTEGER) AS trips_{s}" for s in PRIORITIES)
 _SUMS = ", ".join(f"CAST(sum(trips_{s}) AS BIGINT) AS trips_{s}" for s in SERVICES)
 _DAILY = ", ".join(f"CAST(coalesce(sum(trips_{s}), 0) AS BIGINT) AS trips_{s}" for s in PRIORITIES)
@@ -37,9 +37,9 @@ raw AS (SELECT service, in_month, hour, zone_id, CAST(sum(trips) AS BIGINT) AS t
 entries AS (SELECT service, month, {_ACCOUNT} FROM (SELECT *, {_CLASS} FROM raw0) GROUP BY service, month),
 fact AS (SELECT hour, zone_id, service_id, CAST(sum(trips) AS INTEGER) AS trips FROM raw JOIN svc USING (service) WHERE in_month AND zone_id BETWEEN 1 AND 28 GROUP BY ALL),
 hours AS (SELECT unnest(range(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-25', INTERVAL 1 HOUR)) AS hour),
-agg AS (SELECT hour, zone_id, sum(f.trips) AS trips_total, {_ONE} FROM fact f JOIN svc s USING (service_id) GROUP BY hour, zone_id),
-mart AS (SELECT hour, zone_id, borough, CAST(coalesce(a.trips_total, 0) AS INTEGER) AS trips_total, {_MART}
-         FROM (SELECT hour, zone_id, borough FROM hours CROSS JOIN zones WHERE zone_id BETWEEN 1 AND 25) g LEFT JOIN agg a USING (hour, zone_id)),
+seen AS (SELECT date_trunc('hour', pickup) AS hour, TRY_CAST(zone AS INTEGER) AS zone_id, CAST(count(*) AS INTEGER) AS trips_total, {_SEEN} FROM trips
+         WHERE pickup BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-24 23:59:59.999999' GROUP BY ALL),
+mart AS (SELECT h.hour, z.zone_id, z.borough, ifnull(trips_total, 0) AS trips_total, {_FILLED} FROM hours h, zones z LEFT JOIN seen ON seen.hour = h.hour AND seen.zone_id = z.zone_id),
 om0 AS (SELECT o_orderdate AS hour, CAST(c_nationkey + 1 AS INTEGER) AS zone_id, lower(regexp_extract(o_orderpriority, '^\\d-(\\w+)', 1)) AS p FROM orders JOIN customer ON o_custkey = c_custkey),
 om AS (SELECT hour, zone_id, borough, CAST(count(*) AS INTEGER) AS trips_total, {_ORDER} FROM om0 LEFT JOIN zones USING (zone_id) GROUP BY hour, zone_id, borough),
 days AS (SELECT CAST(unnest(range(min(hour), max(hour) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date FROM om),
@@ -61,7 +61,7 @@ mdays AS (SELECT strftime(hour, '%Y-%m') AS month, count(DISTINCT CAST(hour AS D
 trend AS (SELECT month, borough, t / n AS trips_per_day FROM (SELECT strftime(hour, '%Y-%m') AS month, borough, sum(trips_total) AS t FROM om GROUP BY 1, 2) JOIN mdays USING (month)),
 totals AS (SELECT zone_id, CAST(sum(trips_total) AS BIGINT) AS trips_total, sum(trips_total) / (SELECT count(DISTINCT hour) FROM mart) AS avg_trips_per_hour FROM mart GROUP BY zone_id),
 obs AS (SELECT event_type AS station, date_trunc('hour', ts) AS time, round(sum(value), 2) AS temperature_2m, count(*) / 10 AS precipitation FROM events GROUP BY ALL),
-side AS (SELECT event_id AS id, event_type, ts AS pickup, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS dropoff, user_id,
+side AS (SELECT event_id AS id, event_type, ts AS pickup, ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) AS dropoff, user_id, user_id % 30 AS pu, CAST(json_extract(props, '$.k') AS INTEGER) % 7 AS do_zone,
          CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 5 <> 0 THEN CAST(CAST(json_extract(props, '$.k') AS INTEGER) % 5 AS VARCHAR) END AS grp FROM events),
 hit AS (SELECT DISTINCT l.id FROM side l JOIN side r ON l.event_type = 'click' AND r.event_type = 'view' AND l.user_id = r.user_id
         AND abs(epoch_us(l.pickup) - epoch_us(r.pickup)) <= 3600000000 AND abs(epoch_us(l.dropoff) - epoch_us(r.dropoff)) <= 3600000000),
@@ -136,6 +136,12 @@ SQL = {
         FROM zones a FULL JOIN (SELECT zone_id, if(zone_id = 5, 'ELSEWHERE', zone) AS zone FROM zones WHERE zone_id <> 3 UNION ALL SELECT 99, zone FROM zones WHERE zone_id = 1) b ON a.zone_id = b.zone_id
         WHERE a.zone_id IS NULL OR b.zone_id IS NULL OR a.zone IS DISTINCT FROM b.zone""",
     "build_features": f"SELECT * REPLACE (round(roll_mean_24, 6) AS roll_mean_24) FROM feat",
+    "build_features_month": f"""SELECT * REPLACE (round(roll_mean_24, 6) AS roll_mean_24) FROM (
+        SELECT *, {", ".join(f"lag(trips_total, {k}) OVER ({_W}) AS lag_{k}" for k in (1, 2, 3, 24, 168))}, avg(trips_total) OVER ({_W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS roll_mean_24,
+        CAST(hour(hour) AS TINYINT) AS hour_of_day, CAST(isodow(hour) - 1 AS TINYINT) AS day_of_week, CAST(CAST(hour AS DATE) IN (SELECT date FROM hol) AS TINYINT) AS is_holiday
+        FROM (SELECT h.hour, z.zone_id, z.borough, ifnull(trips_total, 0) AS trips_total FROM (SELECT unnest(range(TIMESTAMP '2023-12-20', TIMESTAMP '2024-01-25', INTERVAL 1 HOUR)) AS hour) h, zones z LEFT JOIN mart ON mart.hour = h.hour AND mart.zone_id = z.zone_id))
+        WHERE hour >= TIMESTAMP '2024-01-01'""",
+    "trip_files": "SELECT service, month, pickup, zone FROM trips",
     "join_many_to_one": "SELECT * FROM fact LEFT JOIN zones USING (zone_id)",
     "feature_audit": _audit("trips_total"),
     "feature_audit_changed": _audit("trips_total + CASE WHEN zone_id = 3 AND hour = TIMESTAMP '2024-01-10 05:00:00' THEN 5 ELSE 0 END"),
@@ -174,6 +180,8 @@ SQL = {
     "zone_slice": "SELECT * EXCLUDE (borough) FROM mart WHERE zone_id = 4",
     "heatmap_slice": "SELECT hour, CAST(sum(trips_click) AS BIGINT) AS trips FROM mart WHERE borough = 'ASIA' GROUP BY hour",
     "interval_match": "SELECT id FROM hit",
+    "interval_match_zones": """SELECT DISTINCT l.id FROM side l JOIN side r ON l.event_type = 'click' AND r.event_type = 'view' AND l.pu = r.pu AND l.do_zone = r.do_zone
+        AND abs(epoch_us(l.pickup) - epoch_us(r.pickup)) <= 3600000000 AND abs(epoch_us(l.dropoff) - epoch_us(r.dropoff)) <= 3600000000""",
     "interval_match_window": """SELECT DISTINCT l.id FROM side l JOIN side r ON l.event_type = 'click' AND r.event_type = 'view' AND l.user_id = r.user_id
         AND abs(epoch_us(l.pickup) - epoch_us(r.pickup)) <= 3600000000 AND abs(epoch_us(l.dropoff) - epoch_us(r.dropoff)) <= 3600000000
         WHERE l.pickup >= TIMESTAMP '2024-01-08' AND l.pickup < TIMESTAMP '2024-01-15' AND r.pickup >= TIMESTAMP '2024-01-07 23:00:00' AND r.pickup < TIMESTAMP '2024-01-15 01:00:00'""",
@@ -197,6 +205,8 @@ SQL = {
     "accuracy_report": f"""SELECT period, {_r('mae_baseline', 'mae_forecast')}, round(100 * wape_baseline, 6) AS wape_baseline_pct, round(100 * wape_forecast, 6) AS wape_forecast_pct,
         printf('%.2f [%.2f, %.2f]', round_even(mae_diff, 2) + 0.0, round_even(ci95_low, 2) + 0.0, round_even(ci95_high, 2) + 0.0) AS difference FROM per JOIN boot USING (period)""",
 }
+SQL |= {"build_features_sliced": SQL["build_features"], "quality_newest": SQL["quality_upsert"]}
+SQL |= {f"kept_{k}": SQL[k] for k in ("overview_kpis", "zone_totals", "zone_kpis", "daily_totals", "service_mix", "weekday_heatmap", "monthly_trend")}
 _CHANCE = "CASE WHEN m IN (0, n) THEN CASE WHEN k = m THEN 1.0 ELSE 0.0 END ELSE exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(m / n) + (n - k) * ln(1 - m / n)) END"
 _EXTRA = {"match_rate_ci": f""",
 rt AS (SELECT coalesce(grp, 'null') AS g, count(*) AS n, count(hit.id) AS m FROM side LEFT JOIN hit USING (id) WHERE event_type = 'click' GROUP BY 1),

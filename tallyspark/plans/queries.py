@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import time
 from tallyspark.functions.time import ntz
-from tallyspark.operators import evaluate, features, matching, model, reports
+from tallyspark.operators import evaluate, features, matching, model, partials, reports
 from tallyspark.operators import mart as marts
 from tallyspark.plans import bindings as b
 from tallyspark.sources import io
+from tallyspark.sources.files import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +42,17 @@ def trip_scan(s, d):
     return b.trips(s, d).select("service", "pickup", "zone")
 
 
+@query
+def trip_files(s, d):
+    """Trips read back from a file for each service and part of the month; zones are stored as whole numbers in some of them."""
+    path, rows = scratch_path(s), b.trips(s, d)
+    for kind, some in (("int", "month IN ('W1', 'W4')"), ("double", "month NOT IN ('W1', 'W4')")):
+        rows.where(some).withColumn("zone", F.col("zone").cast(kind)).write.mode("append").partitionBy("service", "month").parquet(path)
+    months = [r["month"] for r in rows.select("month").distinct().orderBy("month").collect()]  # five at most
+    found = [x for x in b.SERVICES if not rows.where((F.col("service") == x)).isEmpty()]
+    return io.scan_trips(s, {x: ("pickup", "zone") for x in found}, months, path + "/service={service}/month={month}")
+
+
 @query
 def dim_zone(s, d):
     return b.zones(s, d)
@@ -62,14 +74,14 @@ def dim_hour(s, d):
 
 @query
 def read_mart(s, d):
-    path = b.scratch(s)
+    path = scratch_path(s)
     io.write_months(b.demand(s, d), path)
     return io.read_months(s, path, ["hour", "zone_id", "borough", "trips_total"])
 
 
 @query
 def read_mart_wide(s, d):
-    path = b.scratch(s)
+    path = scratch_path(s)
     io.write_months(b.demand(s, d).drop("borough"), path)
     return io.with_boroughs(io.read_months(s, path), b.zones(s, d))
 
@@ -92,6 +104,15 @@ def quality_upsert(s, d):
     return io.upsert_entries(old, rows.where("month BETWEEN 'W2' AND 'W3'"), b.SERVICES)
 
 
+@query
+def quality_newest(s, d):
+    """The same by builds that append: the newest entry of each service and month."""
+    path, rows = scratch_path(s), b.entries(s, d)
+    io.append_entries(rows.where("month <= 'W2'").withColumn("rows_read", F.col("rows_read") * 10), path, build=1)
+    io.append_entries(rows.where("month BETWEEN 'W2' AND 'W3'"), path, build=2)
+    return io.newest_entries(s, path, b.SERVICES)
+
+
 @query
 def weather_explode(s, d):
     return io.explode_weather(b.payloads(s, d))
@@ -111,7 +132,7 @@ def weather_local_hourly(s, d):
 
 @query
 def read_backtest(s, d):
-    path = b.scratch(s)
+    path = scratch_path(s)
     io.write_scored(b.scored(s, d), path)
     return io.read_scored(s, path, b.zones(s, d)).withColumn("zone_id", F.col("zone_id").cast("int"))
 
@@ -181,6 +202,20 @@ def build_features(s, d):
     return b.feature_rows(s, d)
 
 
+@query
+def build_features_sliced(s, d):
+    """The same by slices of a week with the week before as halo."""
+    return features.build_features(b.demand(s, d).select("hour", "zone_id", "borough", "trips_total"), slice_hours=168)
+
+
+@query
+def build_features_month(s, d):
+    """Features of the newest month of a mart kept by months: its own files and the week before are read."""
+    path = scratch_path(s)
+    io.write_months(b.demand(s, d, b.EARLIER), path)
+    return features.build_month_features(s, path, "2024-01")
+
+
 @query
 def join_many_to_one(s, d):
     return features.join_many_to_one(b.facts(s, d), b.zones(s, d), ["zone_id"])
@@ -188,18 +223,15 @@ def join_many_to_one(s, d):
 
 @query
 def feature_audit(s, d):
-    """Features against the same computed by SQL windows."""
-    rows = b.demand(s, d)
-    rows.createOrReplaceTempView("audit_demand")
-    sql = s.sql("""
-        SELECT hour, zone_id, lag(trips_total, 1) OVER (PARTITION BY zone_id ORDER BY hour) AS lag_1,
-               lag(trips_total, 24) OVER (PARTITION BY zone_id ORDER BY hour) AS lag_24,
-               lag(trips_total, 168) OVER (PARTITION BY zone_id ORDER BY hour) AS lag_168,
-               CASE WHEN row_number() OVER (PARTITION BY zone_id ORDER BY hour) > 24 THEN
-                    avg(trips_total) OVER (PARTITION BY zone_id ORDER BY hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) END AS roll_mean_24
-        FROM audit_demand
-    """)
-    return features.audit(b.feature_rows(s, d), sql, ["lag_1", "lag_24", "lag_168", "roll_mean_24"])
+    """Features against the same computed by joins on the hours before."""
+    rows = b.demand(s, d).select("hour", "zone_id", "borough", "trips_total")
+    at = lambda k: rows.select("zone_id", (F.col("hour") + F.expr(f"interval {k} hours")).alias("hour"), F.col("trips_total").alias(f"lag_{k}"))
+    day = rows.select("zone_id", F.explode(F.expr("sequence(hour + interval 1 hour, hour + interval 24 hours, interval 1 hour)")).alias("hour"), "trips_total")
+    mean = day.groupBy("zone_id", "hour").agg(F.when(F.count("*") == 24, F.avg("trips_total")).alias("roll_mean_24"))
+    other = rows.select("zone_id", "hour")
+    for part in (at(1), at(24), at(168), mean):
+        other = other.join(part, ["zone_id", "hour"], "left")
+    return features.audit(features.build_features(rows), other, ["lag_1", "lag_24", "lag_168", "roll_mean_24"])
 
 
 @query
@@ -379,6 +411,50 @@ def heatmap_slice(s, d):
     return reports.slice_heatmap(b.demand(s, d), "ASIA", "click")
 
 
+# Reports from sums kept by month
+
+
+def _kept(s, mart, names):
+    path = scratch_path(s)
+    partials.keep(mart, path, names)
+    return partials.hours(s, path), partials.zones(s, path)
+
+
+@query
+def kept_overview_kpis(s, d):
+    return partials.overview_kpis(*_kept(s, b.demand(s, d), b.SERVICES))
+
+
+@query
+def kept_zone_totals(s, d):
+    return partials.zone_totals(*_kept(s, b.demand(s, d), b.SERVICES), b.zones(s, d))
+
+
+@query
+def kept_zone_kpis(s, d):
+    return partials.zone_kpis(_kept(s, b.demand(s, d), b.SERVICES)[1])
+
+
+@query
+def kept_daily_totals(s, d):
+    return reports.daily_totals(_kept(s, b.orders_mart(s, d), b.PRIORITIES)[0], b.PRIORITIES)
+
+
+@query
+def kept_service_mix(s, d):
+    return reports.service_mix(_kept(s, b.demand(s, d), b.SERVICES)[0], b.SERVICES)
+
+
+@query
+def kept_weekday_heatmap(s, d):
+    return reports.weekday_heatmap(_kept(s, b.demand(s, d), b.SERVICES)[0])
+
+
+@query
+def kept_monthly_trend(s, d):
+    return reports.monthly_trend(_kept(s, b.orders_mart(s, d), b.PRIORITIES)[0], "borough")
+
+
 # Matching
 
 
@@ -387,6 +463,12 @@ def interval_match(s, d):
     return matching.matched(b.match_side(s, d, "click"), b.match_side(s, d, "view"), ["user_id"], b.TOLERANCE)
 
 
+@query
+def interval_match_zones(s, d):
+    """Clicks and views with the same two zones."""
+    return matching.matched(b.match_side(s, d, "click"), b.match_side(s, d, "view"), ["pu", "do_zone"], b.TOLERANCE)
+
+
 @query
 def interval_match_window(s, d):
     """Clicks of one week against views of that week widened by the tolerance."""
@@ -493,9 +575,8 @@ def accuracy_report(s, d):
     return evaluate.accuracy_report(evaluate.evaluate_periods(rows), evaluate.day_bootstrap(rows, n_boot=200))
 
 
-# Models: small ensembles here; the defaults of operators.model are the full protocol.
+# Models. Boosting stops by itself, so the whole grid and the default rounds are run.
 
-SMALL = ({"maxDepth": 3}, {"maxDepth": 5}, {"poisson": True})
 ALL = (*model.CALENDAR, *model.HISTORY)
 
 
@@ -506,28 +587,31 @@ def _parts(s, d):
 
 @query
 def train_demand_model(s, d):
-    train, _, test = _parts(s, d)
-    return evaluate.clip(model.fit(train, ALL, {"maxDepth": 3}, 5).transform(test), "forecast").select("hour", "zone_id", "trips_total", "forecast")
+    """Forecasts of the test rows by an ensemble that stops by its validation error."""
+    train, validation, test = _parts(s, d)
+    found, _, _ = model.fit_stopping(train, validation, ALL, model.GRID[0])
+    return evaluate.clip(found.transform(test), "forecast").select("hour", "zone_id", "trips_total", "forecast")
 
 
 @query
 def param_search(s, d):
     train, validation, _ = _parts(s, d)
-    found = model.search(train, validation, ALL, SMALL, rounds=4)
-    return s.createDataFrame([(str(r["params"]), r["rounds"], r["mae"]) for r in found], "params string, rounds int, mae double")
+    found = model.search(train, validation, ALL)
+    return s.createDataFrame([(str(r["params"]), r["rounds"], r["mae"], r["hit_limit"]) for r in found], "params string, rounds int, mae double, hit_limit boolean")
 
 
 @query
 def feature_ablation(s, d):
     train, validation, _ = _parts(s, d)
-    out = model.ablation(train, validation, model.HISTORY, model.CALENDAR, {"maxDepth": 3}, 3)
+    out = model.ablation(train, validation, model.HISTORY, model.CALENDAR, model.GRID[0])
     return s.createDataFrame([(out["mae_without"], out["mae_with"], out["kept"])], "mae_without double, mae_with double, kept boolean")
 
 
 @query
 def backtest_scored(s, d):
+    """Test rows scored by the candidate and the rounds that the search finds best, refitted with the validation rows."""
     train, validation, test = _parts(s, d)
-    best = model.search(train, validation, ALL, SMALL, rounds=4)[0]
+    best = model.search(train, validation, ALL)[0]
     rows = model.backtest(train.unionByName(validation), test, ALL, best["params"], best["rounds"])
     return evaluate.scored(rows, "trips_total", "lag_168", "forecast")
 
@@ -537,5 +621,5 @@ def leakage_ablation(s, d):
     """Validation error without the last hours' features."""
     train, validation, _ = _parts(s, d)
     keep = tuple(f for f in ALL if f not in model.RECENT)
-    error = model.validation_mae(model.fit(train, keep, {"maxDepth": 3}, 3), validation)
-    return s.createDataFrame([(len(keep), error)], "n_features int, mae double")
+    _, rounds, error = model.fit_stopping(train, validation, keep, model.GRID[0])
+    return s.createDataFrame([(len(keep), rounds, error)], "n_features int, rounds int, mae double")

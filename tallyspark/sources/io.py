@@ -1,28 +1,16 @@
-"""Readers and writers: trips by service, dimensions, the partitioned mart, quality entries, weather, scored rows."""
+"""Readers and writers: dimensions, weather, scored rows, reports. Trips, tables by months and quality entries have modules of their own."""
 
 import json
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ZONE_COLUMNS = ("zone_id", "borough", "zone", "service_zone")
-ENTRY_COUNTS = ("rows_read", "rows_outside_month", "rows_zone_null", "rows_zone_unknown", "rows_zone_out_of_range", "rows_in_mart")
-
+from tallyspark.sources.entries import ENTRY_COUNTS, append_entries, compact_entries, newest_entries, read_entries, upsert_entries  # noqa: F401
+from tallyspark.sources.months import built_months, read_months, replace_months, write_months  # noqa: F401
+from tallyspark.sources.trips import scan_trips  # noqa: F401
 
-def scan_trips(spark: SparkSession, config: dict, months: list[str], url: str) -> DataFrame:
-    """(service, month, pickup, zone) of every service and month in one plan; only two columns of each file are read.
-
-    config: service -> (pickup column, zone column); url: a pattern with {service} and {month}. Zones become doubles, so that
-    files that store them as numbers of any kind union.
-    """
-    parts = [
-        spark.read.parquet(url.format(service=s, month=m)).select(F.lit(s).alias("service"), F.lit(m).alias("month"), F.col(pickup).cast("timestamp_ntz").alias("pickup"), F.col(zone).cast("double").alias("zone"))
-        for s, (pickup, zone) in config.items()
-        for m in months
-    ]
-    return reduce(DataFrame.unionByName, parts)
+ZONE_COLUMNS = ("zone_id", "borough", "zone", "service_zone")
 
 
 def service_dimension(spark: SparkSession, services: list[str]) -> DataFrame:
@@ -41,36 +29,6 @@ def write_zones(zones: DataFrame, path: str) -> None:
     zones.orderBy("zone_id").coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_months(mart: DataFrame, path: str, month=None) -> None:
-    """Replaces exactly the months that mart holds; others stay. Running it again gives the same files' rows."""
-    label = F.date_format("hour", "yyyy-MM") if month is None else month
-    rows = mart.withColumn("month", label).repartition("month").sortWithinPartitions("hour", "zone_id")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(path)
-
-
-def replace_months(rows: DataFrame, path: str, months: list[str]) -> None:
-    """Deletes months of a table such as the fact and inserts them again from rows(hour, ...). A month without rows is gone; others stay."""
-    spark, label = rows.sparkSession, F.date_format("hour", "yyyy-MM")
-    new = rows.where(label.isin(months))
-    write_months(new, path)
-    full = {r["m"] for r in new.select(label.alias("m")).distinct().collect()}
-    for month in set(months) - full:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
-        gone.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(gone, True)
-
-
-def read_months(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """The mart without its partition column. Raises FileNotFoundError if there is no month."""
-    try:
-        # a schema inferred with month as text: partition values are labels, not numbers
-        base = spark.read.option("basePath", path).parquet(f"{path}/month=*")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            raise FileNotFoundError(f"no month under {path}") from e
-        raise
-    return base.select(*columns) if columns else base.drop("month")
-
-
 def with_boroughs(rows: DataFrame, zones: DataFrame) -> DataFrame:
     """Joins borough back by zone_id, many to one (zones is a dimension of a few hundred rows). A zone that stands twice makes the job fail."""
     twice = F.raise_error(F.concat(F.lit("zone stands twice: "), F.col("zone_id").cast("string"))).cast("string")
@@ -83,29 +41,6 @@ def months_to_build(wanted: DataFrame, built: DataFrame, force: bool = False) ->
     return wanted.select("month") if force else wanted.select("month").join(built.select("month").distinct(), "month", "left_anti")
 
 
-def built_months(spark: SparkSession, path: str) -> DataFrame:
-    """(month) of the partitions under a path."""
-    try:
-        return spark.read.option("basePath", path).parquet(f"{path}/month=*").select(F.col("month").cast("string").alias("month")).distinct()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], "month string")
-        raise
-
-
-def upsert_entries(old: DataFrame, new: DataFrame, services: list[str]) -> DataFrame:
-    """Quality entries where the new ones replace the old of the same service and month, by month and service order; other columns go."""
-    keep = ["service", "month", *ENTRY_COUNTS]
-    stay = old.select(*keep).join(new.select("service", "month"), ["service", "month"], "left_anti")
-    order = F.array_position(F.lit(services), F.col("service"))
-    return stay.unionByName(new.select(*keep)).orderBy("month", order)
-
-
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON document {"entries": [...]}."""
-    return spark.read.json(path, multiLine=True).select(F.explode("entries").alias("e")).select("e.*")
-
-
 def explode_weather(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """(..., time, temperature_2m, precipitation): parallel arrays of JSON {"hourly": {...}} as rows."""
     kind = "hourly struct<time: array<string>, temperature_2m: array<double>, precipitation: array<double>>"
