@@ -1,17 +1,18 @@
-"""Main text of web pages: page structure, then differencing with the nearest page of the same host.
+"""Main text of web pages: page structure, then differencing with the nearest pages of the same host.
 
 1. A page is parsed into blocks of text in page order. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms,
-   comments and the like are marked as furniture by their tags, roles and class or id words.
-2. Differencing. Pages of a host are ordered by URL path; each is paired with the neighbour whose path shares the
-   longer beginning (the earlier one on ties). All lines of the two pages are aligned by longest common subsequence, and
-   shared lines of the article (of the body, without one) are deleted, so furniture without telling marks goes too.
-   Two pages are copies if more than four fifths of the words of both are shared; then the neighbour on the other side
-   counts instead. Without one, or if that is a copy too, an article stays whole; a body without article loses what all of
-   them share, unless nothing else is left: its copies can't be told from short texts in a frame that all pages have.
+   comments and the like are marked as furniture by their tags, roles and class names or ids. A name is a mark if it is one of MARKS as a whole,
+   or made of marks and words of place only (site-header, sidebar-left); has-sidebar and notice-board aren't. A mark that holds more than half of
+   the words of the articles (of the page, without one) isn't furniture but a wrapper, unless it is one of reader comments.
+2. Differencing. Pages of a host are ordered by URL path. Each is aligned, by longest common subsequence of all lines, with its nearest page (the neighbour
+   whose path shares the longer beginning; the earlier one on ties), then with the others of the two pages on either side. What it shares with all of
+   them is furniture without telling marks: a passage that two or three articles quote is hardly on all five. In an article that goes
+   only if no less stays; h1 never goes. With one other page on the host, an article loses the lines at its beginning and end that the other begins or
+   ends with too, on the same condition; a body without article loses all shared lines. If nothing would be left, all stays: copies can't be told from a frame.
 3. What stays of the article (or of the body, without one) is joined by single spaces.
 
 Only hashes of lines travel between pages, then only the places of deleted lines. Neighbours come from one range sort; the
-first and last rows of its partitions meet in a table of two rows a partition, so no host is gathered in one task.
+first and last two rows of its partitions meet in a table of four rows a partition, so no host is gathered in one task.
 """
 
 import re
@@ -40,54 +41,74 @@ alert popup modal overlay sidebar aside comment comments commentlist disqus repl
 breadcrumb breadcrumbs pagination pager header masthead footer colophon copyright share sharing social related recommended newsletter
 subscribe subscription signup login toolbar widget skip tags
 """.split())
+PLACES = set("""
+site page main top bottom left right upper lower first last box bar block list section wrapper wrap container area inner outer slot unit button buttons
+link links icons text content item items global primary secondary mobile desktop fixed sticky inline post article entry user reader
+""".split())
 WHITE = re.compile(r"\s+")
-REMARKS = set("comment comments reply replies related".split())
-COPY_PART, ARTICLE, WORDS = 0.8, 0x8000, 0x7FFF
+REMARKS = set("comment comments commentlist disqus reply replies respond related".split())
+CANDIDATE, ARTICLE, FLAGS = 1, 2, 2
 TABLE_BITS = 1 << 26
 
 
-def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """What an element makes of its text: 0 nothing, 1 article, 2 furniture, 3 no text."""
+def mark_of(name: str) -> str | None:
+    """The mark that a class name or id is, or None."""
+    if name in MARKS:
+        return name
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
+    found = [x for x in parts if x in MARKS]
+    return found[0] if found and all(x in MARKS or x in PLACES for x in parts) else None
+
+
+def element_kind(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, str | None]:
+    """(what an element makes of its text: 0 nothing, 1 article, 2 furniture, 3 no text; the mark of its class or id)."""
     if tag in SKIPPED:
-        return 3
-    if tag in FURNITURE:
-        return 2
+        return 3, None
+    if tag in FURNITURE and tag != "form":
+        return 2, None
     if tag in ("html", "body"):
-        return 0
-    article = tag in ("article", "main")
+        return 0, None
+    article, mark = tag in ("article", "main"), "form" if tag == "form" else None
     for name, value in attrs:
-        value = (value or "").strip().lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return 2
-        if name in ("class", "id") and set(re.split(r"[^a-z]+", value)) & (REMARKS if article else MARKS):
-            return 2
-    return int(article)
+        value = (value or "").strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
+            return 2, None
+        if name in ("class", "id") and mark not in REMARKS:
+            known = [m for m in map(mark_of, value.split()) if m]
+            mark = next((m for m in known if m in REMARKS), None if article else (known or [mark])[0])
+    return int(article), mark
 
 
 class _Page(HTMLParser):
-    """Blocks [text, kind]: kind 0 outside any article, 1 in the article, 2 furniture."""
+    """Blocks [text, article, furniture, marks, heading]: whether a block is in an article, surely furniture, which marked elements hold it, whether it is an h1."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int]] = []
-        self.stack: list[tuple[str, int]] = []  # open elements and their kinds
+        self.blocks: list[tuple[str, bool, bool, tuple[int, ...], bool]] = []
+        self.marks: list[str] = []
+        self.stack: list[tuple[str, int, int | None]] = []  # open elements, their kinds, their marks' numbers
         self.parts: list[str] = []
 
-    def kind(self) -> int:
-        return max((k for _, k in self.stack), default=0)
-
     def flush(self) -> None:
         if self.parts:
             text = WHITE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.blocks.append((text, self.kind()))
+                kinds = [k for _, k, _ in self.stack]
+                self.blocks.append((text, 1 in kinds, 2 in kinds, tuple(m for *_, m in self.stack if m is not None), any(t == "h1" for t, *_ in self.stack)))
             self.parts = []
 
+    def push(self, tag: str, kind: int, mark: str | None) -> None:
+        if mark:
+            self.marks.append(mark)
+        self.stack.append((tag, kind, len(self.marks) - 1 if mark else None))
+
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
-            if tag not in VOID and (kind := element_kind(tag, attrs)) > 1:
-                self.flush()
-                self.stack.append((tag, kind))
+            if tag not in VOID:
+                kind, mark = element_kind(tag, attrs)
+                if kind > 1 or mark:
+                    self.flush()
+                    self.push(tag, kind, mark)
             return
         self.flush()
         if tag == "br":
@@ -103,7 +124,7 @@ class _Page(HTMLParser):
         elif self.stack and tag == self.stack[-1][0] and tag in ("li", "dt", "dd", "tr", "td", "th"):
             self.stack.pop()
         if tag not in VOID:
-            self.stack.append((tag, element_kind(tag, attrs)))
+            self.push(tag, *element_kind(tag, attrs))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in INLINE:
@@ -120,32 +141,48 @@ class _Page(HTMLParser):
             return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                if tag == "p" and any(k for _, k in self.stack[i + 1 :]):
+                if tag == "p" and any(k or m is not None for _, k, m in self.stack[i + 1 :]):
                     return
                 del self.stack[i:]
                 return
 
     def handle_data(self, data):
-        if not any(k == 3 for _, k in self.stack):
+        if not any(k == 3 for _, k, _ in self.stack):
             self.parts.append(data)
 
 
-def blocks(html: str) -> list[tuple[str, int]]:
-    """Blocks of text of a page in page order, with their kinds. Anything parses; what can't be read as markup is text."""
+def blocks(html: str) -> list[tuple[str, int, bool]]:
+    """(text, kind, heading) of each block of a page in page order: kind 0 outside any article, 1 in an article, 2 furniture; heading: in an h1.
+
+    Anything parses; what can't be read as markup is text. If marks leave no text at all, those of comments count no longer.
+    """
     page = _Page()
     page.feed(html)
     page.close()
     page.flush()
-    return page.blocks
-
-
-def line_hashes(found: list[tuple[str, int]]) -> list[int]:
-    """A number for each line: 48 bits of its hash, a bit for pages with an article, 15 bits of its words (0: no candidate)."""
-    main = int(any(kind == 1 for _, kind in found))
-    return [
-        (xxhash.xxh3_64_intdigest(t.encode()) >> 16 << 16 | ARTICLE * main | (min(t.count(" ") + 1, WORDS) if kind == main else 0)) - (1 << 63)
-        for t, kind in found
-    ]
+    found = page.blocks
+    if not page.marks:
+        return [(t, 2 if furniture else int(article), h1) for t, article, furniture, _, h1 in found]
+    scope = any(article for _, article, *_ in found)
+    words, total = [0] * len(page.marks), 0
+    for t, article, _, marks, _ in found:
+        if article or not scope:
+            n = t.count(" ") + 1
+            total += n
+            for m in marks:
+                words[m] += n
+    for wrapper in (lambda m: page.marks[m] not in REMARKS and 2 * words[m] > total, lambda m: page.marks[m] in REMARKS or 2 * words[m] > total):
+        void = {m for m in range(len(words)) if wrapper(m)}
+        out = [(t, 2 if furniture or not void.issuperset(marks) else int(article), h1) for t, article, furniture, marks, h1 in found]
+        if any(kind == scope for _, kind, _ in out):
+            break
+    return out
+
+
+def line_hashes(found: list[tuple[str, int, bool]]) -> list[int]:
+    """A number for each line: 62 bits of its hash, a bit for pages with an article, a bit for lines that may go."""
+    main = int(any(kind == 1 for _, kind, _ in found))
+    return [(xxhash.xxh3_64_intdigest(t.encode()) >> FLAGS << FLAGS | ARTICLE * main | CANDIDATE * (kind == main and not h1)) - (1 << 63) for t, kind, h1 in found]
 
 
 def _lcs_rows(a: list[int], b: list[int]) -> Iterator[int]:
@@ -202,35 +239,43 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return {x[i] for i in _lcs([a[i] for i in x], [v for v in b if v in both])}
 
 
-def aligned(own: list[int], other: list[int]) -> tuple[set[int], bool]:
-    """(places of own candidate lines that a page shares with another, whether the pages are copies)."""
-    shared = {i for i in common([v >> 16 for v in own], [v >> 16 for v in other]) if own[i] & WORDS}
-    words = sum(own[i] & WORDS for i in shared)
-    return shared, words > COPY_PART * max(sum(v & WORDS for v in own), sum(v & WORDS for v in other))
+def shared(own: list[int], other: list[int]) -> set[int]:
+    """Places of a page's lines that may go and that it shares with another page, by alignment of all lines."""
+    return {i for i in common([v >> FLAGS for v in own], [v >> FLAGS for v in other]) if own[i] & CANDIDATE}
+
+
+def ends(own: list[int], other: list[int]) -> set[int]:
+    """Places of the lines that may go with which both pages' articles begin, and of those with which both end."""
+    a, b = [i for i, v in enumerate(own) if v & CANDIDATE], [v >> FLAGS for v in other if v & CANDIDATE]
+    pairs = lambda x, y: next((k for k, (i, v) in enumerate(zip(x, y, strict=False)) if own[i] >> FLAGS != v), min(len(x), len(y)))
+    head, tail = pairs(a, b), pairs(a[::-1], b[::-1])
+    return {*a[:head], *a[len(a) - tail :]}
 
 
-def furniture(own: list[int], near: list[int], far: list[int] | None = None) -> list[int]:
-    """Places of the lines to delete from a page, given its nearest page and the one on its other side."""
-    shared, copy = aligned(own, near)
-    if copy and far is not None:
-        other, copy = aligned(own, far)
-        shared = shared & other if copy else other
-    if copy and own[0] & ARTICLE or len(shared) == sum(v & WORDS > 0 for v in own):
+def furniture(own: list[int], others: list[list[int]]) -> list[int]:
+    """Places of the lines to delete from a page, given the pages around it, the nearest first."""
+    if not others or not own:
         return []
-    return sorted(shared)
+    article, may_go = own[0] & ARTICLE, sum(v & CANDIDATE for v in own)
+    gone = ends(own, others[0]) if article and len(others) == 1 else shared(own, others[0])
+    for other in others[1:]:
+        if not gone:
+            return []
+        gone &= shared(own, other)
+    return sorted(gone) if (2 * len(gone) <= may_go if article else len(gone) < may_go) else []
 
 
-def without(found: list[tuple[str, int]], gone: list[int] | None) -> str:
+def without(found: list[tuple[str, int, bool]], gone: list[int] | None) -> str:
     """Main text of a page's blocks, without those at some places."""
     gone = set(gone or ())
-    main = int(any(kind == 1 for _, kind in found))
-    return " ".join(t for i, (t, kind) in enumerate(found) if kind == main and i not in gone)
+    main = int(any(kind == 1 for _, kind, _ in found))
+    return " ".join(t for i, (t, kind, _) in enumerate(found) if kind == main and i not in gone)
 
 
-def main_text(html: str, near: list[int] | None, far: list[int] | None = None) -> str:
-    """Main text of a page, given the lines of the page it is paired with, and of the one on its other side."""
+def main_text(html: str, *others: list[int]) -> str:
+    """Main text of a page, given the lines of the pages around it, the nearest first."""
     found = blocks(html)
-    return without(found, furniture(line_hashes(found), near, far) if near is not None else None)
+    return without(found, furniture(line_hashes(found), list(others)))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,84 +291,78 @@ def _shared_start(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _deleted(path: str, own: list[int], before: tuple[str, list[int]] | None, after: tuple[str, list[int]] | None) -> list[int] | None:
-    """Places of the lines to delete from a page between two (path, lines) of its host; None if it has no neighbour."""
-    if before is None or after is None:
-        return furniture(own, (before or after)[1]) if before or after else None
-    if _shared_start(after[0], path) > _shared_start(before[0], path):
+Row = tuple[str, str, list[int]]  # host, path, lines
+
+
+def nearest(own: Row, before: list[Row], after: list[Row]) -> list[list[int]]:
+    """Lines of the pages around a page, the nearest first, of up to two rows before it and two behind (each side from the nearest on). Pages of other hosts and without lines tell nothing."""
+    before, after = ([r for r in side if r[0] == own[0] and r[2]] for side in (before, after))
+    if before and after and _shared_start(after[0][1], own[1]) > _shared_start(before[0][1], own[1]):
         before, after = after, before
-    return furniture(own, before[1], after[1])
+    return [r[2] for k in (0, 1) for side in (before, after) for r in side[k : k + 1]]
+
+
+SIDE = pa.list_(pa.struct([("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64()))]))
+PAIRED = (("page_id", pa.int64()), ("u", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.list_(pa.int64())), ("before", SIDE), ("after", SIDE), ("gone", pa.list_(pa.int32())), ("edge", pa.int32()))
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and path, each with the places of its lines to delete. The first and the last row of a partition
-    (edge) are paired later, with all they need: their own lines and those of the inner neighbour."""
-    rows, out, first = [], [], True
-
-    def row(before, own, after, edge):
-        before, after = ((o[3], o[4]) if o is not None and o[2] == own[2] else None for o in (before, after))
-        if not edge:
-            return (*own[:4], None, None, None, _deleted(own[3], own[4], before, after), edge)
-        path, lines = before or after or (None, None)
-        return (*own[:5], lines, path, None, edge)
-
-    def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+    """Rows sorted by host and path, each with the places of its lines to delete. The first and the last two rows of a partition are paired later:
+    they carry their own lines and those of the rows beside them that this partition has. edge: 1 without the rows before, 2 without those behind, 3 both."""
+    seen, out, at = [], [], 0  # the last rows, at most five, and the number of rows before them
+
+    def row(k: int, last: bool) -> tuple:
+        own, head = seen[k], at + k < 2
+        before, after = seen[max(0, k - 2) : k][::-1], seen[k + 1 : k + 3]
+        if not head and not last:
+            return (*own[:4], None, None, None, furniture(own[4], nearest(own[2:], [r[2:] for r in before], [r[2:] for r in after])), 0)
+        told = lambda side: [dict(zip(("host", "path", "lines"), r[2:], strict=True)) for r in side]
+        return (*own, None if head else told(before), None if last else told(after), None, head + 2 * last)
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), PAIRED, strict=True)], [n for n, _ in PAIRED])
         out.clear()
         return batch
 
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int32()), pa.int32())
-    names = ["page_id", "u", "host", "path", "lines", "inner", "inner_path", "gone", "edge"]
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(r)
-            if len(rows) == 3:
-                out.append(row(rows[0], rows[1], rows[2], 0))
-                rows.pop(0)
-            elif len(rows) == 2 and first:
-                out.append(row(None, rows[0], rows[1], 1))
-                first = False
+            seen.append(r)
+            if len(seen) >= 3:
+                out.append(row(len(seen) - 3, False))
+            if len(seen) == 5:
+                seen.pop(0)
+                at += 1
             if len(out) >= 512:
                 yield flush()
-    if len(rows) == 2:
-        out.append(row(rows[0], rows[1], None, 2))
-    elif rows:
-        out.append(row(None, rows[0], None, 3))
+    out += [row(k, True) for k in range(max(0, len(seen) - 2), len(seen))]
     if out:
         yield flush()
 
 
 def partners(pages: DataFrame) -> DataFrame:
-    """(page_id, u, gone): places of the lines that a page shares with the nearest page of its host by URL path.
+    """(page_id, u, gone): places of the lines that a page shares with the pages around it on its host, by URL path.
 
     pages(page_id, u, host, path, html), u a hash that tells rows of one id apart.
     """
     lines = written(pages.mapInArrow(_lines, "page_id long, u long, host string, path string, lines array<long>"))  # the range sort reads them twice
     order = [F.col(c).asc_nulls_first() for c in ("host", "path", "page_id", "u")]
     ranged = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    paired = written(ranged.mapInArrow(_paired, "page_id long, u long, host string, path string, lines array<long>, inner array<long>, inner_path string, gone array<int>, edge int"))
+    side = "array<struct<host: string, path: string, lines: array<long>>>"
+    paired = written(ranged.mapInArrow(_paired, f"page_id long, u long, host string, path string, lines array<long>, before {side}, after {side}, gone array<int>, edge int"))
     discard(lines)
     edges = paired.where("edge > 0")
-    w = W.orderBy(*order)  # two rows a partition of the range sort
-    before, after = (F.struct(f(F.col("host")).over(w).alias("host"), f(F.col("path")).over(w).alias("path"), f(F.col("lines")).over(w).alias("lines")) for f in (F.lag, F.lead))
-    # the inner neighbour of a first row stands behind it, of a last row before it; the outer one is the next edge
-    met = edges.withColumn("b", before).withColumn("a", after)
-    met = met.mapInArrow(_edge_partner, "page_id long, u long, gone array<int>")
+    w = W.orderBy(*order)  # four rows a partition of the range sort
+    own = F.struct("host", "path", "lines")
+    beside = lambda f, known: F.coalesce(known, F.filter(F.array(f(own, 1).over(w), f(own, 2).over(w)), lambda r: r.isNotNull()))
+    met = edges.withColumns({"b": beside(F.lag, F.col("before")), "a": beside(F.lead, F.col("after"))})
+    met = met.select("page_id", "u", "host", "path", "lines", "b", "a").mapInArrow(_edge_partner, "page_id long, u long, gone array<int>")
     return paired.where("edge = 0").select("page_id", "u", "gone").unionByName(met)
 
 
 def _edge_partner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    row = lambda r: (r["host"], r["path"], r["lines"])
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            inner = (r["inner_path"], r["inner"]) if r["inner_path"] is not None else None
-            before = (r["b"]["path"], r["b"]["lines"]) if r["b"]["host"] == r["host"] and r["b"]["lines"] is not None else None
-            after = (r["a"]["path"], r["a"]["lines"]) if r["a"]["host"] == r["host"] and r["a"]["lines"] is not None else None
-            if r["edge"] == 1:
-                after = inner
-            elif r["edge"] == 2:
-                before = inner
-            out.append((r["page_id"], r["u"], _deleted(r["path"], r["lines"], before, after)))
+        out = [(r["page_id"], r["u"], furniture(r["lines"], nearest(row(r), list(map(row, r["b"])), list(map(row, r["a"]))))) for r in batch.to_pylist()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["page_id", "u", "gone"])
 
