@@ -16,8 +16,10 @@ reach similarity 0.75 exactly if they share I shingles with 7 * I >= 3 * (a + b)
    all of its links connect.
 5. Components of all links; their smallest doc_id goes to every row.
 
-Cells of very many sets are split: sets are dealt into parts and every two parts meet in a
-task of their own, so that no tree holds more than about 2 * PART points or the points of 2 * PART_SHINGLES shingles.
+Cells of very many sets are split in parts, so that no tree holds more than about 2 * PART points or the points of 2 * PART_SHINGLES shingles. All
+parts first meet the centre alone, whose text comes to each part once. Then only the sets that aren't joined to the centre are left to compare: with each
+other, every two parts in a task of their own, and with the joined ones, which are known to be joined to each other. So a family around a
+centre costs what its texts are, and only sets that share a rare shingle with it without resembling it meet by pairs of parts.
 """
 
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.graph import components
-from tallyspark.llm.shared import discard, fresh, packed, unpack, written
+from tallyspark.llm.shared import discard, fresh, named, packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, mix, powers, runs, slices
 
 SHINGLE = 5
@@ -237,9 +239,12 @@ def allowed(points: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray)
 class Cell:
     """Sets of one cell, joined to components as links are found."""
 
-    def __init__(self, sizes: np.ndarray, late: np.ndarray, part: np.ndarray, sets: list[np.ndarray], same: bool):
+    def __init__(self, sizes: np.ndarray, late: np.ndarray, part: np.ndarray, sets: list[np.ndarray], same: bool, joined: np.ndarray | None = None):
+        """joined: sets that are known to be joined to each other."""
         self.sizes, self.late, self.part, self.sets, self.same = sizes, late, part, sets, same
         self.comp = np.arange(len(sizes))
+        if joined is not None and joined.any():
+            self.comp[joined] = np.flatnonzero(joined)[0]
         self.links: list[tuple[int, int]] = []
 
     def may_meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -285,7 +290,7 @@ class Cell:
 
 
 def _cell_links(size: int):
-    """Links of each cell of rows (a, i, j, part, node, late, text), sorted by (a, i, j), with packed texts.
+    """Links of each cell of rows (a, i, j, part, node, late, joined, text), sorted by (a, i, j), with packed texts. Joined sets are the centre's.
 
     Sets are made again from the texts, which are smaller than their hashes. Rows whose text isn't the node's (of a repeated id) are passed over.
     """
@@ -295,10 +300,11 @@ def _cell_links(size: int):
 
         def solve() -> None:
             if len(rows) > 1:
-                part, late, sets = zip(*rows.values(), strict=True)
+                part, late, joined, sets = zip(*rows.values(), strict=True)
                 node = list(rows)
-                cell = Cell(np.array([len(s) for s in sets], np.int64), np.array(late, bool), np.array(part), list(sets), open_[1] == open_[2])
-                found.extend((node[x], node[y]) for x, y in cell.solve(node.index(open_[0]) if open_[0] in rows else None))
+                cell = Cell(np.array([len(s) for s in sets], np.int64), np.array(late, bool), np.array(part), list(sets), open_[1] == open_[2], np.array(joined, bool))
+                centre = node.index(open_[0]) if open_[0] in rows and not any(joined) else None
+                found.extend((node[x], node[y]) for x, y in cell.solve(centre))
             rows.clear()
 
         def flush() -> pa.RecordBatch:
@@ -309,14 +315,14 @@ def _cell_links(size: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                cols = [c.to_pylist() for c in part.columns[:6]]
-                sets = (s for _, _, words in slices(unpack(part.column(6)), lower=True) for s in shingle_sets(words, size))
-                for cell, (p, node, late), s in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), sets, strict=True):
+                cols = [c.to_pylist() for c in part.columns[:7]]
+                sets = (s for _, _, words in slices(unpack(part.column(7)), lower=True) for s in shingle_sets(words, size))
+                for cell, (p, node, late, joined), s in zip(zip(*cols[:3], strict=True), zip(*cols[3:], strict=True), sets, strict=True):
                     if cell != open_:
                         solve()
                         open_ = cell
                     if len(s) and digest(s) == node:
-                        rows[node] = (p, late, s)
+                        rows[node] = (p, late, joined, s)
                 if len(found) > 1 << 14:
                     yield flush()
         solve()
@@ -326,6 +332,54 @@ def _cell_links(size: int):
     return go
 
 
+def _centre_links(size: int):
+    """Links (a, b) of centres with the sets of rows (a, part, role, node, late, text), sorted by (a, part, role); role 0 is the centre."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, centre = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                cols = [c.to_pylist() for c in part.columns[:5]]
+                sets = (s for _, _, words in slices(unpack(part.column(5)), lower=True) for s in shingle_sets(words, size))
+                for a, p, role, node, late, s in zip(*cols, sets, strict=True):
+                    if not len(s) or digest(s) != node:
+                        continue
+                    if role == 0:
+                        open_, centre = (a, p), (late, s)
+                    elif (a, p) == open_ and node != a:
+                        cell = Cell(np.array([len(centre[1]), len(s)]), np.array([centre[0], late], bool), np.zeros(2, int), [centre[1], s], True)
+                        one, two = np.array([0]), np.array([1])
+                        if 4 * len(s) >= 3 * len(centre[1]) and 4 * len(centre[1]) >= 3 * len(s) and cell.may_meet(one, two).all():
+                            cell.verify(one, two)
+                        found += [(a, node)] * len(cell.links)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    return go
+
+
+def _split(cells: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(links of centres, rows (a, i, j, part, node, late, joined, text)) of cells of more than one part: cells(a, node, late, parts), texts(node, text) packed."""
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = cells.where("node <> a").select("a", part(F.col("parts")).alias("part"), F.lit(1).alias("role"), "node", "late")
+    centres = cells.where("node = a").select("a", each(F.col("parts")).alias("part"), F.lit(0).alias("role"), "node", "late")
+    met = members.unionByName(centres).join(texts, "node").select("a", "part", "role", "node", "late", "text")
+    star = written(met.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(_centre_links(size), "a long, b long"))
+    linked = cells.join(star.select("a", F.col("b").alias("node"), F.lit(True).alias("joined")), ["a", "node"], "left").withColumn("joined", F.coalesce("joined", F.col("node") == F.col("a")))
+    n = linked.groupBy("a").agg(F.count(F.when(~F.col("joined"), 1)).alias("open"), F.count(F.when(F.col("joined"), 1)).alias("done"), F.max("parts").alias("parts"), F.count("*").alias("n"))
+    share = lambda c: F.ceil(F.col("parts") * F.col(c) / F.col("n")).cast("int")
+    n = n.where("open > 0").select("a", share("open").alias("ro"), share("done").alias("rd"))
+    rows = linked.drop("parts").join(n, "a")
+    # parts of open sets are 0 to ro - 1, those of joined ones ro to ro + rd - 1
+    open_ = rows.where("NOT joined").withColumn("part", part(F.col("ro"))).withColumn("other", each(F.col("ro") + F.col("rd")))
+    open_ = open_.select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "late", "joined")
+    done = rows.where("joined").withColumn("part", F.col("ro") + part(F.col("rd"))).withColumn("i", each(F.col("ro")))
+    done = done.select("a", "i", F.col("part").alias("j"), "part", "node", "late", "joined")
+    return star, open_.unionByName(done).join(texts, "node").select("a", "i", "j", "part", "node", "late", "joined", "text")
+
+
 def _cells(shared: DataFrame) -> DataFrame:
     """(a, node, late, k): the cells of centres a with their nodes, a itself too; late: none of the node's first n / 7 shingles is here."""
     members = written(shared.join(shared.groupBy("h").agg(F.count("*").alias("rows")), "h"))
@@ -354,11 +408,20 @@ def links(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     cells = _cells(shared)
     parts = cells.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(CLASS_BASE), F.col("k") + 1)).alias("shingles")).where("n > 1")
     parts = parts.select("a", F.ceil(F.greatest(F.col("n") / PART, F.col("shingles") / PART_SHINGLES)).cast("int").alias("parts"))
-    cells_ = cells.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells_ = cells.join(parts, "a")
     first = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sent = cells_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(first, "node")
-    sent = packed(docs).join(sent, "doc_id").select("a", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "late", "text")
+    zero = F.lit(0)
+    sent = cells_.where("parts = 1").join(first, "node").select("doc_id", "a", zero.alias("i"), zero.alias("j"), zero.alias("part"), "node", "late", F.lit(False).alias("joined"))
+    sent = packed(docs).join(sent, "doc_id").select("a", "i", "j", "part", "node", "late", "joined", "text")
+    large, star = written(cells_.where("parts > 1").select("a", "node", "late", "parts")), None
+    if not large.isEmpty():
+        wanted = first.join(large.select("node").distinct(), "node")
+        texts = packed(docs).join(wanted, "doc_id").select("node", "text")
+        star, more = _split(large, written(texts.dropDuplicates()), size)
+        sent = sent.unionByName(more)
     found = written(sent.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(_cell_links(size), "a long, b long"))
+    if star is not None:
+        found = found.unionByName(star)
     discard(shared, cells)
     several = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
@@ -388,7 +451,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     rows, row = fresh(docs, "rows"), fresh(docs, "row")
     ids = classes(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias(rows))
     kept = docs.join(ids, "doc_id")
-    single = kept.where(F.col(rows) == 1).select(*docs.columns)
-    several = kept.where(F.col(rows) > 1).groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias(row))
+    single = kept.where(F.col(rows) == 1).select(*map(named, docs.columns))
+    several = kept.where(F.col(rows) > 1).groupBy("doc_id").agg(F.min(F.struct(*(named(c) for c in docs.columns if c != "doc_id"))).alias(row))
     several = several.select(*(F.col("doc_id") if c == "doc_id" else F.col(row)[c].alias(c) for c in docs.columns))
     return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))

@@ -23,27 +23,39 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import fresh, written
+from tallyspark.llm.shared import fresh, named, written
 
 #: Documents rounded together, rows alike that are told apart by one task, and sources whose totals are broadcast (about 50 bytes each).
 GROUP, ALIKE, SOURCES_BROADCAST = 128, 10_000, 100_000
 EPS = 1e-9
 
 
-def targets(sizes: list[tuple], weights: tuple = (5, 2, 1), most: float = 3.0) -> dict:
-    """source -> target words. sizes: (source or None, words); sources go by code point, null last."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    left, open_, out = float(sum(n for _, n in order)), dict(order), {}
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        over = [s for s, n in open_.items() if weight[s] * unit > most * n]
-        if not over:
-            return out | {s: weight[s] * unit for s in open_}
-        for s in over:
-            out[s] = most * open_.pop(s)
-            left -= out[s]
-    return out
+def source_plan(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0) -> tuple[DataFrame, int, int]:
+    """((s, source_size, target, left) of each source, number of sources, rows of the largest) of docs(source, size).
+
+    Sources go by code point, null last. The ranks that weigh them come from a range sort and one offset a partition, and the level at which targets
+    stop rising from sums over all sources, again until no other source is full; so the driver sees sums only, however many sources there are.
+    """
+    spark, order = docs.sparkSession, F.col("source").asc_nulls_last()
+    sums = written(docs.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count("*").alias("rows")))  # the range sort reads them twice
+    place = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's within
+    ranged = written(sums.repartitionByRange(order).sortWithinPartitions(order).select("*", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    offsets, before = [], 0
+    for r in ranged.groupBy("part").agg(F.count("*").alias("k")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["k"]
+    rank = F.pmod(F.col("at") + F.col("before"), F.lit(len(weights))) + 1
+    known = ranged.join(F.broadcast(spark.createDataFrame(offsets, "part int, before long")), "part").withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), rank.cast("int")))
+    unit, full = 0.0, -1
+    while True:
+        over = F.col("weight") * unit > most * F.col("n")
+        r = known.agg(F.count(F.when(over, 1)).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.sum(F.when(over, F.col("n"))).alias("taken"), F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
+        if r["full"] == full or not r["open"]:
+            break
+        unit, full = (r["n"] - most * (r["taken"] or 0)) / r["open"], r["full"]
+    over = F.col("weight") * unit > most * F.col("n")
+    target = F.when(over, most * F.col("n")).otherwise(F.col("weight") * unit)
+    return known.select(F.col("source").alias("s"), F.col("n").alias("source_size"), target.cast("double").alias("target"), F.col("rows").alias("left")), before, r["rows"] or 0
 
 
 def _draw(*what) -> float:
@@ -92,14 +104,11 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple = (5, 2, 1), most: f
 
     Every row is a document of its own, repeated ids too. A null source is a source. A row of size 0
     (null or blank text) carries no words: only the whole part of its share is taken. Sources whose
-    size is 0 have target 0. No rows in, no rows out. The driver sees one total per source.
+    size is 0 have target 0. No rows in, no rows out.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "source", F.col(size).cast("long").alias("size"), *keep)
-    sums = docs.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    want = targets([(r["source"], r["n"] or 0) for r in sums], weights, most)
-    plan = spark.createDataFrame([(r["source"], r["n"] or 0, float(want[r["source"]]), r["rows"]) for r in sums], "s string, source_size long, target double, left long")
-    if len(sums) <= SOURCES_BROADCAST:
+    plan, sources, largest = source_plan(docs, weights, most)
+    if sources <= SOURCES_BROADCAST:
         plan = F.broadcast(plan)
     # rows that are alike are counted, then numbered in blocks, so that a repeated id is no hot group
     known = ["doc_id", "source", "size", *keep]
@@ -112,7 +121,7 @@ def mix(docs: DataFrame, size: str = "size", weights: tuple = (5, 2, 1), most: f
     rows = rows.withColumn("whole", F.floor(ratio + EPS).cast("int"))
     rows = rows.withColumn("p", F.when(F.col("size") > 0, F.greatest(ratio - F.col("whole"), F.lit(0.0))).otherwise(F.lit(0.0)))
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
-    left, level, out = max([1, *(r["rows"] for r in sums)]), 0, None
+    left, level, out = max(1, largest), 0, None
     while True:
         last = left <= GROUP
         groups = F.lit(1) if last else F.ceil(F.col("left") / GROUP)
@@ -149,6 +158,6 @@ def repeated_documents(docs: DataFrame, weights: tuple = (5, 2, 1), most: float
     taken = mix(docs.select("doc_id", "source", words().alias("size"), keyed.alias("t")), "size", weights, most, keep=("t",))
     taken = taken.groupBy(F.col("doc_id").alias(id_), F.col("t").alias(key)).agg(F.sum("copies").cast("int").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
     met = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(id_)) & (keyed == F.col(key)))
-    single = met.where(F.col(rows) == 1).select(*docs.columns, copies)
-    several = met.where(F.col(rows) > 1).groupBy(id_, key).agg(F.min(F.struct(*docs.columns)).alias(row), F.first(copies).alias(copies)).select(f"{row}.*", copies)
-    return single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    single = met.where(F.col(rows) == 1).select(*map(named, docs.columns), copies)
+    several = met.where(F.col(rows) > 1).groupBy(id_, key).agg(F.min(F.struct(*map(named, docs.columns))).alias(row), F.first(copies).alias(copies)).select(f"{row}.*", copies)
+    return single.unionByName(several).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*map(named, docs.columns))

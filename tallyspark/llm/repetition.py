@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.llm.shared import named
 from tallyspark.llm.words import BYTE_BASE, WORD_BASES, Words, mix, powers, run_starts, runs, slices
 
 #: Per cent of word characters that windows of so many words may cover, and that lines may.
@@ -129,8 +130,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
     kept_columns = [f for f in others if f.name.lower() not in {"doc_id", "text", "base_failed", "kept", *COUNTS}]
-    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    row = F.struct(F.col("doc_id"), *(name(f.name).alias(f"c{i}") for i, f in enumerate(kept_columns)))
+    row = F.struct(F.col("doc_id"), *(named(f.name).alias(f"c{i}") for i, f in enumerate(kept_columns)))
     rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in COUNTS)])
     found = rows.mapInArrow(_measured, schema)

@@ -9,8 +9,9 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot that more than one in HOT_PART of all rows have, so there are HOT_PART of them at most; its rows go to SALTS tasks.
 HOT_PART, SALTS = 1000, 64
@@ -72,6 +73,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever is in it (blanks, dots, commas, backticks)."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def join_hot(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join of rows with few, which has each key once and in column c how many of the rows have it; without c.
 
@@ -103,8 +109,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed(df: DataFrame) -> DataFrame:
     """The same rows with the column text compressed, for shuffles of whole texts; unpack() gives the texts back."""
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(_packed, schema)
+    return df.mapInArrow(_packed, T.StructType([T.StructField("text", T.BinaryType()) if f.name == "text" else f for f in df.schema]))
 
 
 def unpack(column: pa.Array) -> pa.Array:

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyspark.llm.shared import discard, join_hot, packed, unpack, written
+from tallyspark.llm.shared import discard, join_hot, named, packed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, buffers, mix, powers, run_starts, runs, slices
 
 WINDOW, PROBE = 50, 8
@@ -160,8 +161,8 @@ def repeated_windows(docs: DataFrame, texts: DataFrame, window: int = WINDOW) ->
     discard(shared)
     spans = written(groups.groupBy("m", "s").agg(*several_docs))
     whole = join_hot(groups, spans.where("lo < hi").select("m", "s", "lo", "c"), ["m", "s"]).where("lo < doc_id").select(*KEY, "at", "n")
-    several = spans.groupBy("m").agg(F.count("*").alias("spans"), F.min("lo").alias("a"), F.max("hi").alias("z")).where("spans > 1 AND a < z").select("m")
-    first = groups.join(spans.select("m", "s", F.col("lo").alias("doc_id")).join(several, "m", "left_semi"), ["m", "s", "doc_id"], "left_semi")
+    several = written(spans.groupBy("m").agg(F.count("*").alias("c"), F.min("lo").alias("a"), F.max("hi").alias("z")).where("c > 1 AND a < z").select("m", "c"))
+    first = groups.join(join_hot(spans.select("m", "s", F.col("lo").alias("doc_id")), several, ["m"]), ["m", "s", "doc_id"], "left_semi")
     lists = first.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("groups"))
     again = texts.join(lists, list(KEY)).select(*KEY, "text", "groups")
     hashed = written(again.mapInArrow(_candidates(window), "doc_id long, t int, at int, h1 long, h2 long"))
@@ -174,11 +175,12 @@ def _removed(docs: DataFrame, window: int, as_is: bool) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, row): row holds all columns but the text, whatever they are called."""
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("doc_id", F.hash(text).alias("t"), text.alias("text"), F.struct(*others).alias("row"))
+    keyed = docs.select("doc_id", F.hash(text).alias("t"), text.alias("text"), F.struct(*map(named, others)).alias("row"))
     known = keyed.where("doc_id IS NOT NULL").select(*KEY, "text")
     found = repeated_windows(known, packed(known), window)
     joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", "row")
-    return joined.mapInArrow(_kept(window, as_is), f"doc_id long, n_words long, n_removed long, kept string, row {keyed.schema['row'].dataType.simpleString()}")
+    new = [T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]
+    return joined.mapInArrow(_kept(window, as_is), T.StructType([*new, keyed.schema["row"]]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, as_is: bool = False) -> DataFrame:

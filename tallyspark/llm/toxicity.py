@@ -344,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     What comes to the driver is bounded: terms of LEAST_PART of the sample's toxic documents each, and numbers and misspellings of the sample's documents.
     """
-    sample = written(training(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(_signed, "doc_id long, text string, y int, sign long").dropDuplicates(["sign", "y"]))
+    sample = written(training(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(_signed, "doc_id long, text string, y int, sign long").groupBy("sign", "y").agg(F.min(F.struct("doc_id", "text")).alias("first")).select("first.text", "y"))  # of near copies the smallest id
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.select("text", "y").mapInArrow(_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))

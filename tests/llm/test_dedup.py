@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -107,6 +108,39 @@ def test_jaccard_join_near_the_threshold(spark, monkeypatch, sample, part):
     assert Counter(tuple(r) for r in found) == brute_classes(data)
 
 
+def test_a_large_family_is_sent_once(spark, monkeypatch):
+    """Sets that are joined to the centre of their cell don't meet by pairs of parts."""
+    sent, split = [], jaccard_join._split
+
+    def watched(*args):
+        star, more = split(*args)
+        sent.append((star.count(), more.count()))
+        return star, more
+
+    monkeypatch.setattr(jaccard_join, "_split", watched)
+    monkeypatch.setattr(jaccard_join, "PART", 10)
+    base = prose(5, 200, 5000).split()
+    data = [(i, " ".join([*base[:190], *prose(600 + i, 10, 5000).split()]), None, None, None) for i in range(300)]
+    near = " ".join([*base[:150], *prose(9, 50, 5000).split()])  # like the family by 0.6: not joined to its centre
+    data += [(1000 + i, near + f" {i}", None, None, None) for i in range(5)]
+    found = jaccard_join.classes(spark.createDataFrame(data, DOCS)).collect()
+    assert Counter(tuple(r) for r in found) == brute_classes(data)
+    assert sent and sent[0][0] >= 299 and sent[0][1] < 2 * 305 + 5 * 40
+
+
+def test_components_of_stars_and_pairs(spark):
+    r = random.Random(1)
+    for links in ([(500, i) for i in range(100)] + [(700, i) for i in range(200, 300)] + [(5, 700)], [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(1, 50)], [(2, 1), (1, 2), (3, 3)], [(r.randrange(400), r.randrange(400)) for _ in range(250)], [(-(1 << 62), 1 << 62), (1 << 62, (1 << 62) + 1)]):
+        label = {x: x for e in links if e[0] != e[1] for x in e}
+        while any(label[a] != label[b] for a, b in links if a != b):
+            for a, b in links:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        got = [tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect()]
+        assert dict(got) == label and len(got) == len(label)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_one_of_each(spark):
     out = jaccard_join.one_of_each(docs(spark)).collect()
     ids = Counter(r.doc_id for r in out)

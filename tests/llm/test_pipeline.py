@@ -4,7 +4,7 @@ import public_tokenizers as P
 import pytest
 
 import corpus_pipeline
-from tallyspark.llm import bpe, queries
+from tallyspark.llm import bpe, collocations, html_text, jaccard_join, media, mixing, quality, queries, repetition, substring_dedup, token_counts, toxicity
 from tallyspark.llm.shared import table
 from tests.llm.data import docs
 from tests.llm.test_dedup import brute_classes, brute_cut
@@ -58,6 +58,41 @@ def test_stages_on_odd_rows(spark, stage):
     assert none.collect() == [] and none.columns == plain.columns
 
 
+NAMES = ("a b", "a,b:c", "a.b", "tick`s", "text.x", "`", "doc_id.y", "ümlaut", "x<y>")
+
+
+def with_names(df):
+    return df.selectExpr("*", *(f"concat('c', doc_id) AS `{c.replace('`', '``')}`" for c in NAMES))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_column_names(spark, stage):
+    name, step = corpus_pipeline.STAGES[stage]
+    plain, named_ = docs(spark, clash=False), with_names(docs(spark, clash=False))
+    one, two = step(spark, plain, DIR), step(spark, named_, DIR)
+    if name != "byte_bpe":
+        assert two.columns == named_.columns
+        assert all(r[c] == (None if r.doc_id is None else f"c{r.doc_id}") for r in two.collect() for c in NAMES)
+    assert Counter(map(str, two.select(*plain.columns if name != "byte_bpe" else one.columns).collect())) == Counter(map(str, one.collect()))
+
+
+@pytest.mark.parametrize(
+    "operator", ["section_tokens", "score_toxicity", "remove_repeats", "classes", "extract", "encode", "mix", "score_quality", "text_media", "measured", "collocations"],
+)
+def test_operators_on_odd_column_names(spark, operator):
+    where = P.path(queries.RANKS), P.PATTERN
+    labels = table(spark, DIR, "labels")
+    run = {
+        "section_tokens": lambda d: token_counts.section_tokens(d, *where, "first"), "score_toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)), "remove_repeats": substring_dedup.remove_repeats,
+        "classes": jaccard_join.classes, "extract": lambda d: html_text.extract(d.withColumnsRenamed({"doc_id": "page_id", "text": "html", "source": "url"})), "encode": lambda d: bpe.encode(d, *where),
+        "mix": lambda d: mixing.mix(d, "n_chars"), "score_quality": lambda d: quality.score(d, quality.train(d, labels, "quality")), "text_media": media.text_media, "measured": repetition.measured, "collocations": collocations.collocations,
+    }[operator]
+    plain = docs(spark, clash=False)
+    one, two = run(plain), run(with_names(plain))
+    assert set(one.columns) <= set(two.columns)
+    assert Counter(map(str, two.select(*one.columns).collect())) == Counter(map(str, one.collect()))
+
+
 def test_run_is_repeatable(spark):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, DIR).select("doc_id", "ids_sha256").collect())) for _ in range(2))
     assert one == two and one
