@@ -385,6 +385,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("u", F.xxhash64("url", "html"))
     keyed = rows.select("page_id", "u", F.lower(F.substring_index(F.substring_index(address, "/", 1), "?", 1)).alias("host"), F.regexp_replace(F.regexp_extract(address, r"^[^/?#]*([^?#]*)", 1), r"/$", "").alias("path"), "html")
-    found = partners(keyed).groupBy("page_id", "u").agg(F.max("gone").alias("gone"))
+    found = partners(keyed).where("size(gone) > 0").groupBy("page_id", "u").agg(F.max("gone").alias("gone"))
     met = rows.join(found, rows["page_id"].eqNullSafe(found["page_id"]) & (rows["u"] == found["u"]), "left")
     return met.select(rows["page_id"], "url", "html", "gone").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

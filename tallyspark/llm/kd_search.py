@@ -3,9 +3,13 @@
 Rows are dealt by a hash into shards of about SHARD rows. Each shard becomes one KD-tree: median splits along the
 widest side, tight bounding boxes, points kept as integers; the trees, points in their order and boxes, are a written table. Queries travel in blocks.
 A box's bound for a query is the largest inner product any point in it could have; a traversal visits
-boxes in the order of their bounds and stops at the first that is below the k-th score so far. Every block first asks one
-shard; the k-th scores found there go along to all other shards, where most boxes fall below them. So a block meets every
-shard once: that is the cost of an exact answer, and grows with queries times shards.
+boxes in the order of their bounds and stops at the first that is below the k-th score so far. Every block first asks its home
+shard; the k-th scores found there go along to all other shards. A shard's tree and the blocks that ask it come to one task in a row, the tree once, and
+the blocks stream through it. So a block meets every shard once: that is the cost of an exact answer, and grows with queries times shards.
+
+How much the boxes prune depends on the data. Where few components tell points apart, most boxes fall below the k-th score. Of
+vectors that spread evenly over 64 dimensions, as the given ones do, a box of some points reaches nearly as far as all of them: there every point is scored
+(README has figures), and the traversal costs what a matrix product would, plus the boxes.
 
 Ties go to the smaller id, so a box whose bound equals the k-th score is left out only if all its ids are larger.
 """
@@ -33,6 +37,7 @@ class Tree:
 
     def __init__(self, **arrays: np.ndarray):
         self.points, self.ids, self.span, self.child, self.low, self.high, self.smallest = (arrays[a] for a in self.ARRAYS)
+        self.scored = 0  # points that searches have scored
 
     @classmethod
     def grown(cls, points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> "Tree":
@@ -89,6 +94,7 @@ class Tree:
                     continue
                 a, b = self.span[i]
                 scores, ids = self.points[a:b] @ query, self.ids[a:b]
+                self.scored += int(b - a)
                 keep = (scores >= floor) & (ids != query_ids[q])
                 scores, ids = scores[keep], ids[keep]
                 if len(scores) > k:
@@ -123,7 +129,7 @@ def _number(points: np.ndarray, others: np.ndarray) -> type:
 
 
 def _answers(k: int):
-    """Answers (query_id, vec_id, score) of rows with a block of queries and a tree. A score beyond 64 bits raises OverflowError."""
+    """Answers (query_id, vec_id, score) of rows sorted by (dim, shard, kind): a tree (kind 0), then the blocks of queries that ask it. A score beyond 64 bits raises OverflowError."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, tree, own, kind = None, None, None, None
@@ -131,12 +137,15 @@ def _answers(k: int):
             for i in range(batch.num_rows):
                 row = {c: batch.column(j)[i] for j, c in enumerate(batch.schema.names)}
                 dim, shard = row["dim"].as_py(), row["shard"].as_py()
+                if row["kind"].as_py() == 0:
+                    open_, kind, tree = (dim, shard), None, Tree.unpack({a: row[a].as_py() for a in Tree.ARRAYS}, dim)
+                    continue
+                if (dim, shard) != open_:  # no points of this length in the shard
+                    continue
                 asked = row["queries"].as_py()
                 queries = np.array([q["vector"] for q in asked], np.int64).reshape(-1, dim)
                 ids = np.array([q["query_id"] for q in asked], np.int64)
                 floors = np.array([-np.inf if q["kth"] is None else q["kth"] for q in asked])
-                if (dim, shard) != open_:
-                    open_, kind, tree = (dim, shard), None, Tree.unpack({a: row[a].as_py() for a in Tree.ARRAYS}, dim)
                 want = _number(tree.points, queries)
                 if want is not kind:
                     kind, own = want, tree.of(want)
@@ -158,17 +167,20 @@ def top_k(queries: DataFrame, points: DataFrame, k: int = 10, shard: int = SHARD
     n, m = points.count(), queries.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     dealt = points.withColumn("dim", F.size("vector")).withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
-    trees = written(dealt.groupBy("dim", "shard").applyInArrow(_tree, TREES))
+    trees = written(dealt.groupBy("dim", "shard").applyInArrow(_tree, TREES)).withColumn("kind", F.lit(0))
     asked = queries.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "vector")
+    home_of = F.pmod(F.col("block"), F.lit(shards)).cast("int")
 
     def ask(asked: DataFrame, where) -> DataFrame:
         packed = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "vector", "kth")).alias("queries"))
-        sent = packed.withColumn("shard", F.explode(where)).repartition("dim", "shard")
-        return sent.join(trees, ["dim", "shard"]).mapInArrow(_answers(k), "query_id long, vec_id long, score long")
+        sent = packed.select("dim", F.explode(where).alias("shard"), F.lit(1).alias("kind"), "queries")
+        both = trees.unionByName(sent, allowMissingColumns=True).repartition(shards, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+        return both.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
 
-    home = ask(asked.withColumn("kth", F.lit(None).cast("long")), F.array(F.pmod(F.col("block"), F.lit(shards)).cast("int")))
+    home = written(ask(asked.withColumn("kth", F.lit(None).cast("long")), F.array(home_of)))
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
-    found = ask(asked.join(kth, "query_id", "left"), F.sequence(F.lit(0), F.lit(shards - 1)))
+    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home_of)
+    found = home.unionByName(ask(asked.join(kth, "query_id", "left"), others)) if shards > 1 else home
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -249,6 +249,23 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_a_traversal_prunes_where_few_components_count():
+    """A tree of points that differ in two of their components scores few of them; one of points that spread over 64 scores all."""
+    r = np.random.default_rng(2)
+    for dim, part in ((2, 0.1), (64, 1.01)):
+        points = np.zeros((4096, 64), np.int64)
+        points[:, :dim] = r.normal(size=(4096, dim)) * 300
+        tree = kd_search.Tree.grown(points, np.arange(4096))
+        queries = points[:32]
+        best = list(tree.search(queries.astype(np.float64), np.arange(32), 10, np.full(32, -np.inf)))
+        want = [sorted(((int(s), i) for i, s in enumerate(points @ q) if i != k), key=lambda x: (-x[0], x[1]))[:10] for k, q in enumerate(queries)]
+        assert best == want and tree.scored < part * 32 * 4096
+        # the k-th score that another shard has found prunes further
+        tree.scored = 0
+        list(tree.search(queries.astype(np.float64), np.arange(32), 10, np.array([w[0][0] * 2.0 + 1 for w in want])))
+        assert dim == 64 or tree.scored == 0
+
+
 def test_top_k_of_few_and_none(spark):
     points = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [5, 6])], "vec_id long, vector array<long>")
     assert [tuple(r) for r in kd_search.top_k(points.where("vec_id = 0"), points).orderBy("rank").collect()] == [(0, 1, 2, 17), (0, 2, 1, 11)]

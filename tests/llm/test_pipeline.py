@@ -101,7 +101,7 @@ def test_run_is_repeatable(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):
     out = queries.QUERIES[name](spark, DIR)
-    if name == "op5_kd_search":
+    if name in ("op5_kd_search", "op12_collocations", "op13_hard_negatives"):
         assert out.count() > 0
     else:
         key = out.columns[0]
