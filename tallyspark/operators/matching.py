@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Right rows of a cell that left rows may be held against one by one.
+FEW = 64
 #: A cell is hot that holds more than one in HOT_PART of all left rows. Its left rows, and the right rows of every cell, are dealt out to SALTS parts.
 HOT_PART, SALTS = 1000, 32
 
@@ -49,14 +51,14 @@ def _fronts(right: DataFrame, by: list[str]) -> DataFrame:
     return told.where("ll OR lh OR hl OR hh")
 
 
-def _cells(right: DataFrame, keys: list[str], side: int) -> DataFrame:
+def _cells(right: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each key and cell: its lowest and highest x and y, and the rows on its four fronts.
 
     Rows of a cell are thinned out in SALTS parts first, then together, so that a cell with very many rows is sorted by many tasks; what is left
     of a part are its fronts, mostly a handful of rows, and never more than it has different x.
     """
     by = [*keys, "cx", "cy"]
-    rows = right.select(*keys, "x", "y", _cell("x", side).alias("cx"), _cell("y", side).alias("cy")).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
+    rows = right.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(SALTS)))
     rows = _fronts(_fronts(rows, [*by, "part"]).drop("ll", "lh", "hl", "hh"), by)
     corner = lambda c: F.collect_list(F.when(F.col(c), F.struct("x", "y"))).alias(c)
     return rows.groupBy(*by).agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))), *(corner(c) for c in ("ll", "lh", "hl", "hh")))
@@ -92,18 +94,32 @@ def _reached(limit: int) -> Column:
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """The same without pairing rows: by cells of pickup and drop-off, `seconds` wide both ways.
+    """The same by cells of pickup and drop-off, `seconds` wide both ways; ids are unique.
 
-    Rows of one key and cell match outright. Of the cells at its sides, the end that is nearest tells whether a row has a match there; of those at its corners,
-    the rows on the front towards it. So a cell of the right is summarised once, whatever its number of rows, a summary goes to the nine cells
-    around it, and each left row meets one row. Left rows of very full cells are dealt out. A null key, pickup or drop-off matches nothing.
+    Right rows of cells with FEW of them at most go to the nine cells around, where each left row is held against them: 9 * FEW tests at most. Cells with more
+    are summarised, so that no rows are paired however many share a key and a moment: rows of one key and cell match outright; of the cells at its sides, the
+    end that is nearest tells whether a row has a match there; of those at its corners, the rows on the front towards it. Left rows of very full
+    cells are dealt out. A null key, pickup or drop-off matches nothing.
     """
     limit = round(seconds * 1_000_000)
     side = max(1, limit)
+    by = [*keys, "cx", "cy"]
     known = lambda df: df.where(F.col("pickup").isNotNull() & F.col("dropoff").isNotNull()).dropna(subset=keys)
-    placed = lambda df, *more: known(df).select(*more, *keys, _micros(F.col("pickup")).alias("x"), _micros(F.col("dropoff")).alias("y"))
-    around = _around(_cells(placed(right), keys, side), keys)
-    rows = placed(left, "id").withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
+    placed = lambda df, *more: known(df).select(*more, *keys, _micros(F.col("pickup")).alias("x"), _micros(F.col("dropoff")).alias("y")).withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
+    rows = placed(left, "id")
+    others = placed(right).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+    around = [F.explode(F.array(*(F.col(c) + k for k in (-1, 0, 1)))).alias(c) for c in ("cx", "cy")]
+    few = others.where(F.col("n") <= FEW).select(*keys, "cy", "x", "y", around[0]).select(*keys, "cx", "x", "y", around[1])
+    a, b = rows.alias("a"), few.alias("b")
+    same = (F.abs(F.col("a.x") - F.col("b.x")) <= limit) & (F.abs(F.col("a.y") - F.col("b.y")) <= limit)
+    for c in by:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    found = a.join(b, same, "left_semi").select("id")
+    return found.unionByName(_matched_in_full_cells(rows, others.where(F.col("n") > FEW).drop("n"), keys, limit)).distinct()
+
+
+def _matched_in_full_cells(rows: DataFrame, others: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(id) of placed left rows with a match among placed right rows, by summaries of cells."""
     by = [*keys, "cx", "cy"]
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
@@ -111,7 +127,8 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], seconds: int) ->
     salt = F.when(F.col("full"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = rows.join(full, by, "left").withColumn("salt", salt)
     parts = F.explode(F.when(F.col("full"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return dealt.join(around.join(full, by, "left").withColumn("salt", parts).drop("full"), [*by, "salt"]).where(_reached(limit)).select("id")
+    around = _around(_cells(others, keys), keys).join(full, by, "left").withColumn("salt", parts).drop("full")
+    return dealt.join(around, [*by, "salt"]).where(_reached(limit)).select("id")
 
 
 def within(events: DataFrame, start: Column, end: Column, column: str = "pickup", seconds: int = 0) -> DataFrame:

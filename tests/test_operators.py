@@ -251,7 +251,8 @@ def test_lags_by_slice_watch_the_grid_over_borders(spark, a, z):
         features.lags_by_slice(demand(spark, rows + grid(900, (2,), D(2026, 1, 1))), hours=168).collect()
 
 
-def test_match_by_cells_equals_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 2, 64])
+def test_match_by_cells_equals_all_pairs(spark, monkeypatch, few):
     """Whole and half seconds, points on the edges of cells, nulls, a key that most rows have."""
     def side(n, seed, span, step):
         r = random.Random(seed)
@@ -260,6 +261,7 @@ def test_match_by_cells_equals_all_pairs(spark):
         rows = [(i, some(p := D(2026, 3, 8) + T(seconds=at(span))), some(p + T(seconds=at(900))), r.choice([1, 1, 1, 2, None]), r.choice([7, 7, 8, None])) for i in range(n)]
         return spark.createDataFrame(rows, "id long, pickup timestamp_ntz, dropoff timestamp_ntz, pu int, do int")
 
+    monkeypatch.setattr(matching, "FEW", few)
     total = 0
     for seconds, span, step in ((120, 6000, 1), (60, 1200, 30), (120, 3000, 0.5), (0, 600, 30), (7, 900, 0.25)):
         left, right = side(500, seconds, span, step), side(250, span, span, step)
