@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.sources.files import file_system
+from tallyspark.sources.files import delete_path, file_system
 
 CURRENT = "_current"
 #: Rows of a file are in the order of those of these columns that a table has.
@@ -57,9 +57,14 @@ def _month_of(path: str) -> str:
     return next(x for x in path.split("/") if x.startswith("month="))[len("month=") :]
 
 
+def _pointers(spark: SparkSession, path: str) -> dict[str, dict]:
+    """month -> content of its file. A month is one small file, so this is a listing of some hundred files."""
+    return {_month_of(s.getPath().toString()): _get(spark, s) for s in _found(spark, f"{path}/month=*/{CURRENT}")}
+
+
 def committed(spark: SparkSession, path: str) -> dict[str, str]:
-    """month -> committed build. A month is one small file, so this is a listing of some hundred files."""
-    return {_month_of(s.getPath().toString()): _get(spark, s)["build"] for s in _found(spark, f"{path}/month=*/{CURRENT}")}
+    """month -> committed build."""
+    return {m: x["build"] for m, x in _pointers(spark, path).items()}
 
 
 def stage(rows: DataFrame, path: str, month: Column | None = None) -> tuple[str, list[str]]:
@@ -72,14 +77,14 @@ def stage(rows: DataFrame, path: str, month: Column | None = None) -> tuple[str,
 
 
 def publish(spark: SparkSession, path: str, build: str, months: Iterable[str]) -> None:
-    """Makes a staged build the current one of its months, month by month; builds older than the one replaced are deleted."""
-    now = committed(spark, path)
+    """Makes a staged build the current one of its months, month by month; the build before the one replaced is deleted. Builds of other writers stay."""
+    now = _pointers(spark, path)
     for month in months:
-        folder = f"{path}/month={month}"
-        _put(spark, f"{folder}/{CURRENT}.{build}", {"build": build, "before": now.get(month)})
+        folder, old = f"{path}/month={month}", now.get(month, {})
+        _put(spark, f"{folder}/{CURRENT}.{build}", {"build": build, "before": old.get("build")})
         _rename_over(spark, f"{folder}/{CURRENT}.{build}", f"{folder}/{CURRENT}")
-        if month in now:
-            _delete_builds(spark, path, month, {build, now[month]}, older_than=build)
+        if old.get("before"):
+            delete_path(spark, f"{folder}/build={old['before']}")
 
 
 def retract(spark: SparkSession, path: str, months: Iterable[str]) -> None:
@@ -91,14 +96,11 @@ def retract(spark: SparkSession, path: str, months: Iterable[str]) -> None:
             _delete_builds(spark, path, month, set())
 
 
-def _delete_builds(spark: SparkSession, path: str, month: str, keep: set[str], older_than: str | None = None) -> None:
-    """Deletes a month's builds but some; with older_than only those written before that one, since others may be of writers still at work."""
-    found = _found(spark, f"{path}/month={month}/build=*")
-    limit = max((s.getModificationTime() for s in found if s.getPath().getName() == f"build={older_than}"), default=None)
-    for s in found:
-        if s.getPath().getName()[len("build=") :] not in keep and (limit is None or s.getModificationTime() < limit):
-            fs, at = file_system(spark, s.getPath().toString())
-            fs.delete(at, True)
+def _delete_builds(spark: SparkSession, path: str, month: str, keep: set[str]) -> None:
+    """Deletes a month's builds but some."""
+    for s in _found(spark, f"{path}/month={month}/build=*"):
+        if s.getPath().getName()[len("build=") :] not in keep:
+            delete_path(spark, s.getPath().toString())
 
 
 def vacuum(spark: SparkSession, path: str) -> None:

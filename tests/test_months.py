@@ -65,6 +65,17 @@ def test_a_reader_that_has_begun_can_finish(spark, tmp_path):
     assert content(io.read_months(spark, path)) == content(versions[3]) and len(list((tmp_path / "mart").glob("month=*/build=*"))) == 2
 
 
+def test_writers_of_one_month_do_not_delete_each_others_builds(spark, tmp_path):
+    path = f"file://{tmp_path}/mart"
+    slow, *others = (mart(spark, D(2026, 3, 1), 2, i) for i in range(4))
+    build, staged = months.stage(slow, path)
+    for v in others:
+        io.write_months(v, path)
+    assert content(io.read_months(spark, path)) == content(others[-1])
+    months.publish(spark, path, build, staged)
+    assert content(io.read_months(spark, path)) == content(slow)
+
+
 def test_a_failing_job_commits_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/mart"
     old = mart(spark, D(2026, 3, 1), 2, 1)
