@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.shared import discard, join_hot, named, packed, unpack, written
+from tallyspark.llm.shared import discard, join_hot, named, packed, trimmed, unpack, written
 from tallyspark.llm.words import WORD_BASES, Words, buffers, mix, powers, run_starts, runs, slices
 
 WINDOW, PROBE = 50, 8
@@ -180,7 +180,7 @@ def _removed(docs: DataFrame, window: int, as_is: bool) -> DataFrame:
     found = repeated_windows(known, packed(known), window)
     joined = packed(keyed).join(found, list(KEY), "left").select("doc_id", "text", "groups", "row")
     new = [T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType()))]
-    return joined.mapInArrow(_kept(window, as_is), T.StructType([*new, keyed.schema["row"]]))
+    return joined.mapInArrow(trimmed(_kept(window, as_is)), T.StructType([*new, keyed.schema["row"]]))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, as_is: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.labels import TRAIN_ROWS, held_out, training
-from tallyspark.llm.shared import discard, written
+from tallyspark.llm.shared import discard, trimmed, written
 from tallyspark.llm.words import runs, slices
 
 # Insults known without any labels, words of reporting, words that aim at someone.
@@ -304,6 +304,10 @@ def _evidence_of(parts: Broadcast) -> Callable[[Column], Column]:
 
     @F.arrow_udf("heaviest double, total double")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scored(batches)
+
+    @trimmed
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = lexicon(*parts.value)
         for texts in batches:
             rows = [evidence(t, known)[:2] if t else (0.0, 0.0) for i in range(0, len(texts), 256) for t in texts.slice(i, 256).to_pylist()]
